@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import host_rules, line_dedup, mixing, simhash
+from . import ann, chat, host_rules, line_dedup, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.host_quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], given.schema)
+    part = F.struct(F.lit("text").alias("type"), F.col("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("width", "int"), ("height", "int"), ("duration_ms", "bigint"), ("pages", "int"))])
+    turns = given.unionByName(more).select("conv_id", "turn", "role", F.array(part).alias("parts"))
+    return chat.digests(chat.format_conversations(turns))
+
+
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_line_chunks(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
@@ -29,5 +54,16 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_host_quality, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball)}
-SQL = {"op4_host_quality": host_rules.SQL, "op7_line_chunk_dedup": line_dedup.SQL, "op8_weighted_mix": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball)}
+#: Reads rows by turn as the contract has it; the formatted length follows from the template.
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(role || text, '\', '\\'), '<|', '<\|')) + length('<|turn|><|text|><|end|>') AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+SQL = {"op5_chat_format": CHAT_SQL, "op4_host_quality": host_rules.SQL, "op7_line_chunk_dedup": line_dedup.SQL, "op8_weighted_mix": mixing.SQL}
