@@ -32,6 +32,13 @@ _plain = re.compile("[!-~\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
 _spaces = re.compile("[ \t\n\r\f\v]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that byte-level vocabularies write bytes as: visible ones as they are, others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, a word at a time where its rules allow that.
 
@@ -49,6 +56,9 @@ class Encoder:
         split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
         lower = "Lowercase" in json.dumps(rules.get("normalizer"))
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if split and lower and not rules.get("post_processor") else None
+        last = steps[-1]
+        direct = self.pattern and len(steps) == 2 and last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex")
+        self.letters = _byte_letters() if direct else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -56,6 +66,12 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def part(self, part: str) -> bytes:
+        if self.letters is None:
+            return self.whole(part)
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
+
     def word(self, word: str) -> bytes:
         if not _plain.fullmatch(word) or "<|" in word:
             out = self.whole(word)
@@ -66,7 +82,7 @@ class Encoder:
                 if ids is None:
                     if len(self.parts) >= CACHE:
                         self.parts.clear()
-                    ids = self.parts[part] = self.whole(part)
+                    ids = self.parts[part] = self.part(part)
                 found.append(ids)
             out = b"".join(found)
         if len(self.words) >= CACHE:
