@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, host_rules, line_dedup, mixing, packing, simhash
+from . import ann, chat, host_rules, line_dedup, mixing, packing, pii, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,23 @@ def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def _spans(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of a table with ``base`` and ``added``."""
+    place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    order = lambda a: F.array_sort(F.transform(a, place)) if by_start else F.array_sort(a)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)]
+    digest = F.sha2(pii.shown(order(F.col("base")), kinds), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.shown(order(F.concat("base", "added")), kinds).alias("spans"))
+
+
+def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(pii.find_personal_data(_table(spark, sf_dir, "documents")), pii.KINDS, by_start=False)
+
+
+def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.KINDS, by_start=True)
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.host_quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +71,7 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball)}
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar)}
 #: Reads rows by turn as the contract has it; the formatted length follows from the template.
 CHAT_SQL = r"""
 WITH t AS (
