@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, host_rules, line_dedup, mixing, packing, pii, secrets, simhash
+from . import ann, chat, host_rules, line_dedup, mixing, packing, pii, pitman_yor, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def _spans(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of a table with ``base`` and ``added``."""
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
@@ -71,7 +75,7 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar)}
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_pitman_yor_score, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar)}
 #: Reads rows by turn as the contract has it; the formatted length follows from the template.
 CHAT_SQL = r"""
 WITH t AS (
