@@ -1 +1 @@
-
+"""Nothing in coding or agreement analysis is defined over streams; batch tables are the only inputs."""
