@@ -87,16 +87,53 @@ def indexed_quotes(instances: DataFrame, name: str) -> DataFrame:
     return instances.select(*KEYS, i, F.col("quote").alias(f"{name}_quote"), F.col("quote_index").alias(f"{name}_span"))
 
 
+def _level(n: Column) -> Column:
+    """Whole binary logarithm of a positive number."""
+    return F.length(F.bin(n)) - 1
+
+
+def _bins(span: Column, levels: Column) -> Column:
+    """Keys of the cells that a span touches, those of a level being two to that power long."""
+    cells = lambda k: F.sequence(F.floor(span["start"] / F.pow(F.lit(2), k)), F.floor((span["end"] - 1) / F.pow(F.lit(2), k)))
+    keys = F.flatten(F.transform(levels, lambda k: F.transform(cells(k), lambda x: F.concat_ws(":", F.lit("s"), k, x))))
+    return F.when(span.isNull(), F.array().cast("array<string>")).when(span["end"] == span["start"], F.array(F.lit("e"))).otherwise(keys)
+
+
+def _rare_first(words: Column, threshold: float) -> Column:
+    """So many words, longest first, that sets with a Jaccard share of ``threshold`` have one of them in common."""
+    n = F.size(words)
+    order = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    return F.transform(F.slice(order, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1), lambda x: F.concat(F.lit("w:"), x["w"]))
+
+
 def propose_similar(human: DataFrame, llm: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Proposals for quotes whose spans overlap, or words agree, by a Jaccard share of ``threshold`` or more."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    both = indexed_quotes(human, "human").join(indexed_quotes(llm, "llm"), KEYS)
-    a, b = words(F.col("human_quote")), words(F.col("llm_quote"))
+    """Proposals for quotes whose spans overlap, or words agree, by a Jaccard share of ``threshold`` or more.
+
+    Candidates of a document and construct meet in a word, of the longest of either, or in a cell that both
+    spans touch, of a size near their lengths; every pair that reaches the threshold meets so.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+
+    def side(df: DataFrame, name: str, levels) -> DataFrame:
+        rows = indexed_quotes(df, name).withColumn("span", parse_span(F.col(f"{name}_span")))
+        rows = rows.withColumn("words", F.array_distinct(F.split(F.lower(f"{name}_quote"), r"\s+")))
+        n = F.col("span.end") - F.col("span.start")
+        keys = F.array_distinct(F.concat(_bins(F.col("span"), levels(n)), F.coalesce(_rare_first(F.col("words"), threshold), F.array().cast("array<string>"))))
+        return rows.select(*KEYS, F.explode(keys).alias("key"), f"{name}_index", f"{name}_quote", F.struct("words", "span").alias(name))
+
+    def near(n: Column) -> Column:
+        least, most = F.greatest(F.lit(1), F.floor(n * threshold)).cast("long"), F.ceil(n / threshold).cast("long")
+        return F.when(n > 0, F.sequence(_level(least), _level(most)))
+
+    pairs = side(human, "human", near).join(side(llm, "llm", lambda n: F.array(_level(n))), [*KEYS, "key"])
+    a, b = F.col("human.words"), F.col("llm.words")
     shared = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
-    overlap = span_overlap(parse_span(F.col("human_span")), parse_span(F.col("llm_span")))
-    scored = both.withColumn("score", F.greatest(F.coalesce(overlap, F.lit(0.0)), F.coalesce(shared, F.lit(0.0)))).where(F.col("score") >= threshold)
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "human_index", "llm_index")
-    return scored.select(*KEYS, (F.row_number().over(order) - 1).alias("ord"), "human_index", "llm_index", (F.col("human_quote") != F.col("llm_quote")).alias("paraphrase"), F.col("score").alias("match_confidence"))
+    overlap = span_overlap(F.col("human.span"), F.col("llm.span"))
+    scored = pairs.withColumn("score", F.greatest(F.coalesce(overlap, F.lit(0.0)), F.coalesce(shared, F.lit(0.0)))).where(F.col("score") >= threshold)
+    found = scored.select(*KEYS, "human_index", "llm_index", (F.col("human_quote") != F.col("llm_quote")).alias("paraphrase"), F.col("score").alias("match_confidence")).distinct()
+    order = Window.partitionBy(*KEYS).orderBy(F.desc("match_confidence"), "human_index", "llm_index")
+    return found.select(*KEYS, (F.row_number().over(order) - 1).alias("ord"), "human_index", "llm_index", "paraphrase", "match_confidence")
 
 
 def ordered(comparison: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, parsing and coding runs on small invented cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,46 @@ def test_compare(spark):
     assert matching.compare_exact(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_similar_quotes(spark, threshold):
+    """Every pair that reaches the threshold is proposed, and no other."""
+    r = random.Random(5)
+
+    def coded():
+        out = []
+        for i in range(60):
+            start, n = r.randrange(200), r.choice([0, 1, 2, 7, 8, 30, 64, 90])
+            quote = " ".join(r.choice(["one", "two", "three", "four", "five"]) for _ in range(r.randrange(1, 7)))
+            out.append(("d", r.choice("xy"), i, r.choice([quote, "", quote.upper()]), r.choice([None, f"{start}:{start + n}"]), 1))
+        return out
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    def overlap(a, b):
+        if not a or not b:
+            return 0.0
+        (s, e), (t, f) = (map(int, x.split(":")) for x in (a, b))
+        if s == e or t == f:
+            return float(s == e and t == f)
+        both = max(0, min(e, f) - max(s, t))
+        return both / (e - s + f - t - both)
+
+    human, llm = coded(), coded()
+    want = {}
+    for c in "xy":
+        hs, ms = ([x for x in side if x[1] == c] for side in (human, llm))
+        for i, h in enumerate(hs):
+            for j, m in enumerate(ms):
+                score = max(jaccard(set(h[3].lower().split(" ")), set(m[3].lower().split(" "))), overlap(h[4], m[4]))
+                if score >= threshold:
+                    want[c, i, j] = pytest.approx(score)
+    got = matching.propose_similar(instances(spark, human), instances(spark, llm), threshold).collect()
+    assert {(x.construct, x.human_index, x.llm_index): x.match_confidence for x in got} == want and len(got) == len(want)
+    by = [x.match_confidence for x in sorted(got, key=lambda x: x.ord) if x.construct == "x"]
+    assert by == sorted(by, reverse=True)
+
+
 def rows_of(spark, data):
     full = [{"doc_id": d, "construct": c, "status": s, "llm_confidence": k, "tp": int(s == "matched"), "fp": int(s == "llm_only"), "fn": int(s == "human_only")} for d, c, s, k in data]
     return spark.createDataFrame(full, COMPARISON)
