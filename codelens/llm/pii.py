@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +91,19 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def outside(spans: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch none of those taken."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[1]]
+
+
 def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int, ...]:
     """Of each labeler: 2 for personal data, 0 against, 1 if it abstains."""
     body = text[start:end]
@@ -185,8 +199,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for t in batch.column(1):
                 text = t.as_py() or ""
                 strict = base_spans(text)
-                taken = sorted((a, b) for _, a, b in strict)
-                free = [s for s in loose_spans(text) if not any(a < s[2] and s[1] < b for a, b in taken)]
+                free = outside(loose_spans(text), strict)
                 for out, spans, flag in ((base, strict, True), (loose, free, False)):
                     out.append([{"kind": k, "start": a, "end": b, "pattern": pattern_of(k, votes(text, k, a, b, flag), b - a)} for k, a, b in spans])
             yield pa.record_batch([batch.column(0), pa.array(base, pa.list_(span)), pa.array(loose, pa.list_(span))], ["doc_id", "base", "loose"])
