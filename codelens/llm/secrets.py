@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ SAMPLE = 600
 ALPHA = 0.05
 #: Mean log-likelihood ratio of a character, automaton against background, from which a candidate is added.
 ACCEPT = 0.7
-#: Candidates have at least so many characters; shapes are cut beyond so many, which only bounds their memory.
-SHORTEST, SHAPE = 16, 256
+#: Labelled credentials of more characters are left out of that sample, which bounds the prefix tree.
+LONGEST = 256
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,7 +36,7 @@ _CLASSES = {ord(c): k for k, letters in (("d", "0123456789"), ("x", "abcdef"), (
 
 
 def shape(value: str) -> str:
-    return value[:SHAPE].translate(_CLASSES)
+    return value.translate(_CLASSES)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -139,17 +140,24 @@ class Automaton:
                 self.next[q][c] = match
                 self._fold(match, t)
         self.states = red
+        self.steps = {q: self._chances(q) for q in red}
+
+    def _chances(self, q: int) -> tuple[dict[str, float], float, float]:
+        """Logarithms of the state's chances: of each class it has seen, of any other, of ending."""
+        n = self._total(q)
+        log = lambda k: math.log((k + 0.01) / (n + 0.07))
+        return {c: log(k) for c, k in self.flow[q].items()}, log(0), log(self.ends[q])
 
     def log_likelihood(self, s: str) -> float:
         """Natural logarithm of the string's probability; unseen steps have a small one and end it."""
         total, q = 0.0, 0
         for i, c in enumerate(s):
-            n = self._total(q)
-            total += math.log((self.flow[q].get(c, 0) + 0.01) / (n + 0.07))
+            seen, other, _ = self.steps[q]
+            total += seen.get(c, other)
             if c not in self.next[q]:
                 return total + (len(s) - i) * math.log(1e-3)
             q = self.next[q][c]
-        return total + math.log((self.ends[q] + 0.01) / (self._total(q) + 0.07))
+        return total + self.steps[q][2]
 
 
 class Background:
@@ -160,10 +168,10 @@ class Background:
         self.rows: dict[str, int] = {}
         for (a, _), n in pairs.items():
             self.rows[a] = self.rows.get(a, 0) + n
+        self.logs = {(a, b): math.log((pairs.get((a, b), 0) + 1.0) / (self.rows.get(a, 0) + 7.0)) for a in "^dxlXUs" for b in "dxlXUs$"}
 
     def log_likelihood(self, s: str) -> float:
-        steps = zip("^" + s, s + "$", strict=True)
-        return sum(math.log((self.pairs.get(p, 0) + 1.0) / (self.rows.get(p[0], 0) + 7.0)) for p in steps)
+        return sum(map(self.logs.__getitem__, zip("^" + s, s + "$", strict=True)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,18 +196,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def learn(spans: DataFrame) -> tuple[list[Automaton | None], Background]:
     """An automaton a kind from a sample of its labelled shapes, and the background of all other candidates.
 
-    The sample of a kind is the ``SAMPLE`` credentials of smallest hash; the background's counts cover all.
+    The sample of a kind is the ``SAMPLE`` credentials of smallest hash, of those up to ``LONGEST`` characters;
+    the background's counts cover all candidates whole, added up within a batch before they are shuffled.
     """
     labelled = spans.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.kind", "s.start", "s.shape")
     automata: list[Automaton | None] = []
     for kind in range(len(KINDS)):
-        some = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(SAMPLE)
+        some = labelled.where((F.col("kind") == kind) & (F.length("shape") <= LONGEST)).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(SAMPLE)
         strings = [r.shape for r in some.select("shape").collect()]
         automata.append(Automaton(strings) if strings else None)
-    other = spans.select(F.explode("loose").alias("s")).select(F.concat(F.lit("^"), "s.shape", F.lit("$")).alias("t"))
-    pairs = other.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2)))).alias("p"))
-    counts = pairs.groupBy("p").count().collect()
-    return automata, Background({(r["p"][0], r["p"][1]): r["count"] for r in counts})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for row in batch.column(0):
+                for span in row.as_py():
+                    seen.update(zip("^" + span["shape"], span["shape"] + "$", strict=True))
+            yield pa.record_batch([pa.array(["".join(p) for p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["p", "n"])
+
+    counts = spans.select("loose").mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # a row a pair of classes
+    return automata, Background({(r["p"][0], r["p"][1]): r["n"] for r in counts})
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -170,6 +170,27 @@ def test_grammar():
     assert math.exp(two.log_likelihood("ab")) + math.exp(two.log_likelihood("b")) <= 1.0
 
 
+def test_long_secret_candidates(spark):
+    """A long candidate is scored whole: the automaton follows one format to its end and leaves another there."""
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(80)]
+    own = "".join(rng.choice(list("0123456789abcdef"), 5000))
+    docs = [(i, f"x {h} y") for i, h in enumerate(hexes)] + [(100, "g9" + own[:300] + "Q9Z8Y7X6W5V4" * 400), (101, own), (102, "k1" * 20_000)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in got[101].base] == [(0, 5000)] and not got[100].added and not got[102].added
+    a = secrets.Automaton([secrets.shape(h) for h in hexes])
+    start, rest = secrets.shape(own), secrets.shape("Q9" * 300)
+    assert a.log_likelihood(start[:300]) > a.log_likelihood(start[:300] + rest) + 600
+
+
+def test_spans_outside():
+    rng = np.random.default_rng(5)
+    spans = lambda n: [(0, a, a + k) for a, k in zip(rng.integers(0, 300, n).tolist(), rng.integers(1, 9, n).tolist(), strict=True)]
+    for taken in ([], spans(3), spans(40)):
+        some = spans(80)
+        assert pii.outside(some, taken) == [s for s in some if not any(a < s[2] and s[1] < b for _, a, b in taken)]
+
+
 # ------------------------------------------------------------------ 4
 
 
