@@ -15,6 +15,7 @@ from ..functions.text import BLANKS, FIRST_PERSON, STOP_WORDS, document_metrics,
 from ..operators import codebook as cb
 from ..operators import corpus, display, matching, metrics
 from ..schemas import METRICS
+from ..scratch import materialise
 from ..sources.codings import human_codings
 from ..sources.documents import join_turns, suffix_duplicates, transcript_line
 from ..sources.sinks import run_summary
@@ -347,7 +348,8 @@ def pooled_metrics(spark, sf_dir):
 @query(f"WITH {POOLED.replace(R, X + ', r AS (SELECT * FROM c)')} SELECT * FROM p")
 def agreement(spark, sf_dir):
     """Sentences to pooled agreement, end to end."""
-    return metrics.summary_tables(exact(spark, sf_dir))[1]
+    needed = ["doc_id", "construct", "status", "llm_confidence", "tp", "fp", "fn"]
+    return metrics.summary_tables(materialise(exact(spark, sf_dir).select(*needed), "comparison"))[1]
 
 
 @query(f"WITH {PER_DOC} SELECT * FROM st")
