@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
@@ -17,21 +17,37 @@ from .graph import connected_components
 BITS = 64
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory.
 SLICE = 1 << 15
+#: Words of a shingle and share of common shingles that make two texts near copies.
+NEAR_WORDS, NEAR_SHARE = 5, 0.8
+#: Bands of least hashes and hashes a band: a pair at the share meets in one with a chance of 0.998.
+BANDS, BAND_ROWS = 20, 6
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; zero if it has no word."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles; fewer words are one shingle."""
     if not w:
-        return 0
-    n = max(1, len(w) - shingle + 1)
+        return np.empty(0, np.uint64)
     parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else iter([b" ".join(w)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, max(1, len(w) - shingle + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Unsigned number whose bits are set where they are in over half of the hashes."""
     set_bits = np.zeros(BITS, np.int64)
-    for i in range(0, n, SLICE):
+    for i in range(0, len(hashes), SLICE):
         octets = hashes[i : i + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles; zero if it has no word."""
+    return _majority(_hashes(_words(text), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,15 +96,128 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     return marked.join(lookup, "fp").select("doc_id", shown, "component_id")
 
 
-def first_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of their component, with their columns.
+def _bands(distinct: np.ndarray) -> np.ndarray:
+    """A hash for each band of least hashes of a text's distinct shingles."""
+    least = np.full(len(_FACTORS), np.uint64((1 << 64) - 1))
+    step = max(1, SLICE // 8)
+    for i in range(0, len(distinct), step):
+        np.minimum(least, (distinct[i : i + step, None] * _FACTORS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+
 
-    Rows that repeat a doc_id count as one document, of which one row stays; so do those without one, of
-    which a row stays if their component has no other.
+def _sketches(rows: DataFrame) -> DataFrame:
+    """``rows(key, text)`` to ``(key, same, fp, n, bands)``: digest of the words, SimHash, distinct shingles, bands."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "same", "fp", "n", "bands"]
+        for batch in batches:
+            same, fp, n, bands = [], [], [], []
+            for t in batch.column(1):
+                w = _words(t.as_py())
+                h = _hashes(w, NEAR_WORDS)
+                distinct = np.unique(h)
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                fp.append(_majority(h))
+                n.append(len(distinct))
+                bands.append(_bands(distinct) if w else [])
+            signed = pa.array(np.array(fp, np.uint64).view(np.int64))
+            columns = [batch.column(0), pa.array(same, pa.binary()), signed, pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names)
+
+    return rows.mapInArrow(sketch, "key long, same binary, fp long, n long, bands array<long>")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts share enough of their shingles."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                a = batch.column(0)[i].as_py()
+                text = batch.column(2)[i].as_py()
+                if (a, text) != last:
+                    last, own = (a, text), np.unique(_hashes(_words(text), NEAR_WORDS))
+                other = np.unique(_hashes(_words(batch.column(3)[i].as_py()), NEAR_WORDS))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                good.append(both >= NEAR_SHARE * (len(own) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    of = lambda n: texts.select(F.col("key").alias(n), F.col("text").alias(f"text_{n}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+
+
+def _pivoted(members: DataFrame) -> DataFrame:
+    """``members(bucket, node, n)`` with ``pivot(node, n)``, the bucket's first in a hashed order, which is left out."""
+    turn = F.struct(F.xxhash64("node", F.col("bucket") % 2).alias("h"), "node", "n")
+    pivots = members.groupBy("bucket").agg(F.min(turn).alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return members.join(pivots, "bucket").where("node <> pivot.node")
+
+
+def _fitting(pivoted: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of members and pivots whose numbers of shingles allow enough common ones."""
+    fits = F.least("n", "pivot.n") >= NEAR_SHARE * F.greatest("n", "pivot.n")
+    return pivoted.where(fits).select(*_ordered("node", "pivot.node"))
+
+
+def _ordered(x: str, y: str, *more: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *more]
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """The id; a text without one has a number of its own, above all usual ids."""
+    own = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2).bitwiseOR(1 << 62)
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents by the smallest id of their exact copies, ``(node)``, and links ``(a, b)`` of near copies.
+
+    Near copies share ``NEAR_SHARE`` of their distinct shingles of ``NEAR_WORDS`` words, which is checked
+    for every link.  Pairs to check come from the balls of the SimHash fingerprints, which reach texts with
+    few edits, and from bands of least hashes, which reach the rest.  The members of a bucket are checked
+    against one of them, the pivot, so that a bucket of any size makes one pair a member.  Those that are
+    not near it, as where a bucket holds all texts with a common passage, meet again in finer buckets, of
+    every two bands of which that one is the first or the second.
+    """
+    rows = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    found = materialise(_sketches(rows), "sketches")
+    kinds = found.groupBy("same").agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    kinds = materialise(kinds.drop("same"), "kinds")
+
+    prints = materialise(kinds.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "prints")
+    first = lambda n: prints.select(F.col("fp").alias(n), F.col("first").alias(f"first_{n}"))
+    apart = links(prints).join(first("a"), "a").join(first("b"), "b")
+    apart = apart.select(F.col("first_a.node").alias("x"), F.col("first_b.node").alias("y"), F.col("first_a.n").alias("n"), F.col("first_b.n").alias("m"))
+    equal = kinds.join(prints, "fp").select(F.col("node").alias("x"), F.col("first.node").alias("y"), "n", F.col("first.n").alias("m"))
+    fits = (F.least("n", "m") >= NEAR_SHARE * F.greatest("n", "m")) & (F.col("x") != F.col("y"))
+    balls = apart.unionByName(equal).where(fits).select(*_ordered("x", "y"))
+
+    left = materialise(_pivoted(kinds.select(F.explode("bands").alias("bucket"), "node", "n")), "buckets")
+    pairs = materialise(balls.unionByName(_fitting(left)).distinct(), "pairs")
+    nodes = left.select("node").unionByName(left.select("pivot.node")).unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = materialise(rows.join(nodes.distinct().withColumnRenamed("node", "key"), "key", "left_semi"), "texts")
+    good = materialise(_alike(pairs, texts), "near")
+
+    away = left.select("bucket", "node", "n", *_ordered("node", "pivot.node")).join(good, ["a", "b"], "left_anti")
+    others = away.select("bucket", "node", "n").join(kinds.select("node", "bands"), "node").select("bucket", "node", "n", F.explode("bands").alias("other"))
+    finer = others.where("bucket <> other").select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node", "n").distinct()
+    more = materialise(_fitting(_pivoted(finer)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    good = good.unionByName(_alike(more, texts))
+    return kinds.select("node").distinct(), good
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of their group of near copies, with their columns.
+
+    Groups are what links of ``near_links`` connect; texts without a word are copies of each other.  Rows
+    that repeat a doc_id count as one document, of which one row stays.  Rows without one are documents by
+    their text, and come after those with one.
     """
-    found = simhash_components(docs, shingle)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ids = found.where("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(ids, "_key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_key", "_nth")
+    nodes, near = near_links(docs)
+    later = connected_components(near).where("node <> component").select("node")
+    ids = nodes.join(later, "node", "left_anti").withColumnRenamed("node", "_key")
+    kept = docs.withColumn("_key", _key("doc_id", "text")).join(ids, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

@@ -6,12 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 from test_operators import DOCS, ODD, dedup_by_hand, repeats
 
 import corpus_pipeline
-from codelens.llm import host_rules, queries
+from codelens.llm import host_rules, queries, simhash
 
 SPACE = "[ \t-\r]+"
 
@@ -42,17 +41,16 @@ def by_hand_quality(docs):
 
 
 def by_hand_near(docs):
-    def fingerprint(text):
-        w = text.encode().lower().split()
-        sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
-        h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    def shingles(text):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = split(w)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    marked = sorted((i, fingerprint(t)) for i, t, _ in docs)
+    marked = sorted((i, shingles(t)) for i, t, _ in docs)
     group = {i: i for i, _ in marked}
-    for i, f in marked:
-        for j, g in marked:
-            if i < j and (f ^ g).bit_count() <= 2 and group[i] != group[j]:
+    for i, s in marked:
+        for j, t in marked:
+            if i < j and group[i] != group[j] and len(s & t) >= 0.8 * len(s | t):
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if v == high else v for k, v in group.items()}
     return [d for d in docs if group[d[0]] == d[0]]
@@ -147,3 +145,33 @@ def test_stages_on_odd_tables(spark):
                 assert out.columns == docs.columns, name
             n = out.count()
             assert (n > 0) == bool(rows), name
+
+
+def test_near_copies_of_five_words(spark):
+    """Copies with edits go, at every place of the threshold; texts that share only a passage stay."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"common{i}" for i in range(60))
+    docs = []
+    for base in range(60):
+        w = [f"w{base}x{k}" for k in rng.integers(0, 10_000, 300)]
+        docs.append((10 * base, " ".join(w), "a"))
+        for k, edits in enumerate((0, 1, 4, 12, 40)):
+            v = list(w)
+            for at in rng.choice(300, edits, replace=False):
+                v[at] = f"e{base}y{k}z{at}"
+            docs.append((10 * base + k + 1, " ".join(v).upper() if k == 1 else " ".join(v), "a"))
+        docs.append((10 * base + 9, f"{passage} " + " ".join(f"o{base}u{k}" for k in range(30)), "b"))
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in simhash.first_of_each(table).select("doc_id").collect()}
+    assert kept == {d[0] for d in by_hand_near(docs)}
+
+
+def test_near_copies_of_odd_rows(spark):
+    long_text = " ".join(f"a{i}" for i in range(50_000))
+    rows = [(1, None, 1), (2, "", 2), (3, " \n", 3), (4, "one two", 4), (5, "ONE  two", 5), (6, long_text, 6), (7, long_text + " more", 7), (None, "alone here", 8), (None, "alone here", 9), (None, "one two", 10), (8, "rep", 11), (8, "rep", 12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    out = simhash.first_of_each(table)
+    assert out.columns == table.columns
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert set(kept) == {1, 4, 6, 8, None} and kept[None] == "alone here" and out.count() == 5
+    assert simhash.first_of_each(table.limit(0)).count() == 0
