@@ -395,6 +395,7 @@ def test_simhash(spark, sample):
         assert (got[i].fingerprint, got[i].component_id) == (f"{fps[i]:016x}", root(i))
     assert spark.createDataFrame([("One two three",)], "t string").select(F.xxhash64(F.lower("t"))).first()[0] % 2**64 == by_hand("one TWO three")
 
+
 def test_simhash_balls(spark):
     base = 0x0123456789ABCDEF
     near = [base, base ^ 1, base ^ 3, base ^ (1 << 63), base ^ (1 << 63) ^ (1 << 40), base ^ 0b11100, 0]
