@@ -67,6 +67,10 @@ def op7_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_pitman_yor_score, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar)}
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_pitman_yor_score, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar, op7_passage_dedup)}
 #: Reads rows by turn as the contract has it; the formatted length follows from the template.
 CHAT_SQL = r"""
 WITH t AS (

@@ -325,6 +325,28 @@ def test_line_dedup(spark, sample):
     assert sum("a passage line 6" in t for t in got.values()) == 1
 
 
+def test_long_passages_go(spark):
+    """No 51 words on end of what a document keeps stand in an earlier one, wherever lines begin; short repeats stay."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: [f"v{k}" for k in rng.integers(0, 5000, n)]
+    docs, passages, short = [(0, "")], [prose(int(n)) for n in rng.integers(51, 140, 40)], prose(31)
+    for i in range(1, 200):
+        w = prose(int(rng.integers(10, 60))) + passages[i % 40] + prose(int(rng.integers(10, 60))) + (short if i % 3 == 0 else [])
+        ends = rng.random(len(w)) < (0.0, 0.02, 0.2)[i % 3]
+        docs.append((i, "".join(x + ("\n" if e else " ") for x, e in zip(w, ends, strict=True))))
+    docs += [(300, docs[7][1]), (301, None)]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in docs], DOCS)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(table).collect()}
+    windows = lambda t: {tuple(w[i : i + 51]) for w in [words(t)] for i in range(len(w) - 50)}
+    seen = set()
+    for i, t in docs:
+        assert not windows(got[i]) & seen, i
+        seen |= windows(t)
+    assert all(b" ".join(words(got[i])) == b" ".join(words(t)) for i, t in docs[:40])
+    assert sum(" ".join(short).encode() in b" ".join(words(t)) for t in got.values()) == sum(i % 3 == 0 for i in range(1, 200))
+    assert not words(got[300]) and got[301] is None
+
+
 # ------------------------------------------------------------------ 8
 
 
