@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,30 +51,55 @@ def find_quote(text: Column, quote: Column) -> Column:
     return F.when((F.length(quote) > 0) & (at > 0), F.concat_ws(":", at - 1, at - 1 + F.length(quote)))
 
 
-def best_window(text: str, quote: str, threshold: float) -> str | None:
+class Letters:
+    """A text without case, and how often each letter stands before each place."""
+
+    def __init__(self, text: str) -> None:
+        low = text.casefold()
+        if len(low) != len(text):
+            low = text.lower() if len(text.lower()) == len(text) else text
+        self.text, self.low = text, low
+        self.codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.upto: dict[str, np.ndarray] = {}
+
+    def shared(self, quote: str, n: int) -> np.ndarray:
+        """For each window of n letters, how many it has in common with the quote, in any order."""
+        places = max(1, len(self.low) - n + 1)
+        out = np.zeros(places, np.int64)
+        for c, k in Counter(quote).items():
+            if c not in self.upto:
+                self.upto[c] = np.r_[0, np.cumsum(self.codes == ord(c), dtype=np.int32)]
+            upto = self.upto[c]
+            own = upto[n:] - upto[:places] if len(self.low) >= n else upto[-1:]
+            out += np.minimum(own, k)
+        return out
+
+
+def best_window(text: str, quote: str, threshold: float, letters: Letters | None = None) -> str | None:
     """Earliest window of the quote's length with the highest similarity, if that reaches the threshold.
 
-    A window is compared in full only if the letters that it shares with the quote allow a higher ratio.
+    A window is compared in full only if the letters that it shares with the quote allow a higher ratio, or
+    the same one earlier; those that allow most come first.  ``letters`` may be those of the text.
     """
     n = len(quote)
     if not n or not text:
         return None
-    low, wanted = text.casefold(), quote.casefold()
-    if len(low) != len(text):
-        low = text.lower() if len(text.lower()) == len(text) else text
+    letters = letters or Letters(text)
+    low, wanted = letters.low, quote.casefold()
+    bound = 2.0 * letters.shared(wanted, n) / (min(n, len(low)) + len(wanted))
     best, at = 0.0, -1
     matcher = SequenceMatcher(None, autojunk=False)
     matcher.set_seq2(wanted)
-    for i in range(max(1, len(low) - n + 1)):
-        matcher.set_seq1(low[i : i + n])
-        least = max(best, threshold - 1e-12)
-        if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
+    some = np.flatnonzero(bound >= threshold - 1e-12)
+    for i in some[np.argsort(-bound[some], kind="stable")].tolist():
+        if bound[i] < best:
+            break
+        if bound[i] == best and i > at:
             continue
+        matcher.set_seq1(low[i : i + n])
         ratio = matcher.ratio()
-        if ratio > best:
+        if ratio > best or (ratio == best and i < at):
             best, at = ratio, i
-            if best == 1.0:
-                break
     return f"{at}:{at + len(low[at : at + n])}" if at >= 0 and best >= threshold else None
 
 
@@ -89,9 +116,14 @@ def locate_quotes(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     schema = found.select(*other, "quote_index").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = Letters("")
         for b in batches:
             texts, quotes = b.column(other.index("text")), b.column(other.index("quote"))
-            got = [best_window(t.as_py(), q.as_py(), threshold) for t, q in zip(texts, quotes, strict=True)]
+            got = []
+            for t, q in zip(texts, quotes, strict=True):
+                text = t.as_py()
+                last = last if last.text == text else Letters(text)
+                got.append(best_window(text, q.as_py(), threshold, last))
             yield pa.record_batch([*b.columns[:-1], pa.array(got, pa.string())], [*other, "quote_index"])
 
     return found.where(~F.coalesce(missing, F.lit(False))).unionByName(found.where(missing).mapInArrow(run, schema))

@@ -176,10 +176,10 @@ def quote_index_exact(spark, sf_dir):
 
 @query()
 def quote_index_fuzzy(spark, sf_dir):
-    """Every sentence without its fifth letter, located in the sentence."""
+    """Every sentence without its fifth letter, located in its whole document."""
     rows = sentence_rows(spark, sf_dir)
     wrong = F.concat(F.substring("quote", 1, 4), F.substring("quote", 6, 1 << 30))
-    return locate_quotes(rows.select("doc_id", "pos", F.col("quote").alias("text"), wrong.alias("quote")), 0.85).select("doc_id", "pos", "quote", "quote_index")
+    return locate_quotes(rows.select("doc_id", "pos", "text", wrong.alias("quote")), 0.85).select("doc_id", "pos", "quote", "quote_index")
 
 
 @query("SELECT conv_id, string_agg(coalesce(nullif(trim(role), '') || ': ', '') || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

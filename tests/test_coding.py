@@ -225,3 +225,28 @@ def test_tree_depth(spark):
     rows = [("d", 0, i, "X", h) for i, h in enumerate([0, 0, 1, 2])] + [("d", 1, 0, "X", 1), ("d", 1, 1, "X", 0)]
     got = sentence_complexity(spark.createDataFrame(rows, "doc_id string, sent int, i int, pos string, head int")).first()
     assert got.mean_tree_depth == 3.0 and got.dependency_distance_mean == pytest.approx((0.75 + 1) / 2)
+
+
+def scanned(text, quote, threshold):
+    """The plain sliding scan."""
+    from difflib import SequenceMatcher
+
+    low, n = text.lower(), len(quote)
+    ratios = [SequenceMatcher(None, low[i : i + n], quote.lower(), autojunk=False).ratio() for i in range(max(1, len(low) - n + 1))]
+    best = max(ratios)
+    return f"{ratios.index(best)}:{min(len(text), ratios.index(best) + n)}" if best >= threshold else None
+
+
+def test_fuzzy_quotes_in_whole_documents(spark, tmp_path):
+    from codelens.plans.queries import quote_index_fuzzy
+
+    text = "One bird sang here. Two birds sang there, near us! One bird sang there. Nothing else was heard. One bird sang here."
+    docs = [(1, text), (2, "Was it short? It was. aaaa bbbb cccc dddd. bbbb aaaa dddd cccc. abab abab abab")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {str(i): t for i, t in docs}
+    got = [tuple(r) for r in quote_index_fuzzy(spark, str(tmp_path)).select("doc_id", "pos", "quote", "quote_index").collect()]
+    assert len(got) == 10
+    for i, _, quote, index in got:
+        at = texts[i].find(quote)
+        assert index == (f"{at}:{at + len(quote)}" if at >= 0 else scanned(texts[i], quote, 0.85)), quote
+    assert best_window("abc", "abcd", 0.8) == scanned("abc", "abcd", 0.8) == "0:3"
