@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Label, column and form of each row of the summary, in order.
+#: Label, column and form of each row of the summary, in order; labels are fixed values.
 ROWS = [
     ("Document length (words)", "n_tokens", "range"),
     ("Sentences per document", "n_sentences", "range"),
@@ -38,11 +38,10 @@ EXTRA = [
 
 
 def _shown(form: str, decimals: int) -> Column:
-    number = lambda c, k: F.when(c.isNull(), F.lit("nan")).otherwise(F.format_string(f"%.{decimals}f", c * k))
-    k = 100.0 if form == "percent" else 1.0
-    unit = F.lit("%" if form == "percent" else "")
-    mean = F.concat(number(F.col("mean"), k), unit, F.lit(" ("), number(F.col("sd"), k), unit, F.lit(")"))
-    return mean if form == "percent" else F.concat(mean, F.lit(" ["), number(F.col("min"), k), F.lit("–"), number(F.col("max"), k), F.lit("]"))
+    digits = "0" + "." * (decimals > 0) + "0" * decimals
+    k, unit = ("100 * ", "%") if form == "percent" else ("", "")
+    number = lambda c: F.coalesce(F.expr(f"format_number({k}{c}, '{digits}')"), F.lit("nan"))
+    return F.concat(number("mean"), F.lit(f"{unit} ("), number("sd"), F.lit(f"{unit}) ["), number("min"), F.lit(f"{unit}–"), number("max"), F.lit(f"{unit}]"))
 
 
 def summarize(metrics: DataFrame, readability: bool = False, decimals: int = 2) -> DataFrame:

@@ -21,7 +21,8 @@ def coding_table(instances: DataFrame, max_quote_length: int | None = None) -> D
 
 
 def _two(c: str) -> Column:
-    return F.format_string("%.2f", F.col(c))
+    """Two decimals of the binary value, ties to even."""
+    return F.expr(f"format_number(`{c}`, '0.00')")
 
 
 def _stats() -> Column:
