@@ -31,7 +31,8 @@ def _spans(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFram
     """Counts and digest of the base spans, and all spans, of a table with ``base`` and ``added``."""
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     order = lambda a: F.array_sort(F.transform(a, place)) if by_start else F.array_sort(a)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)]
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
     digest = F.sha2(pii.shown(order(F.col("base")), kinds), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, pii.shown(order(F.concat("base", "added")), kinds).alias("spans"))
 
