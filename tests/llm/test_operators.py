@@ -279,11 +279,64 @@ def test_packing(spark, sample):
     assert full >= got.sequence_id.nunique() - 8
 
 
+def bm25_by_hand(docs, seed):
+    """Scores of the documents for a seed's terms, counted over all documents."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    counts = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for c in counts for t in c)
+    k, b = packing.K1, packing.B
+    idf = {t: math.log1p((n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    return [sum(idf[t] * c[t] * (k + 1) / (c[t] + k * (1 - b + b * len(d) / mean)) for t in counts[seed] if t in c) for d, c in zip(docs, counts, strict=True)]
+
+
+def known(docs):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    return packing.Statistics(len(docs), sum(map(len, docs)), df)
+
+
 def test_packing_neighbours():
     docs = [np.array(x, "<u2") for x in ([5, 6, 7] * 20, [100, 101] * 30, [5, 6, 7] * 15, [100, 101, 102] * 10)]
-    index = packing.Index(docs)
-    assert index.neighbours(0, np.array([False, True, True, True]), 3)[0] == 2
-    assert len(index.neighbours(0, np.zeros(4, bool), 3)) == 0
+    index = packing.Index(docs, known(docs))
+    assert list(index.neighbours(0, np.array([False, True, True, True]))) == [2]
+    assert list(index.neighbours(0, np.zeros(4, bool))) == []
+    rng = np.random.default_rng(2)
+    docs = [rng.zipf(1.3, 80).clip(0, 30).astype("<u2") for _ in range(120)]
+    index = packing.Index(docs, known(docs))
+    for seed in range(0, 120, 7):
+        unused = np.arange(120) != seed
+        got, want = [], bm25_by_hand(docs, seed)
+        for i in index.neighbours(seed, unused):
+            unused[i] = False
+            got.append(i)
+        assert sorted(got) == [i for i in range(120) if i != seed and want[i] > 0]
+        assert want[got[0]] == pytest.approx(max(w for i, w in enumerate(want) if i != seed))
+
+
+def test_packing_fills_the_window_with_neighbours():
+    """Short neighbours follow a seed until the window is full or none is left, before any other document."""
+    docs = [np.array([5, 6, 7 + i, 1], "<u2") for i in range(40)] + [np.array([2000 + i, 2000 + i, 3], "<u2") for i in range(3)]
+    order = [20, 40, 41, *range(20), 42, *range(21, 40)]
+    for window, neighbours in ((100, 24), (4096, 39)):
+        packer = packing.Packer(0, window)
+        packing.pack_shard(packer, order, [docs[i] for i in order], known(docs))
+        placed = [p[0] for p in packer.pieces]
+        assert placed[0] == 20 and all(i < 40 for i in placed[1 : 1 + neighbours])
+        assert Counter(p[0] for p in packer.pieces if p[1] == 0) == Counter(order)
+
+
+def test_packing_copies_and_other_columns(spark):
+    """Copies of one row spread over tasks, null ids are kept, and other columns take no part."""
+    rows = [(7, "same words here " * 20, 1, "x")] * 400 + [(None, "a b", 2, "y")] * 3 + [(8, None, 3, "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n long, salt string").repartition(8)
+    monkey = packing.TASK_TOKENS
+    packing.TASK_TOKENS = 4000
+    try:
+        got = packing.pack(table, queries.tokenizer("word_bpe_49k.json")).toPandas()
+    finally:
+        packing.TASK_TOKENS = monkey
+    assert got[got.doc_id == 7].sequence_id.map(lambda s: s >> 40).nunique() >= 4
+    whole = got[got.start == 0]
+    assert ((whole.doc_id == 7).sum(), whole.doc_id.isna().sum(), (whole.doc_id == 8).sum()) == (400, 3, 1)
 
 
 # ------------------------------------------------------------------ 7
