@@ -19,24 +19,27 @@ from ..scratch import materialise
 class Settings:
     """Parameters of an index.
 
-    ``sample`` bounds the rows that the centroids and codebooks are fitted on; every row is indexed.
-    ``list_rows`` is the mean length of a list, ``max_lists`` bounds the centroids, which are broadcast.
-    A query reads a ``probe_share`` of the lists, and ``probes`` of them at least; vectors without any
-    structure need the large share given here for a recall of 0.9, clustered ones a small one.  Lists are read
-    in blocks of about ``block_rows`` vectors and ``block_queries`` queries, of which ``rerank`` candidates are
-    scored exactly for a query.
+    ``list_rows`` is the mean length of a list, up to ``max_lists`` lists, which are broadcast; beyond that
+    lists get longer.  The centroids and codebooks are fitted on about ``sample`` rows, or on ``rows_a_list``
+    for each list if that is more, so on 131,072 at most; every row is indexed.
+    A query reads its ``first`` nearest lists, and then the rest of a ``probe_share`` of all lists, or of
+    ``probes`` if those are more, for what is as near as the ``k``-th found so far.  Vectors without any structure need the large share given here
+    for a recall of 0.9, clustered ones a small one.  Lists are read in blocks of about ``block_rows`` vectors
+    and ``block_queries`` queries, of which ``rerank`` candidates are scored exactly for a query.
     """
 
     k: int = 20
     sample: int = 16_384
-    list_rows: int = 256
-    max_lists: int = 4096
-    probes: int = 48
-    probe_share: float = 0.7
+    rows_a_list: int = 8
+    list_rows: int = 24
+    max_lists: int = 16_384
+    first: int = 32
+    probes: int = 64
+    probe_share: float = 0.48
     parts: int = 16
     codes: int = 64
     rounds: int = 6
-    rerank: int = 256
+    rerank: int = 512
     block_rows: int = 4096
     block_queries: int = 2048
     seed: int = 7
@@ -44,33 +47,52 @@ class Settings:
 
 @dataclass
 class Model:
-    centroids: np.ndarray
+    centroids: np.ndarray  # directions of the lists, kindred ones side by side
+    lengths: np.ndarray  # mean length of a list's vectors
     codebooks: np.ndarray  # parts x codes x width
 
 
-def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool = False) -> np.ndarray:
     """Centroids from a few rounds after starting at random rows, so that dense regions get more."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([np.argmin(-2 * (b @ c.T) + (c * c).sum(1), axis=1) for b in np.array_split(x, max(1, len(x) // 4096))])
+        near = np.concatenate([nearest_lists(b, c) for b in np.array_split(x, max(1, len(x) // 4096))])
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c[n > 0] = total[n > 0] / n[n > 0, None]
+        if unit:
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
     return c
 
 
+def _directions(x: np.ndarray, lists: int, s: Settings, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of unit vectors: some, and below each of them its share of the lists."""
+    some = _lloyd(x, max(1, round(math.sqrt(lists))), s.rounds, rng, unit=True)
+    near = nearest_lists(x, some)
+    share = np.bincount(near, minlength=len(some)) * lists / len(x)
+    wanted = np.maximum(1, np.diff(np.r_[0, np.round(np.cumsum(share)).astype(int)]))
+    return np.concatenate([_lloyd(x[near == i], int(wanted[i]), s.rounds, rng, unit=True) for i in range(len(some)) if (near == i).any()])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def fit(sample: np.ndarray, lists: int, s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
-    centroids = _lloyd(sample, lists, s.rounds, rng)
-    rest = sample - centroids[nearest_lists(sample, centroids)]
+    directions = _directions(_unit(sample), lists, s, rng)
+    near = nearest_lists(_unit(sample), directions)
+    n, length = np.bincount(near, minlength=len(directions)), np.linalg.norm(sample, axis=1)
+    lengths = np.where(n > 0, np.bincount(near, length, len(directions)) / np.maximum(n, 1), length.mean())
+    rest = sample - directions[near] * lengths[near, None]
     width = -(-sample.shape[1] // s.parts)
     rest = np.pad(rest, ((0, 0), (0, s.parts * width - rest.shape[1])))
     books = []
     for i in range(s.parts):
         book = _lloyd(rest[:, i * width : (i + 1) * width], s.codes, s.rounds, rng)
         books.append(np.pad(book, ((0, s.codes - len(book)), (0, 0)), mode="edge"))
-    return Model(centroids, np.stack(books))
+    return Model(directions, lengths, np.stack(books))
 
 
 def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -79,7 +101,7 @@ def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def encode(x: np.ndarray, lists: np.ndarray, m: Model) -> np.ndarray:
     parts, codes, width = m.codebooks.shape
-    rest = x - m.centroids[lists]
+    rest = x - m.centroids[lists] * m.lengths[lists, None]
     rest = np.pad(rest, ((0, 0), (0, parts * width - rest.shape[1])))
     out = np.empty((len(x), parts), np.uint8)
     for i, book in enumerate(m.codebooks):
@@ -105,23 +127,30 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
     largest inner product among the other rows, in order, ties to the smaller id.
 
     Every usable row is in the index; scores are exact inner products of the original vectors.  Vectors that
-    are null, all zero, or hold a null or non-finite component take no part, nor do rows without an id.
-    Equal vectors under different ids are found apart; of rows that repeat an id the one with the smallest
-    vector counts.  Vectors of another length than most are an error.
+    are null, all zero, or hold a null or non-finite component take no part, nor do rows without an id, nor
+    vectors of another length than most have (of equally frequent lengths the least).  Equal vectors under
+    different ids are found apart; of rows that repeat an id the one with the smallest vector counts.
     """
     s = settings or Settings()
-    rows = materialise(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    n = rows.count()
-    if not n:
+    rows = usable(vectors, id_col, vec_col)
+    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    if not width:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.where(F.size("v") == width.w)
+    rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    n = rows.count()
     lists = max(1, min(s.max_lists, n // s.list_rows))
-    share = min(1.0, s.sample / n)
-    chosen = rows.where((F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))).select("v").limit(2 * s.sample) if share < 1 else rows.select("v")
+    some = max(s.sample, s.rows_a_list * lists)
+    share = min(1.0, some / n)
+    chosen = rows.where((F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))).select("v").limit(2 * some) if share < 1 else rows.select("v")
     sample = _matrix(chosen)
     if not len(sample):
-        sample = _matrix(rows.limit(s.sample).select("v"))
-    model = rows.sparkSession.sparkContext.broadcast(fit(sample, lists, s))
-    probes = min(lists, max(s.probes, math.ceil(s.probe_share * lists)))
+        sample = _matrix(rows.limit(some).select("v"))
+    fitted = fit(sample, lists, s)
+    lists = len(fitted.centroids)
+    model = rows.sparkSession.sparkContext.broadcast(fitted)
+    first = min(lists, s.first)
+    probes = min(lists, max(first, s.probes, math.ceil(s.probe_share * lists)))
     together = max(1, s.block_rows // s.list_rows)  # lists that are read together
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,32 +158,30 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(1).to_pylist(), float)
-                near = nearest_lists(x, m.centroids)
+                near = nearest_lists(_unit(x), m.centroids)
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in encode(x, near, m)], pa.binary())], ["vec_id", "v", "list", "code"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block of lists that a query reads at first, and for each that it reads then."""
         m = model.value
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(1).to_pylist(), float)
-                best = np.argpartition(-(x @ m.centroids.T), probes - 1, axis=1)[:, :probes]
-                pair = np.sort(best, axis=1)
-                group = pair // together
-                new = np.c_[np.ones(len(pair), bool), group[:, 1:] != group[:, :-1]].ravel()
-                at = np.flatnonzero(new)
-                row = pa.array(at // probes)
-                read = pa.ListArray.from_arrays(pa.array(np.r_[at, len(new)].astype(np.int32)), pa.array(pair.ravel().astype(np.int32)))
-                yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(group.ravel()[at].astype(np.int32)), read], ["query_id", "q", "group", "lists"])
+                near = np.argsort(-(x @ (m.centroids * m.lengths[:, None]).T), axis=1, kind="stable")
+                for early, best in ((True, near[:, :first]), (False, near[:, first:probes])):
+                    if not best.shape[1]:
+                        continue
+                    pair = np.sort(best, axis=1)
+                    group = pair // together
+                    new = np.c_[np.ones(len(pair), bool), group[:, 1:] != group[:, :-1]].ravel()
+                    at = np.flatnonzero(new)
+                    row = pa.array(at // pair.shape[1])
+                    read = pa.ListArray.from_arrays(pa.array(np.r_[at, len(new)].astype(np.int32)), pa.array(pair.ravel().astype(np.int32)))
+                    yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(group.ravel()[at].astype(np.int32)), read, pa.array(np.full(len(at), early))], ["query_id", "q", "group", "lists", "early"])
 
     index = materialise(rows.mapInArrow(assign, "vec_id long, v array<double>, list int, code binary"), "index")
     index = index.withColumn("group", F.floor(F.col("list") / together).cast("int"))
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, group int, lists array<int>"), "probes")
-    # Long groups of lists, and those that many queries read, are dealt in blocks.
-    blocks = index.groupBy("group").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("vb"))
-    blocks = blocks.join(asked.groupBy("group").agg(F.ceil(F.count("*") / s.block_queries).cast("int").alias("qb")), "group")
-    blocks = F.broadcast(blocks)  # at most max_lists rows
-    left = index.join(blocks, "group").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("vb")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    right = asked.join(blocks, "group").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
+    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, group int, lists array<int>, early boolean"), "probes")
 
     def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
@@ -169,10 +196,10 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
         out = []
         for at in range(0, len(q), 128):
             part = q.iloc[at : at + 128]
-            y, asking = np.array(part["q"].tolist(), float), part["query_id"].to_numpy()
+            y, asking, least = np.array(part["q"].tolist(), float), part["query_id"].to_numpy(), part["least"].to_numpy()
             padded = np.pad(y, ((0, 0), (0, parts * width - y.shape[1]))).reshape(len(y), parts, width)
             tables = np.einsum("pcw,qpw->qpc", m.codebooks, padded).astype(np.float32)  # asymmetric: queries stay whole
-            near = (y @ m.centroids[there].T).astype(np.float32)
+            near = (y @ (m.centroids[there] * m.lengths[there, None]).T).astype(np.float32)
             for i, read in enumerate(part["lists"]):
                 near[i, ~np.isin(there, read)] = -np.inf
             near = near[:, slot]
@@ -185,11 +212,26 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
             exact[np.isinf(np.take_along_axis(near, best, axis=1))] = -np.inf
             top = np.argsort(-exact, axis=1, kind="stable")[:, : s.k]  # places follow ids, so ties do
             score = np.take_along_axis(exact, top, axis=1)
-            good = np.isfinite(score)
+            good = np.isfinite(score) & (score >= least[:, None])
             out.append((np.repeat(asking, good.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)][good], score[good]))
         return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
-    keys = ["group", "vb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+    def read(queries: DataFrame) -> DataFrame:
+        """Rows near ``queries(query_id, q, group, lists, least)``, of a score of ``least`` or more."""
+        # Long groups of lists, and those that many queries read, are dealt in blocks.
+        blocks = index.groupBy("group").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("vb"))
+        blocks = blocks.join(queries.groupBy("group").agg(F.ceil(F.count("*") / s.block_queries).cast("int").alias("qb")), "group")
+        blocks = F.broadcast(blocks)  # at most max_lists rows
+        left = index.join(blocks, "group").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("vb")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
+        right = queries.join(blocks, "group").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
+        keys = ["group", "vb", "qb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= s.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= s.k)
+    lowest = F.lit(float("-inf"))
+    near = materialise(best(read(asked.where("early").withColumn("least", lowest))), "near")
+    kth = near.where(F.col("rank") == s.k).select("query_id", F.col("score").alias("least"))
+    then = asked.where("NOT early").join(kth, "query_id", "left").withColumn("least", F.coalesce("least", lowest))
+    found = best(near.drop("rank").unionByName(read(then)))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

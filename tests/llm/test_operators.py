@@ -56,14 +56,20 @@ def test_empty_and_odd_tables(spark, odd, none):
 # ------------------------------------------------------------------ 1
 
 
-def test_ann_recall(spark):
+def test_ann_recall(spark, monkeypatch):
+    """Against brute force, with 50 lists of which a query reads 24, and blocks larger than what is reranked."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 16))
     x[600:900] = x[5] + 1e-3 * rng.normal(size=(300, 16))  # a dense group
     x[900:903] = x[7]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (None, [1.0] * 16), (0, x[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(df, settings=ann.Settings(sample=800, list_rows=100, block_rows=64, block_queries=8)).toPandas()
+    odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (None, [1.0] * 16), (0, x[0].tolist()), (2080, [1.0] * 5), (2081, []), (2100, [9.0] * 17)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + odd
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"group": F.lit("x"), "list": F.lit(1), "score": F.lit("y")})
+    lists = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: lists.append(fit(*a)) or lists[-1])
+    got = ann.search(df, settings=ann.Settings(sample=800, list_rows=24, first=4, probes=8, probe_share=0.48, rerank=40, block_rows=256, block_queries=8)).toPandas()
+    assert len(lists[0].centroids) >= 48
     assert sorted(got.query_id.unique()) == list(range(0, 1200, 20))
     hits = 0
     for q, g in got.sort_values("rank").groupby("query_id"):
@@ -74,8 +80,9 @@ def test_ann_recall(spark):
         assert list(g["rank"]) == list(range(1, 21)) and q not in set(g.vec_id)
         assert np.allclose(g.score, [x[q] @ x[v] for v in g.vec_id], atol=1e-12)
     assert hits / (60 * 20) >= 0.9
-    assert ann.search(df.where("vec_id >= 2000")).count() == 0
-    assert ann.search(df.where("vec_id IN (20, 21)")).count() == 1
+    assert ann.search(df.where("vec_id >= 2000 AND vec_id < 2080")).count() == 0
+    assert ann.search(df.where("vec_id IN (20, 21, 2080)")).count() == 1
+    assert ann.search(df.limit(0)).count() == 0
 
 
 # ------------------------------------------------------------------ 2
