@@ -109,9 +109,15 @@ def encode(x: np.ndarray, lists: np.ndarray, m: Model) -> np.ndarray:
     return out
 
 
+def _stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy().reshape(len(whole), -1) if len(whole) else np.empty((0, 0))
+
+
 def _matrix(rows: DataFrame) -> np.ndarray:
     """A bounded number of vectors as a matrix on the driver."""
-    return np.array(rows.toArrow().column("v").to_pylist(), float)
+    return _stacked(rows.toArrow().column("v"))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -157,7 +163,7 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
         m = model.value
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), float)
+                x = _stacked(b.column(1))
                 near = nearest_lists(_unit(x), m.centroids)
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in encode(x, near, m)], pa.binary())], ["vec_id", "v", "list", "code"])
 
@@ -166,7 +172,7 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
         m = model.value
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), float)
+                x = _stacked(b.column(1))
                 near = np.argsort(-(x @ (m.centroids * m.lengths[:, None]).T), axis=1, kind="stable")
                 for early, best in ((True, near[:, :first]), (False, near[:, first:probes])):
                     if not best.shape[1]:
@@ -189,14 +195,14 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
         m = model.value
         parts, codes, width = m.codebooks.shape
         v = v.sort_values("vec_id")
-        x, ids = np.array(v["v"].tolist(), float), v["vec_id"].to_numpy()
+        x, ids = np.stack(v["v"]), v["vec_id"].to_numpy()
         code = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), parts)
         there, slot = np.unique(v["list"].to_numpy(), return_inverse=True)
         some_n = min(s.rerank, len(v))
         out = []
         for at in range(0, len(q), 128):
             part = q.iloc[at : at + 128]
-            y, asking, least = np.array(part["q"].tolist(), float), part["query_id"].to_numpy(), part["least"].to_numpy()
+            y, asking, least = np.stack(part["q"]), part["query_id"].to_numpy(), part["least"].to_numpy()
             padded = np.pad(y, ((0, 0), (0, parts * width - y.shape[1]))).reshape(len(y), parts, width)
             tables = np.einsum("pcw,qpw->qpc", m.codebooks, padded).astype(np.float32)  # asymmetric: queries stay whole
             near = (y @ (m.centroids[there] * m.lengths[there, None]).T).astype(np.float32)

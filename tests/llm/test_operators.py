@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -350,29 +351,26 @@ def test_packing_copies_and_other_columns(spark):
 
 
 def dedup_by_hand(docs):
-    import hashlib
-
     def chunks(text):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        out, own = [], []
-        for i, x in enumerate(lines):
-            own.append(x)
-            if (((h[i - 1] if i else 0) * 257 + h[i]) % 1_000_003) % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
-                out.append(own)
-                own = []
-        return out
+        w = re.findall("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+", text) or [""]
+        code = [(ord(x[1]) if len(x) > 1 else 0) * 8191 + (ord(x[-1]) if x else 0) * 131 + len(x) for x in w]
+        roll = [((code[i - 1] if i else 0) * 31_337 + c * 7919) % 1_000_003 for i, c in enumerate(code)]
+        at = [i for i, r in enumerate(roll) if i == 0 or r < 400_000 and r == min(roll[max(0, i - 5) : i + 6])]
+        return [w[a:b] for a, b in zip(at, [*at[1:], len(w)], strict=True)]
 
     seen, out = set(), {}
     for i, text in sorted(docs):
+        cut, again = chunks(text), []
+        for c in cut:
+            key = "".join(c).strip(" \t\n\x0b\f\r")
+            again.append(not key or key in seen)
+            seen.add(key)
         kept = []
-        for c in chunks(text):
-            if len(c) > 1 and tuple(c) in seen:
-                continue
-            if len(c) > 1:
-                seen.add(tuple(c))
-            kept.append("\n".join(c))
-        out[i] = "\n".join(kept)
+        for repeated, run in groupby(zip(again, cut, strict=True), key=lambda x: x[0]):
+            run = [c for _, c in run]
+            if not (repeated and sum(map(len, run)) >= 20):
+                kept += run
+        out[i] = "".join("".join(c) for c in kept)
     return out
 
 
@@ -385,6 +383,33 @@ def test_line_dedup(spark, sample):
     assert sum("a passage line 6" in t for t in got.values()) == 1
 
 
+def test_line_dedup_of_passages(spark):
+    """Passages of over 50 words that an earlier text holds lose their middle, wherever lines begin; other texts stay."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"v{'abcdefgh'[k % 8]}{k}" for k in rng.integers(0, 5000, n)]
+    passages = [prose(int(n)) for n in rng.integers(51, 90, 300)]
+    docs = [(i, " ".join(prose(30) + passages[i] + prose(30))) for i in range(300)]
+    docs += [(1000 + i, "\n".join([" ".join(prose(20)), " ".join(passages[i]), " ".join(prose(9))])) for i in range(300)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in docs[:300])
+    whole = sum(" ".join(passages[i]) in got[1000 + i] for i in range(300))
+    assert whole <= 6
+    assert all(got[1000 + i].startswith(t[:40]) and got[1000 + i].endswith(t[-20:]) for i, (_, t) in enumerate(docs[300:]))
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Null ids come last, one text each; texts that share an id are documents of their own; names may clash."""
+    p = " ".join(f"word{i * 7919 % 1000}" for i in range(60))
+    rows = [(None, p), (None, p), (None, "x " + p), (5, p + " five"), (5, p + " other"), (9, None), (9, ""), (10, " \n ")]
+    names = ["keep", "again", "starts", "gone", "pieces", "run", "row", "hash", "h", "o", "place", "n_lines", "n_removed", "_owner", "_keep", "c"]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("mine") for n in names})
+    got = line_dedup.dedup_line_chunks(table)
+    assert got.columns[:2] == ["doc_id", "text"] and {r.keep + r.hash + r.row + r._keep for r in got.collect()} == {"mine" * 4}
+    texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert sum(len(t or "") > 300 for i, t in texts) == 1 and [i for i, t in texts if len(t or "") > 300] == [5]
+    assert {repr(t) for i, t in texts if i in (9, 10)} == {"''", "' \\n '", "None"} and len(texts) == 8
+
+
 def test_long_passages_go(spark):
     """No 51 words on end of what a document keeps stand in an earlier one, wherever lines begin; short repeats stay."""
     rng = np.random.default_rng(5)
