@@ -21,6 +21,13 @@ SLICE = 1 << 15
 NEAR_WORDS, NEAR_SHARE = 5, 0.8
 #: Bands of least hashes and hashes a band: a pair at the share meets in one with a chance of 0.998.
 BANDS, BAND_ROWS = 20, 6
+#: Of two texts' least hashes, the share that agree in pairs that are checked; it is an estimate of the share of
+#: common shingles with a standard deviation of 0.04 at most near ``NEAR_SHARE``, six of which are left here.
+LIKELY = 0.56
+#: Members of a block, all of which are checked against each other.
+BLOCK = 16
+#: Times that the buckets of members without a link are made finer by a further band.
+LEVELS = 2
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,36 +103,59 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     return marked.join(lookup, "fp").select("doc_id", shown, "component_id")
 
 
-def _bands(distinct: np.ndarray) -> np.ndarray:
-    """A hash for each band of least hashes of a text's distinct shingles."""
+def _least(distinct: np.ndarray) -> np.ndarray:
+    """Least hashes of a text's distinct shingles, one a hash function."""
     least = np.full(len(_FACTORS), np.uint64((1 << 64) - 1))
     step = max(1, SLICE // 8)
     for i in range(0, len(distinct), step):
         np.minimum(least, (distinct[i : i + step, None] * _FACTORS).min(axis=0), out=least)
+    return least
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """A hash for each band of least hashes."""
     rows = least.reshape(BANDS, BAND_ROWS)
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``rows(key, text)`` to ``(key, same, fp, n, bands)``: digest of the words, SimHash, distinct shingles, bands."""
+    """``rows(key, text)`` to ``(key, same, fp, n, bands, mins)``.
+
+    They are a digest of the words, the SimHash, the number of distinct shingles, the bands, and 16 bits of
+    each least hash.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "same", "fp", "n", "bands"]
+        names = ["key", "same", "fp", "n", "bands", "mins"]
         for batch in batches:
-            same, fp, n, bands = [], [], [], []
+            same, fp, n, bands, mins = [], [], [], [], []
             for t in batch.column(1):
                 w = _words(t.as_py())
                 h = _hashes(w, NEAR_WORDS)
                 distinct = np.unique(h)
+                least = _least(distinct)
                 same.append(xxhash.xxh3_128_digest(b" ".join(w)))
                 fp.append(_majority(h))
                 n.append(len(distinct))
-                bands.append(_bands(distinct) if w else [])
+                bands.append(_bands(least) if w else [])
+                mins.append((least >> np.uint64(24)).astype("<u2").tobytes())
             signed = pa.array(np.array(fp, np.uint64).view(np.int64))
-            columns = [batch.column(0), pa.array(same, pa.binary()), signed, pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            columns = [batch.column(0), pa.array(same, pa.binary()), signed, pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(mins, pa.binary())]
             yield pa.record_batch(columns, names)
 
-    return rows.mapInArrow(sketch, "key long, same binary, fp long, n long, bands array<long>")
+    return rows.mapInArrow(sketch, "key long, same binary, fp long, n long, bands array<long>, mins binary")
+
+
+def _likely(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose least hashes agree often enough for texts that are near copies."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= LIKELY))
+
+    of = lambda n: kinds.select(F.col("node").alias(n), F.col("mins").alias(f"mins_{n}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "mins_a", "mins_b").mapInArrow(check, "a long, b long")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,9 +180,12 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _pivoted(members: DataFrame) -> DataFrame:
-    """``members(bucket, node, n)`` with ``pivot(node, n)``, the bucket's first in a hashed order, which is left out."""
-    turn = F.struct(F.xxhash64("node", F.col("bucket") % 2).alias("h"), "node", "n")
-    pivots = members.groupBy("bucket").agg(F.min(turn).alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    """``members(bucket, node, n)`` with ``pivot(node, n)``, the bucket's first in a hashed order, which is left out.
+
+    ``size`` is the number of members, the pivot included; buckets of one are left out.
+    """
+    turn = F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n")
+    pivots = members.groupBy("bucket").agg(F.min(turn).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     return members.join(pivots, "bucket").where("node <> pivot.node")
 
 
@@ -162,6 +195,35 @@ def _fitting(pivoted: DataFrame) -> DataFrame:
     return pivoted.where(fits).select(*_ordered("node", "pivot.node"))
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` within blocks of about ``BLOCK`` of ``members(bucket, node, n, size, away)``, one of them away.
+
+    A bucket of that size is one block; a larger one is dealt by a hash of the nodes, so that no member has
+    more than a block's partners.
+    """
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    own = members.select("bucket", block, "node", "n", "away")
+    other = own.select("bucket", "block", F.col("node").alias("other"), F.col("n").alias("m"), F.col("away").alias("too"))
+    fits = F.least("n", "m") >= NEAR_SHARE * F.greatest("n", "m")
+    both = own.join(other, ["bucket", "block"]).where((F.col("node") > F.col("other")) & (F.col("away") | F.col("too")) & fits)
+    return both.select(*_ordered("node", "other"))
+
+
+def _away(pivoted: DataFrame, good: DataFrame) -> DataFrame:
+    """``pivoted`` with ``away``: whether there is no link to the pivot."""
+    linked = good.withColumn("linked", F.lit(True))
+    both = pivoted.select("bucket", "node", "n", "size", *_ordered("node", "pivot.node")).join(linked, ["a", "b"], "left")
+    return both.select("bucket", "node", "n", "size", F.col("linked").isNull().alias("away"))
+
+
+def _finer(away: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Members without a link in buckets of one more band, whichever of its bands a node adds."""
+    others = away.select("bucket", "node", "n").join(kinds.select("node", "bands"), "node").select("bucket", "node", "n", F.explode("bands").alias("other"))
+    # Sums of two hashes do not depend on their order.
+    mixed = lambda c: F.shiftright(F.xxhash64(c), 2)
+    return others.where("bucket <> other").select((mixed("bucket") + mixed("other")).alias("bucket"), "node", "n").distinct()
+
+
 def _ordered(x: str, y: str, *more: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *more]
 
@@ -179,12 +241,13 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for every link.  Pairs to check come from the balls of the SimHash fingerprints, which reach texts with
     few edits, and from bands of least hashes, which reach the rest.  The members of a bucket are checked
     against one of them, the pivot, so that a bucket of any size makes one pair a member.  Those that are
-    not near it, as where a bucket holds all texts with a common passage, meet again in finer buckets, of
-    every two bands of which that one is the first or the second.
+    not near it, as where a bucket holds all texts with a common passage, are checked against the others of
+    their block, and meet again, with pivots and blocks, in buckets of one more band, ``LEVELS`` times.
+    Before texts are compared, their least hashes are.
     """
     rows = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = materialise(_sketches(rows), "sketches")
-    kinds = found.groupBy("same").agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    kinds = found.groupBy("same").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "mins")])
     kinds = materialise(kinds.drop("same"), "kinds")
 
     prints = materialise(kinds.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "prints")
@@ -193,19 +256,24 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart = apart.select(F.col("first_a.node").alias("x"), F.col("first_b.node").alias("y"), F.col("first_a.n").alias("n"), F.col("first_b.n").alias("m"))
     equal = kinds.join(prints, "fp").select(F.col("node").alias("x"), F.col("first.node").alias("y"), "n", F.col("first.n").alias("m"))
     fits = (F.least("n", "m") >= NEAR_SHARE * F.greatest("n", "m")) & (F.col("x") != F.col("y"))
-    balls = apart.unionByName(equal).where(fits).select(*_ordered("x", "y"))
-
-    left = materialise(_pivoted(kinds.select(F.explode("bands").alias("bucket"), "node", "n")), "buckets")
-    pairs = materialise(balls.unionByName(_fitting(left)).distinct(), "pairs")
-    nodes = left.select("node").unionByName(left.select("pivot.node")).unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
-    texts = materialise(rows.join(nodes.distinct().withColumnRenamed("node", "key"), "key", "left_semi"), "texts")
-    good = materialise(_alike(pairs, texts), "near")
-
-    away = left.select("bucket", "node", "n", *_ordered("node", "pivot.node")).join(good, ["a", "b"], "left_anti")
-    others = away.select("bucket", "node", "n").join(kinds.select("node", "bands"), "node").select("bucket", "node", "n", F.explode("bands").alias("other"))
-    finer = others.where("bucket <> other").select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node", "n").distinct()
-    more = materialise(_fitting(_pivoted(finer)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    good = good.unionByName(_alike(more, texts))
+    more = apart.unionByName(equal).where(fits).select(*_ordered("x", "y"))
+
+    members = kinds.select(F.explode("bands").alias("bucket"), "node", "n")
+    asked = good = None
+    for level in range(LEVELS + 1):
+        pivoted = materialise(_pivoted(members), "buckets")
+        new = more.unionByName(_fitting(pivoted)).distinct()
+        if asked is not None:
+            new = new.join(asked, ["a", "b"], "left_anti")
+        new = materialise(_likely(new, kinds), "pairs")
+        asked = new if asked is None else asked.unionByName(new)
+        nodes = new.select(F.col("a").alias("key")).unionByName(new.select(F.col("b").alias("key"))).distinct()
+        near = materialise(_alike(new, rows.join(nodes, "key", "left_semi")), "near")
+        good = near if good is None else good.unionByName(near)
+        if level < LEVELS:
+            away = materialise(_away(pivoted, good), "away")
+            more = _blocks(away)
+            members = _finer(away.where("away"), kinds)
     return kinds.select("node").distinct(), good
 
 
@@ -218,6 +286,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     nodes, near = near_links(docs)
     later = connected_components(near).where("node <> component").select("node")
-    ids = nodes.join(later, "node", "left_anti").withColumnRenamed("node", "_key")
-    kept = docs.withColumn("_key", _key("doc_id", "text")).join(ids, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    ids = nodes.join(later, "node", "left_anti").select(F.col("node").alias("key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(_key("doc_id", "text").alias("key"), row).join(ids, "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
