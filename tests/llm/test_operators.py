@@ -352,23 +352,26 @@ def test_packing_copies_and_other_columns(spark):
 
 def dedup_by_hand(docs):
     def chunks(text):
-        w = re.findall("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+", text) or [""]
-        code = [(ord(x[1]) if len(x) > 1 else 0) * 8191 + (ord(x[-1]) if x else 0) * 131 + len(x) for x in w]
+        w = re.split("[ \t-\r]", text)
+        spaced = re.split("(?=[ \t-\r])", text) if text[:1].strip(" \t\n\x0b\f\r") else ["", *re.split("(?=[ \t-\r])", text)[1 if text else 0 :]]
+        spaced = spaced if len(spaced) == len(w) else ["", *re.findall("[ \t-\r][^ \t-\r]*", text)]
+        code = [(ord(x[0]) * 131 + ord(x[-1]) * 8191 if x else 0) + len(x) for x in w]
         roll = [((code[i - 1] if i else 0) * 31_337 + c * 7919) % 1_000_003 for i, c in enumerate(code)]
-        at = [i for i, r in enumerate(roll) if i == 0 or r < 400_000 and r == min(roll[max(0, i - 5) : i + 6])]
-        return [w[a:b] for a, b in zip(at, [*at[1:], len(w)], strict=True)]
+        low = [i for i, r in enumerate(roll) if r < 260_000]
+        at = [i for k, i in enumerate(low) if not any(i - j <= 8 and roll[j] < roll[i] for j in low[max(0, k - 1) : k]) and not any(j - i <= 8 and roll[j] < roll[i] for j in low[k + 1 : k + 2])]
+        at = sorted({0, *(b for a, b in zip([0, *at], at, strict=False) if b - a >= 4)})
+        return [(" ".join(w[a:b]).lstrip(" "), spaced[a:b]) for a, b in zip(at, [*at[1:], len(w)], strict=True)]
 
     seen, out = set(), {}
     for i, text in sorted(docs):
         cut, again = chunks(text), []
-        for c in cut:
-            key = "".join(c).strip(" \t\n\x0b\f\r")
+        for key, _ in cut:
             again.append(not key or key in seen)
             seen.add(key)
         kept = []
         for repeated, run in groupby(zip(again, cut, strict=True), key=lambda x: x[0]):
-            run = [c for _, c in run]
-            if not (repeated and sum(map(len, run)) >= 20):
+            run = [c for _, (_, c) in run]
+            if not (repeated and sum(map(len, run)) >= 16):
                 kept += run
         out[i] = "".join("".join(c) for c in kept)
     return out
@@ -386,7 +389,9 @@ def test_line_dedup(spark, sample):
 def test_line_dedup_of_passages(spark):
     """Passages of over 50 words that an earlier text holds lose their middle, wherever lines begin; other texts stay."""
     rng = np.random.default_rng(8)
-    prose = lambda n: [f"v{'abcdefgh'[k % 8]}{k}" for k in rng.integers(0, 5000, n)]
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    vocabulary = ["".join(rng.choice(letters, int(n))) for n in rng.integers(2, 9, 5000)]
+    prose = lambda n: [vocabulary[k] for k in rng.integers(0, 5000, n)]
     passages = [prose(int(n)) for n in rng.integers(51, 90, 300)]
     docs = [(i, " ".join(prose(30) + passages[i] + prose(30))) for i in range(300)]
     docs += [(1000 + i, "\n".join([" ".join(prose(20)), " ".join(passages[i]), " ".join(prose(9))])) for i in range(300)]
