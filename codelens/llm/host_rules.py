@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .text import let, words
+from .text import let, unused, words
 
 SYMBOLS = "#*$%&|<>"
 #: A host is strict if its shrunken share of failing documents is above this.
@@ -65,19 +65,20 @@ def repeated_words(w: Column) -> Column:
 def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules need, ``base_failed`` and ``failed`` (any rule)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    w, lines = F.col("_words"), F.col("_lines")
-    df = docs.withColumns({"_words": words(F.col(text_col).cast("string")), "_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    own, split, n_lines = (unused(n, docs.columns) for n in ("words", "lines", "line_count"))
+    w, lines = F.col(own), F.col(split)
+    df = docs.withColumns({own: words(F.col(text_col).cast("string")), split: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     df = df.withColumns({
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_words(w),
-        "_n_lines": F.size(lines).cast("long"),
+        n_lines: F.size(lines).cast("long"),
     })
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    soft = (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * F.col("_n_lines")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
-    return df.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | soft).drop("_words", "_lines", "_n_lines")
+    soft = (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * F.col(n_lines)) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
+    return df.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | soft).drop(own, split, n_lines)
 
 
 def host_verdicts(scored: DataFrame, host_col: str = "source") -> DataFrame:
@@ -113,10 +114,11 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text") ->
 
 def _judged(scored: DataFrame, host_col: str) -> DataFrame:
     verdicts = host_verdicts(scored, host_col)
-    hosts = verdicts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("strict").alias("host_strict"))
+    name = unused("host", scored.columns)
+    hosts = verdicts.select(F.col("host").alias(name), F.col("rate").alias("host_rate"), F.col("strict").alias("host_strict"))
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    out = scored.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+    out = scored.join(hosts, F.col(host_col).eqNullSafe(F.col(name)), "left").drop(name)
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_strict") & F.col("failed")))
 
 

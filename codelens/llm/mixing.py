@@ -44,7 +44,12 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for every row.
+    """``(doc_id, source, size, source_size, target, taken)`` for every row (see ``_mix``)."""
+    return _mix(docs, weights, share, most, seed, id_col, text_col, source_col).drop("hash")
+
+
+def _mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(doc_id, hash, source, size, source_size, target, taken)`` for every row, the hash being the text's.
 
     ``size`` is the number of words.  ``taken`` counts the words that the mix takes: every document of a
     source once for each complete epoch that its target holds, then documents in order of exponential keys
@@ -52,15 +57,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sums go over slots of the keys' range, then slots of the one slot where the rest is reached, and only
     the rows of that last slot are sorted, so a source may hold any share of the rows.
 
-    Ties in the key go to the smaller id, and rows that repeat an id and text take equal places in turn.
-    Reruns agree.  A null text has size 0 and takes 0 words; a null source is a source of its own; a null id
+    A key is fixed by id and text, so rows without an id have keys of their own.  Ties go to the smaller id,
+    and rows that repeat id and text take equal places in turn.  Reruns agree.  A null text has size 0 and takes 0 words; a null source is a source of its own; a null id
     has a key like any other.  An empty table gives an empty one.
     """
     text = F.col(text_col).cast("string")
     size = F.when(text.isNull(), F.lit(0)).otherwise(F.size(words(text))).cast("long")
-    key = -F.ln(unit_hash(F.lit(seed), F.col(id_col))) / F.col("weight")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), quality_weight(text).alias("weight"))
-    rows = materialise(rows.withColumn("key", key.alias("key")), "mix")
+    key = -F.ln(unit_hash(F.lit(seed), F.col("doc_id"), F.col("digest"))) / F.col("weight")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), quality_weight(text).alias("weight"), F.md5(text).alias("digest"), F.xxhash64(text).alias("hash"))
+    rows = materialise(rows.withColumn("key", key).drop("digest"), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("weight").alias("mean"))
     plan = targets(sizes.select("source", "source_size"), weights, share, most)
     plan = plan.join(sizes.select(F.col("source").alias("_s"), "mean"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -91,30 +96,31 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     here = F.coalesce((F.col("s1") == F.col("at_s1")) & (F.col("s2") == F.col("at_s2")), F.lit(False))
     early = F.col("at_s1").isNull() | (F.col("s1") < F.col("at_s1")) | ((F.col("s1") == F.col("at_s1")) & (F.col("s2") < F.col("at_s2")))
     rest = r.where(~here).withColumn("part", F.when(early & (F.col("rest") > 0), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
     edge = r.where(here).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - prior)))
     out = rest.unionByName(edge)
-    return out.select("doc_id", "source", "size", "source_size", "target", (whole + F.col("part")).cast("long").alias("taken"))
+    return out.select("doc_id", "hash", "source", "size", "source_size", "target", (whole + F.col("part")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each time a document is taken, the last of a source cut.
 
-    Documents of which nothing is taken go.  Rows that repeat an id are taken alike.
+    Documents of which nothing is taken go.  Rows that repeat id and text are taken alike.  A column
+    ``n_chars`` is counted anew; others are kept.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    found = mix(docs, **options).where("taken > 0").groupBy(key.alias("_key")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.withColumn("_key", key).join(found, "_key").drop("_key")
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    counts = F.concat(F.array_repeat(F.col("_size"), full), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_words", F.explode(counts))
+    found = _mix(docs, **options).where("taken > 0").groupBy("doc_id", "hash").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = d.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash"))).select("row", "text", "taken", "size")
+    full, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    counts = F.concat(F.array_repeat(F.col("size"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select("row", "text", "size", F.explode(counts).alias("words"))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    cut = F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")
+    rows = rows.select("row", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 #: The same in SQL, with the parameters of the registered query.
@@ -122,7 +128,7 @@ SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
     0.5 + 0.5 / (1.0 + 20.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{SYMBOLS}', ''))) / greatest(length(coalesce(text, '')), 1))::DOUBLE AS w,
-    (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / w AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

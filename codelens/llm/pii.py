@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -125,23 +127,48 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
 
 
 LABELERS = 4
-#: Values of a pattern: kind, the votes, and whether the span is long for its kind.
-_LONG = (24, 13, 16, 14)
+#: Candidates that the classifier is fitted on, those of smallest hash.
+SAMPLE = 5000
+#: What the classifier sees of a span: its kind, its kind and length, the shape of its characters, the words
+#: before and after, and the characters that touch it; numbers of each, words and shapes by hash.
+PARTS = (len(KINDS), len(KINDS) * 16, 128, 128, 128, 8, 8)
+_STARTS = tuple(sum(PARTS[:i]) for i in range(len(PARTS)))
+_last_word, _first_word = re.compile(r"[^\W\d_]+(?=[\W\d_]*$)"), re.compile(r"^[\W\d_]*([^\W\d_]+)")
 
 
-def pattern_of(kind: int, given: tuple[int, ...], length: int) -> int:
+def _hashed(text: str, n: int) -> int:
+    return zlib.crc32(text.lower().encode("utf-8", "surrogatepass")) % n
+
+
+def _touching(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 + min(3, ":.-".find(c) + 1)
+
+
+def features(text: str, kind: int, start: int, end: int) -> list[int]:
+    """Numbers of the features that a span has, one of each part."""
+    body = text[start:end]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub(r"[^\W\d_]", "a", body)))
+    before, after = _last_word.search(text[max(0, start - NEAR) : start]), _first_word.search(text[end : end + NEAR])
+    found = (
+        kind, kind * 16 + min(15, len(body) // 3), _hashed(shape, PARTS[2]), _hashed(before[0] if before else "", PARTS[3]),
+        _hashed(after[1] if after else "", PARTS[4]), _touching(text[start - 1 : start]), _touching(text[end : end + 1]),
+    )
+    return [a + b for a, b in zip(_STARTS, found, strict=True)]
+
+
+def pattern_of(kind: int, given: tuple[int, ...]) -> int:
     out = kind
     for v in given:
         out = out * 3 + v
-    return out * 2 + (length > _LONG[kind])
+    return out
 
 
-def read_pattern(pattern: int) -> tuple[int, tuple[int, ...], int]:
-    long, out, given = pattern % 2, pattern // 2, []
+def read_pattern(pattern: int) -> tuple[int, tuple[int, ...]]:
+    out, given = pattern, []
     for _ in range(LABELERS):
         given.append(out % 3)
         out //= 3
-    return out, tuple(reversed(given)), long
+    return out, tuple(reversed(given))
 
 
 def reliabilities(given: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -163,35 +190,37 @@ def reliabilities(given: np.ndarray, count: np.ndarray, rounds: int = 50) -> tup
     return p, table
 
 
-def train(patterns: dict[int, int]) -> dict[int, float]:
-    """Probability of each pattern by a logistic classifier fitted to EM's labels, weighted by counts."""
-    if not patterns:
-        return {}
+def label(patterns: dict[int, int]) -> dict[int, float]:
+    """Probability of personal data for each pattern of votes, by EM within each kind."""
     keys = sorted(patterns)
     read = [read_pattern(k) for k in keys]
-    kind, given, long = np.array([r[0] for r in read]), np.array([r[1] for r in read]), np.array([r[2] for r in read])
-    count = np.array([patterns[k] for k in keys], float)
-    label = np.zeros(len(keys))
-    for k in set(kind.tolist()):
-        at = kind == k
-        label[at] = reliabilities(given[at], count[at])[0]
-    x = np.hstack([np.eye(len(KINDS))[kind], *(np.eye(3)[given[:, j]] for j in range(LABELERS)), long[:, None]])
-    weight = np.sqrt(count)
+    out: dict[int, float] = {}
+    for kind in {r[0] for r in read}:
+        at = [i for i, r in enumerate(read) if r[0] == kind]
+        p, _ = reliabilities(np.array([read[i][1] for i in at]), np.array([patterns[keys[i]] for i in at], float))
+        out |= dict(zip([keys[i] for i in at], p.tolist(), strict=True))
+    return out
+
+
+def train(spans: list[list[int]], labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic classifier of spans, by their features, fitted to EM's probabilities."""
+    x = np.zeros((len(spans), sum(PARTS)))
+    x[np.arange(len(spans))[:, None], np.array(spans, int).reshape(len(spans), len(PARTS))] = 1
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's steps with a ridge
+    for _ in range(20):  # Newton's steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (label - p)) - 0.1 * w
-        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        grad = x.T @ (labels - p) - 0.3 * w
+        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 0.3 * np.eye(len(w))
         w += np.linalg.solve(hess, grad)
-    return dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+    return w
 
 
-SPAN = "struct<kind:int,start:int,end:int,pattern:int>"
+SPAN = "struct<kind:int,start:int,end:int,pattern:int,features:array<int>>"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, base, loose)`` for every row: arrays of spans with their vote patterns."""
-    span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())])
+    """``(doc_id, base, loose)`` for every row: arrays of spans with their vote patterns and features."""
+    span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +230,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 strict = base_spans(text)
                 free = outside(loose_spans(text), strict)
                 for out, spans, flag in ((base, strict, True), (loose, free, False)):
-                    out.append([{"kind": k, "start": a, "end": b, "pattern": pattern_of(k, votes(text, k, a, b, flag), b - a)} for k, a, b in spans])
+                    out.append([{"kind": k, "start": a, "end": b, "pattern": pattern_of(k, votes(text, k, a, b, flag)), "features": features(text, k, a, b)} for k, a, b in spans])
             yield pa.record_batch([batch.column(0), pa.array(base, pa.list_(span)), pa.array(loose, pa.list_(span))], ["doc_id", "base", "loose"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -213,15 +242,21 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Strict patterns give the base spans, which stay.  They and looser candidates get votes from a pattern, a
     form, a gazetteer and a context labeler.  Counts of vote patterns over all rows, at most a few hundred
-    rows, go to EM and to the classifier's training on the driver; the classifier adds the looser candidates
-    it accepts.  A null text counts as empty; repeated rows stay; a null id is kept.
+    rows, go to EM, which gives each pattern a probability.  With these as labels of ``SAMPLE`` candidates a
+    classifier is fitted that sees no votes, but the span and what stands around it; it adds the looser
+    candidates of which it is surer than ``ACCEPT``.  A null text counts as empty; repeated rows stay; a null
+    id is kept; without candidates nothing is added.  Other columns take no part.
     """
     spans = materialise(candidates(docs, id_col, text_col), "spans")
-    counts = spans.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.pattern").count()
-    sure = train({r["pattern"]: r["count"] for r in counts.collect()})
-    accepted = F.array(*[F.lit(k) for k, p in sure.items() if p > ACCEPT]).cast("array<int>")
+    each = spans.select("doc_id", F.explode(F.concat("base", "loose")).alias("s"))
+    known = label({r["pattern"]: r["count"] for r in each.groupBy("s.pattern").count().collect()})
+    some = each.select(F.xxhash64("doc_id", "s.start", "s.end").alias("h"), "s.pattern", "s.features").orderBy("h", "pattern", "features").limit(SAMPLE).collect()
+    weights = train([r.features for r in some], np.array([known[r.pattern] for r in some]))
+    least = math.log(ACCEPT / (1 - ACCEPT))
+    scores = F.array(*[F.lit(float(w)) for w in weights])
+    score = lambda s: F.aggregate(s["features"], F.lit(0.0), lambda a, f: a + F.get(scores, f))
     place = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return spans.select("doc_id", place(F.col("base")).alias("base"), place(F.filter("loose", lambda s: F.array_contains(accepted, s["pattern"]))).alias("added"))
+    return spans.select("doc_id", place(F.col("base")).alias("base"), place(F.filter("loose", lambda s: score(s) > least)).alias("added"))
 
 
 def shown(spans, names: tuple[str, ...]):

@@ -41,6 +41,16 @@ def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(pii.find_personal_data(_table(spark, sf_dir, "documents")), pii.KINDS, by_start=False)
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3, which SQL can express."""
+    return op3_pii_weak_supervision(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10, which SQL can express."""
+    return op10_secret_grammar(spark, sf_dir).drop("spans")
+
+
 def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.KINDS, by_start=True)
 
@@ -64,7 +74,7 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_line_chunks(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_line_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
 
 
@@ -80,7 +90,7 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_pitman_yor_score, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar, op7_passage_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_pitman_yor_score, op3_pii_weak_supervision, op4_host_quality, op5_chat_format, op6_retrieval_packing, op7_line_chunk_dedup, op8_weighted_mix, op9_simhash_ball, op10_secret_grammar, op7_passage_dedup, personal_data_base, secrets_base)}
 #: Reads rows by turn as the contract has it; the formatted length follows from the template.
 CHAT_SQL = r"""
 WITH t AS (
@@ -92,4 +102,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-SQL = {"op5_chat_format": CHAT_SQL, "op4_host_quality": host_rules.SQL, "op7_line_chunk_dedup": line_dedup.SQL, "op8_weighted_mix": mixing.SQL}
+
+
+def _base_sql(kinds: dict[str, tuple[str, str]], order: str) -> str:
+    """Counts and digest of the matches ``m`` of each kind's pattern that pass its test.
+
+    A match starts after what splitting leaves before it and the matches before.
+    """
+    parts = []
+    for k, (name, (pattern, test)) in enumerate(kinds.items()):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, '{name}' AS kind, m, i, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS start FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS ms, regexp_split_to_array(t, '{quoted}') AS gs FROM d)) QUALIFY {test.replace("PATTERN", quoted)}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name in kinds)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY {order}), '')) AS base_sha256
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE (2 * substr(reverse({_DIGITS}), i, 1)::INT) // 10 + (2 * substr(reverse({_DIGITS}), i, 1)::INT) % 10 END)) % 10 = 0"
+PERSONAL_SQL = _base_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR ('0' || right(x, 3))::INT > 255)) = 0"),
+    "card": (r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}, "k, start")
+SECRETS_SQL = _base_sql({
+    "assign": (r"""(?:(?i:password|passwd|secret|token|api_?key))["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", r"""length(regexp_extract(m, '^(?:(?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"""),
+    "access": (r"AKIA[A-Z0-9]+", "length(m) >= 16"),
+    "hex": (r"[0-9a-f]+", "length(m) >= 32"),
+}, "start, k")
+SQL = {"personal_data_base": PERSONAL_SQL, "secrets_base": SECRETS_SQL, "op5_chat_format": CHAT_SQL, "op4_host_quality": host_rules.SQL, "op7_line_chunk_dedup": line_dedup.SQL, "op8_weighted_mix": mixing.SQL}

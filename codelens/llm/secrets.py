@@ -18,17 +18,17 @@ KINDS = ("assign", "access", "hex")
 SAMPLE = 600
 #: Hoeffding bound's confidence for merging two states.
 ALPHA = 0.05
-#: Mean log-likelihood ratio of a character, automaton against background, from which a candidate is added.
-ACCEPT = 0.7
+#: Log-likelihood ratio, automaton against background, from which a candidate is added: a character and in all.
+ACCEPT, ACCEPT_ALL = 0.7, 12.0
 #: Labelled credentials of more characters are left out of that sample, which bounds the prefix tree.
 LONGEST = 256
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_token = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_digit = re.compile("[0-9]")
-_letter = re.compile("[A-Za-z]")
+_token = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")
+#: Runs that cannot be told from words: letters in usual case, perhaps with marks between or after them.
+_words = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++)?(?:[+/_.=-]++(?:[A-Z]?[a-z]++|[A-Z]++)?)*+")
 _keys = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Classes of characters: digits, a-f, g-z, A-F, G-Z, others.
@@ -52,17 +52,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """``(start, end, value)`` of long words with a letter and a digit outside the base spans."""
-    if not _digit.search(text):
-        return []
+    """``(start, end, value)`` of runs of eight or more characters of credentials outside the base spans.
+
+    Runs of letters in usual case, with or without marks, are words and no candidates; all others are.  Dots
+    and dashes at the end belong to the sentence.
+    """
     out, i = [], 0
     for m in _token.finditer(text):
-        if not (_digit.search(m[0]) and _letter.search(m[0])):
+        value = m[0].rstrip(".-")
+        end = m.start() + len(value)
+        if len(value) < 8 or _words.fullmatch(value):
             continue
         while i < len(base) and base[i][2] <= m.start():
             i += 1
-        if not any(a < m.end() and m.start() < b for _, a, b, _ in base[i : i + 8]):
-            out.append((m.start(), m.end(), m[0]))
+        if not any(a < end and m.start() < b for _, a, b, _ in base[i : i + 8]):
+            out.append((m.start(), end, value))
     return out
 
 
@@ -222,8 +226,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, base, added)`` for every row, arrays of ``(kind, start, end)`` in code points.
 
     Patterns give the base spans, which stay and label the credentials that the automata are learnt from.
-    Every other long word with letters and digits is scored by each automaton against the background, and
-    added under the kind that explains it best, if that is by ``ACCEPT`` a character or more.  A null text
+    Every other run of eight or more of their characters that is no word is scored by each automaton against
+    the background, and added under the kind that explains it best, if that is by ``ACCEPT`` a character and
+    ``ACCEPT_ALL`` in all.  A null text
     counts as empty; repeated rows stay; a null id is kept; without labelled credentials nothing is added.
     """
     spans = materialise(scan(docs, id_col, text_col), "secrets")
@@ -233,8 +238,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def verdict(value: str) -> int:
         grammars, rest = model.value
         plain = rest.log_likelihood(value)
-        best = max(((a.log_likelihood(value) - plain) / (len(value) + 1), -k) for k, a in enumerate(grammars) if a) if any(grammars) else (-1.0, 0)
-        return -best[1] if best[0] >= ACCEPT else -1
+        gain, k = max(((a.log_likelihood(value) - plain, -k) for k, a in enumerate(grammars) if a), default=(-1.0, 0))
+        return -k if gain >= max(ACCEPT_ALL, ACCEPT * (len(value) + 1)) else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])

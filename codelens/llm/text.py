@@ -25,3 +25,11 @@ def unit_hash(*parts: Column) -> Column:
     """A number in (0, 1) fixed by its parts: 52 bits of an MD5 digest."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or it with marks behind that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -77,7 +77,7 @@ def by_hand_mix(docs):
         keyed = []
         for i, t, source in docs:
             if source == s:
-                u = (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"17:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 quality = 0.5 + 0.5 / (1 + 20 * sum(c in "#*$%&|<>" for c in t) / max(len(t), 1))
                 keyed.append((-math.log(u) / quality, i, t))
         for _, i, t in sorted(k for k in keyed if size[k[1]]):
@@ -136,6 +136,7 @@ def test_pipeline_by_hand(spark, tmp_path):
 def test_stages_on_odd_tables(spark):
     """Nulls, repeated rows, empty tables and more columns, whose names clash with those that operators add."""
     clash = {"extra": F.lit(1), "size": F.lit("x"), "weight": F.lit(2), "kept": F.lit("x"), "n_lines": F.lit(0), "key": F.lit("x"), "fp": F.lit("x"), "group": F.lit("x"), "taken": F.lit("x"), "source_size": F.lit("x"), "target": F.lit("x"), "signature": F.lit("x"), "host": F.lit("x")}
+    clash |= {n: F.lit("x") for n in ("words", "lines", "line_count", "_words", "_host", "_owner", "_keep", "_taken", "_size", "_key", "hash", "row", "id", "h", "piece", "keep", "new", "salt", "ids", "first", "second", "digest", "size_")}
     long = [(20 + i, " ".join(f"w{i}x{k}" for k in range(60)), None, None if i % 2 else "a", None) for i in range(6)]
     for rows in (ODD + long, []):
         docs = spark.createDataFrame(rows, DOCS).withColumns(clash)
