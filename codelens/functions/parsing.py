@@ -38,7 +38,6 @@ def extract_instances(valid: DataFrame) -> DataFrame:
     empty, a missing confidence 1; confidences are cut to whole numbers.  Items that are no objects, or have
     a wrong type or a confidence outside 0 to 2, are dropped.
     """
-    valid.createOrReplaceTempView("_codelens_valid")
     conf = _field("confidence", "variant")
     rows = valid.sparkSession.sql(f"""
         SELECT doc_id, text, pos AS ord, {_text_or('construct', "'Unknown'")} AS construct, {_text_or('quote', "''")} AS quote,
@@ -47,8 +46,8 @@ def extract_instances(valid: DataFrame) -> DataFrame:
           CASE WHEN {conf} IS NULL THEN 1 WHEN is_variant_null({conf}) THEN NULL
             WHEN schema_of_variant({conf}) LIKE 'DECIMAL%' OR schema_of_variant({conf}) = 'DOUBLE' THEN CAST({_field('confidence', 'double')} AS INT)
             ELSE {_field('confidence', 'int')} END AS confidence
-        FROM _codelens_valid, LATERAL variant_explode(variant_get(parsed, '$.instances', 'variant'))
-        WHERE parsed IS NOT NULL AND schema_of_variant(value) LIKE 'OBJECT%'""")
+        FROM {{valid}}, LATERAL variant_explode(variant_get(parsed, '$.instances', 'variant'))
+        WHERE parsed IS NOT NULL AND schema_of_variant(value) LIKE 'OBJECT%'""", valid=valid)
     rows = rows.where("construct IS NOT NULL AND quote IS NOT NULL AND speaker_ok AND confidence BETWEEN 0 AND 2")
     return rows.select("doc_id", "construct", F.col("ord").cast("int").alias("ord"), "speaker_id", "quote", find_quote(F.col("text"), F.col("quote")).alias("quote_index"), "confidence")
 
@@ -59,15 +58,14 @@ def extract_matches(valid: DataFrame) -> DataFrame:
     A missing confidence is 0.5 and any is held within 0 and 1; paraphrase is false if missing; items without
     two whole indices are dropped.
     """
-    valid.createOrReplaceTempView("_codelens_matches")
     para = _field("paraphrase", "variant")
     rows = valid.sparkSession.sql(f"""
         SELECT doc_id, construct, CAST(pos AS INT) AS ord, {_field('human_index', 'int')} AS human_index, {_field('llm_index', 'int')} AS llm_index,
           CASE WHEN {para} IS NULL THEN false WHEN schema_of_variant({para}) = 'STRING' THEN {_field('paraphrase', 'string')} <> ''
             ELSE coalesce({_field('paraphrase', 'boolean')}, false) END AS paraphrase,
           CASE WHEN {_field('match_confidence', 'variant')} IS NULL THEN 0.5D ELSE {_field('match_confidence', 'double')} END AS match_confidence
-        FROM _codelens_matches, LATERAL variant_explode(variant_get(parsed, '$.matches', 'variant'))
-        WHERE parsed IS NOT NULL AND schema_of_variant(value) LIKE 'OBJECT%'""")
+        FROM {{valid}}, LATERAL variant_explode(variant_get(parsed, '$.matches', 'variant'))
+        WHERE parsed IS NOT NULL AND schema_of_variant(value) LIKE 'OBJECT%'""", valid=valid)
     rows = rows.where("human_index IS NOT NULL AND llm_index IS NOT NULL AND match_confidence IS NOT NULL")
     return rows.withColumn("match_confidence", F.least(F.greatest("match_confidence", F.lit(0.0)), F.lit(1.0)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -51,56 +52,81 @@ def find_quote(text: Column, quote: Column) -> Column:
     return F.when((F.length(quote) > 0) & (at > 0), F.concat_ws(":", at - 1, at - 1 + F.length(quote)))
 
 
-class Letters:
-    """A text without case, and how often each letter stands before each place."""
+class Grams:
+    """A text without case, and where it has the letters or neighbouring letters of a quote."""
 
     def __init__(self, text: str) -> None:
-        low = text.casefold()
-        if len(low) != len(text):
-            low = text.lower() if len(text.lower()) == len(text) else text
-        self.text, self.low = text, low
-        self.codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
-        self.upto: dict[str, np.ndarray] = {}
-
-    def shared(self, quote: str, n: int) -> np.ndarray:
-        """For each window of n letters, how many it has in common with the quote, in any order."""
-        places = max(1, len(self.low) - n + 1)
-        out = np.zeros(places, np.int64)
-        for c, k in Counter(quote).items():
-            if c not in self.upto:
-                self.upto[c] = np.r_[0, np.cumsum(self.codes == ord(c), dtype=np.int32)]
-            upto = self.upto[c]
-            own = upto[n:] - upto[:places] if len(self.low) >= n else upto[-1:]
-            out += np.minimum(own, k)
-        return out
-
-
-def best_window(text: str, quote: str, threshold: float, letters: Letters | None = None) -> str | None:
-    """Earliest window of the quote's length with the highest similarity, if that reaches the threshold.
-
-    A window is compared in full only if the letters that it shares with the quote allow a higher ratio, or
-    the same one earlier; those that allow most come first.  ``letters`` may be those of the text.
+        self.text, low = text, _plain(text)
+        #: None where lower case has other places than the text; every window is a candidate there.
+        self.codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) if len(low) == len(text) else None
+        self.by_size: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def of(self, size: int) -> np.ndarray:
+        if size not in self.by_size:
+            self.by_size[size] = _joined(self.codes, size)
+        return self.by_size[size]
+
+    def shared(self, quote: str, size: int) -> np.ndarray:
+        """For each window of the quote's length, how many of its grams the quote has."""
+        own = _joined(np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), size)
+        upto = np.r_[0, np.cumsum(np.isin(self.of(size), own))]
+        k = len(quote) - size + 1
+        return upto[k:] - upto[:-k]
+
+
+def _plain(text: str) -> str:
+    """Lower case, with one letter for both small sigmas, since a window may end where no word does."""
+    return text.lower().replace("ς", "σ")
+
+
+def _joined(codes: np.ndarray, size: int) -> np.ndarray:
+    """A number for each place's gram; code points have 21 bits, so up to three of them fit."""
+    out = codes
+    for i in range(1, size):
+        out = (out[:-1] << np.uint64(21)) | codes[i:]
+    return out
+
+
+def best_window(text: str, quote: str, threshold: float, grams: Grams | None = None) -> str | None:
+    """Earliest window of the quote's length with the highest ratio to the quote, if that reaches the threshold.
+
+    The ratio is that of ``difflib``, quote first, in lower case; a text shorter than the quote has no window.
+    If M of n letters match, in at most 2(n - M) + 1 blocks, the window has at least M - (2(n - M) + 1)(q - 1)
+    of the quote's grams of q letters, so only windows with as many as the threshold asks for are candidates.
+    They are compared in the order of the letters they share, and in full only if these allow a higher ratio,
+    or the same one earlier.  ``grams`` may be those of the text.
     """
     n = len(quote)
-    if not n or not text:
+    if not n or len(text) < n:
         return None
-    letters = letters or Letters(text)
-    low, wanted = letters.low, quote.casefold()
-    bound = 2.0 * letters.shared(wanted, n) / (min(n, len(low)) + len(wanted))
+    grams, wanted = grams or Grams(text), quote.lower()
+    least = math.ceil(threshold * n - 1e-9)
+    needed = {q: least - (2 * (n - least) + 1) * (q - 1) for q in (3, 2, 1)}
+    size = next((q for q, k in needed.items() if k > 0 and n >= q), None)
+    if grams.codes is None or size is None or len(wanted) != n:
+        some = range(len(text) - n + 1)
+    else:
+        some = np.flatnonzero(grams.shared(_plain(quote), size) >= needed[size]).tolist()
+    letters = Counter(wanted)
+    bounded = []
+    for i in some:
+        window = text[i : i + n].lower()
+        bound = 2.0 * sum((letters & Counter(window)).values()) / (len(wanted) + len(window))
+        if bound >= threshold:
+            bounded.append((-bound, i, window))
     best, at = 0.0, -1
-    matcher = SequenceMatcher(None, autojunk=False)
-    matcher.set_seq2(wanted)
-    some = np.flatnonzero(bound >= threshold - 1e-12)
-    for i in some[np.argsort(-bound[some], kind="stable")].tolist():
-        if bound[i] < best:
+    for bound, i, window in sorted(bounded):
+        if -bound < best:
             break
-        if bound[i] == best and i > at:
+        if -bound == best and i > at:
             continue
-        matcher.set_seq1(low[i : i + n])
-        ratio = matcher.ratio()
+        ratio = SequenceMatcher(None, wanted, window).ratio()
         if ratio > best or (ratio == best and i < at):
             best, at = ratio, i
-    return f"{at}:{at + len(low[at : at + n])}" if at >= 0 and best >= threshold else None
+    return f"{at}:{at + n}" if at >= 0 and best >= threshold else None
 
 
 def locate_quotes(rows: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -116,13 +142,13 @@ def locate_quotes(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     schema = found.select(*other, "quote_index").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = Letters("")
+        last = Grams("")
         for b in batches:
             texts, quotes = b.column(other.index("text")), b.column(other.index("quote"))
             got = []
             for t, q in zip(texts, quotes, strict=True):
                 text = t.as_py()
-                last = last if last.text == text else Letters(text)
+                last = last if last.text == text else Grams(text)
                 got.append(best_window(text, q.as_py(), threshold, last))
             yield pa.record_batch([*b.columns[:-1], pa.array(got, pa.string())], [*other, "quote_index"])
 

@@ -3,11 +3,33 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Meta:
+    """What a codebook says of itself; ``built_from`` has names and versions of those it comes from."""
+
+    name: str = ""
+    version: int | None = 1
+    citation: str = ""
+    built_from: tuple[tuple[str, int | None], ...] = ()
+    partial: bool = False
+
+    def refined(self) -> Meta:
+        """Of a partial codebook that was refined from this one; it has no version until it is merged."""
+        return Meta(self.name, None, self.citation, ((self.name, self.version),), True)
+
+    def merged(self, partial: Meta, version: int | None = None) -> Meta:
+        """Of this codebook after a merge with a partial one, the next version if none is given."""
+        if not partial.partial:
+            warnings.warn("the codebook to merge is not flagged as partial; its constructs replace the base's all the same", stacklevel=2)
+        return Meta(self.name, merged_version(self.version or 1, version), self.citation, ((self.name, self.version),))
+
+
 def rename_constructs(instances: DataFrame, mapping: DataFrame) -> DataFrame:
     """New names by ``mapping(old, new)``; others stay."""
     m = mapping.select(F.col("old").alias("construct"), F.col("new").alias("_new"))
@@ -40,6 +62,11 @@ def underperforming(pooled: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pooled.where(~F.col("is_overall") & (F.col("pabak") < threshold)).select("construct")
 
 
+def not_in_codebook(pooled: DataFrame, codebook: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Constructs below the threshold that refining skips, since the codebook lacks them."""
+    return underperforming(pooled, threshold).join(codebook.select("construct"), "construct", "left_anti").orderBy("construct")
+
+
 def sample_size(n: int | str) -> int | None:
     if n == "all":
         return None
@@ -65,7 +92,8 @@ def new_quotes(comparison: DataFrame, known: DataFrame, status: str, column: str
 def refine(comparison: DataFrame, pooled: DataFrame, codebook: DataFrame, threshold: float = 0.8, n_examples: int | str = 50, n_counterexamples: int | str = 50, seed: int = 0) -> DataFrame:
     """Partial codebook: constructs that agree badly, with missed quotes as examples and wrong ones as counter-examples.
 
-    Only constructs of the codebook that gain something are returned, with their own entries first.
+    Only constructs of the codebook that gain something are returned, with their own entries first; those it
+    lacks are the rows of ``not_in_codebook``.
     """
     own = codebook.join(underperforming(pooled, threshold), "construct", "left_semi")
     rows = comparison.join(own.select("construct"), "construct", "left_semi")

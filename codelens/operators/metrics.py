@@ -27,6 +27,11 @@ def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.bround(n, 4) for n in names})
 
 
+def rounded(per_doc: DataFrame) -> DataFrame:
+    """Metrics of each document and construct to four places, as they are shown."""
+    return _rounded(per_doc, METRICS)
+
+
 def pr_auc(comparison: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision of the LLM's confidences for each key; null unless both labels occur.
 
@@ -42,11 +47,15 @@ def pr_auc(comparison: DataFrame, keys: list[str]) -> DataFrame:
     return out if keys else out.where("pr_auc IS NOT NULL")
 
 
+def document_counts(comparison: DataFrame) -> DataFrame:
+    """Counts of each document and construct, with their metrics but PR-AUC."""
+    return with_metrics(comparison.groupBy("doc_id", "construct").agg(*_sums()))
+
+
 def per_document(comparison: DataFrame) -> DataFrame:
     """Unrounded metrics of each document and construct (PR-AUC is rounded as it is computed)."""
     keys = ["doc_id", "construct"]
-    counts = with_metrics(comparison.groupBy(*keys).agg(*_sums()))
-    return counts.join(pr_auc(comparison, keys), keys, "left")
+    return document_counts(comparison).join(pr_auc(comparison, keys), keys, "left")
 
 
 def document_stats(per_doc: DataFrame) -> DataFrame:
@@ -56,15 +65,16 @@ def document_stats(per_doc: DataFrame) -> DataFrame:
     frequency is their number, so no grid of documents and constructs is built.
     """
     rows = per_doc.select("doc_id", "construct", F.col("union").alias("u"))
-    total = rows.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("construct").alias("constructs")).first()
+    total = F.broadcast(rows.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("construct").alias("constructs")))  # one row
     by = rows.groupBy("construct", "u").agg(F.count("*").alias("n"))
     flagged = by.select(F.lit(False).alias("is_overall"), "construct", "u", "n").unionByName(by.select(F.lit(True).alias("is_overall"), F.lit(OVERALL).alias("construct"), "u", "n"))
     there = flagged.groupBy("is_overall", "construct").agg(F.sum("n").alias("n"))
-    possible = F.when(F.col("is_overall"), F.lit(total.docs * total.constructs)).otherwise(F.lit(total.docs))
+    there = there.join(total)
+    possible = F.when(F.col("is_overall"), F.col("docs") * F.col("constructs")).otherwise(F.col("docs"))
     zeros = there.select("is_overall", "construct", F.lit(0).cast("long").alias("u"), (possible - F.col("n")).alias("n")).where("n > 0")
     p = F.percentile("u", F.array(F.lit(0.05), F.lit(0.95)), F.col("n"))
     out = flagged.unionByName(zeros).groupBy("is_overall", "construct").agg(p.alias("p"))
-    n_docs = F.when(F.col("is_overall"), F.lit(total.docs)).otherwise(F.col("n"))
+    n_docs = F.when(F.col("is_overall"), F.col("docs")).otherwise(F.col("n"))
     return there.join(out, ["is_overall", "construct"]).select("is_overall", "construct", n_docs.cast("long").alias("n_docs"), F.bround(F.col("p")[0], 2).alias("p5"), F.bround(F.col("p")[1], 2).alias("p95"))
 
 
@@ -99,6 +109,11 @@ def weighted_summary(per_doc: DataFrame) -> DataFrame:
     return out.join(document_stats(per_doc), keys, "left").orderBy(*keys)
 
 
+def pooled_summary(comparison: DataFrame) -> DataFrame:
+    """The pooled table alone, without what only the others need."""
+    return pooled(comparison, document_counts(comparison))
+
+
 def summary_tables(comparison: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(per_doc, pooled, weighted)``; metrics are rounded to four places, weighted ones after weighing."""
     exact = per_document(comparison)

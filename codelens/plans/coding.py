@@ -8,15 +8,31 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import extract_instances, first_success, validate_responses
 from ..schemas import RESPONSES
 from ..scratch import materialise
+from ..sources.codings import read_codebook
+from ..sources.documents import check_unique, read_documents, rows_as_documents
+from ..sources.sinks import nested_results, run_id, run_summary, write_run
+
+
+@dataclass
+class Response:
+    """A coder's answer with what its service reports of it; a coder may also return the text alone."""
+
+    text: str
+    model: str | None = None
+    usage: dict[str, int] | None = None
+    created: int | None = None
+    response_id: str | None = None
+    raw: dict | None = None
+
 
 #: A coder takes a prompt and returns a response; one is made for each partition.
-Coder = Callable[[str], str]
+Coder = Callable[[str], "str | Response"]
 
 TEMPLATE = """Code the text below with the codebook's constructs.
 
@@ -83,11 +99,15 @@ def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retri
                         time.sleep(pause)
                     began, row = time.time(), {"doc_id": doc, "attempt": attempt, "model": model}
                     try:
-                        row["response_text"] = coder(text)
-                        json.loads(row["response_text"])
+                        got = coder(text)
+                        if isinstance(got, Response):
+                            row |= {"model": got.model or model, "usage": list((got.usage or {}).items()), "created": got.created, "response_id": got.response_id, "raw_response": json.dumps(got.raw) if got.raw is not None else None}
+                            got = got.text
+                        row["response_text"] = got
+                        json.loads(got)
                         good = True
                     except Exception as e:  # whatever the caller's coder raises is that document's error
-                        row |= {"error_message": str(e), "error_type": type(e).__name__}
+                        row |= {"error_message": str(e), "error_type": type(e).__name__, "error_output": row.get("response_text") or str(e)}
                         good = False
                     row["latency_ms"] = (time.time() - began) * 1000
                     out.append(row)
@@ -96,7 +116,7 @@ def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retri
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "map<string,bigint>": pa.map_(pa.string(), pa.int64())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESPONSES.split(", ")])
     asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), prompt.alias("prompt"))
     return materialise(asked.mapInArrow(run, RESPONSES), "responses")
@@ -104,30 +124,72 @@ def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retri
 
 @dataclass
 class Coded:
-    """Results of a run: instances, one outcome a document, metadata of attempts, and errors."""
+    """Results of a run: instances, one outcome and metadata row a document, errors, and responses by attempt."""
 
     instances: DataFrame
     outcomes: DataFrame
     meta: DataFrame
     errors: DataFrame
+    responses: DataFrame
+
+
+def response_metadata(responses: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What is known of each document's response: of its first valid attempt, or of the last one with its error."""
+    attempt = F.col("num_retries").alias("attempt")
+    said = ["model", "usage", "created", "response_id", "latency_ms", "raw_response"]
+    known = responses.select("doc_id", "attempt", *said, "error_type", "error_output", "response_text")
+    both = outcomes.select("doc_id", attempt, "num_retries", "error_message").join(known, ["doc_id", "attempt"])
+    failed = F.col("error_message").isNotNull()
+    kind = F.when(failed, F.coalesce("error_type", F.lit("ValueError"))).alias("error_type")
+    output = F.when(failed, F.coalesce("error_output", "response_text", "error_message")).alias("error_output")
+    return both.select("doc_id", *said, "num_retries", "error_message", kind, output)
 
 
 def parse_run(docs: DataFrame, responses: DataFrame) -> Coded:
+    """Responses to results; documents may have a ``path``, which their errors then name."""
     valid = validate_responses(responses)
     valid = valid.withColumn("invalid", F.when(F.col("error_message").isNotNull(), F.col("error_message")).otherwise(F.col("invalid")))
     best = first_success(valid.select("doc_id", "attempt", "response_text", "parsed", "invalid"))
     outcomes = best.select("doc_id", "num_retries", "error_message")
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", path.alias("document_path"))
     good = best.where("error_message IS NULL").join(texts, "doc_id").select("doc_id", "text", "parsed")
-    errors = outcomes.where("error_message IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("document_path"), "error_message", F.lit(None).cast("string").alias("model_used"), F.current_timestamp().alias("ts"))
-    return Coded(extract_instances(good), outcomes, responses, errors)
+    meta = response_metadata(responses, outcomes)
+    failed = meta.where("error_message IS NOT NULL").select("doc_id", "error_message", F.col("model").alias("model_used"))
+    errors = failed.join(texts.select("doc_id", "document_path"), "doc_id").select("doc_id", "document_path", "error_message", "model_used", F.current_timestamp().alias("ts"))
+    return Coded(extract_instances(good), outcomes, meta, errors, responses)
 
 
-def code_table(docs: DataFrame, codebook: DataFrame, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, template: str = TEMPLATE, tasks: int | None = None) -> Coded:
+def code_table(docs: DataFrame, codebook: DataFrame, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, template: str = TEMPLATE, tasks: int | None = None, model: str = "coder") -> Coded:
     """Code every document of a table (``doc_id, text``); ``tasks`` bounds how many coders work at a time."""
     rows = docs.repartition(tasks) if tasks else docs
     prompt = fill(template, text=F.col("text"), codebook=F.lit(codebook_text(codebook)))
-    return parse_run(docs, call_coder(rows.where("text IS NOT NULL"), prompt, make, retries, pause))
+    return parse_run(docs, call_coder(rows.where("text IS NOT NULL"), prompt, make, retries, pause, model))
+
+
+def write_coded(run: Coded, docs: DataFrame, root: str, name: str, model: str, codebook: str, source: str, form: str = "parquet") -> str:
+    """Write encodings, metadata, errors and the summary of a run under a name with its time; returns that name."""
+    coded = run.outcomes.where("error_message IS NULL").select("doc_id")
+    run_name = run_id(name)
+    write_run(nested_results(run.instances, coded), root, "encodings", run_name, form)
+    write_run(run.meta, root, "metadata", run_name, form)
+    write_run(run.errors, root, "errors", run_name, form)
+    write_run(run_summary(run.outcomes, run_name, model, codebook, source), root, "summary", run_name, form)
+    return run_name
+
+
+def code_directory(spark: SparkSession, folder: str, codebook: str, make: Callable[[], Coder], root: str, name: str = "run", model: str = "coder", **options) -> tuple[Coded, str]:
+    """Code every text file and transcript of a folder by a codebook file, and write the run."""
+    docs = read_documents(spark, folder)
+    run = code_table(docs, read_codebook(spark, codebook), make, model=model, **options)
+    return run, write_coded(run, docs, root, name, model, codebook, folder)
+
+
+def code_rows(rows: DataFrame, text_column: str, codebook: str, make: Callable[[], Coder], root: str, id_column: str | None = None, order: str | None = None, name: str = "run", model: str = "coder", source: str = "table", **options) -> tuple[Coded, str]:
+    """Code every row of a table by a codebook file, and write the run."""
+    docs = check_unique(materialise(rows_as_documents(rows, text_column, id_column, order), "documents"))
+    run = code_table(docs, read_codebook(rows.sparkSession, codebook), make, model=model, **options)
+    return run, write_coded(run, docs, root, name, model, codebook, source)
 
 
 def retry_failed(docs: DataFrame, errors: DataFrame, codebook: DataFrame, make: Callable[[], Coder], **options) -> tuple[Coded, DataFrame]:

@@ -6,6 +6,8 @@ one coded by the human and every third by the model; ``lineitem`` gives comparis
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ from ..functions.spans import find_quote, locate_quotes, parse_range, parse_span
 from ..functions.text import BLANKS, FIRST_PERSON, STOP_WORDS, document_metrics, sentences, tokens
 from ..operators import codebook as cb
 from ..operators import corpus, display, matching, metrics
-from ..schemas import METRICS
-from ..scratch import materialise
-from ..sources.codings import human_codings
-from ..sources.documents import join_turns, suffix_duplicates, transcript_line
-from ..sources.sinks import run_summary
+from ..schemas import CODEBOOK, METRICS
+from ..scratch import folder, materialise
+from ..sources.codings import human_codings, read_results
+from ..sources.documents import join_turns, rows_as_documents, suffix_duplicates, transcript_line
+from ..sources.sinks import nested_results, run_summary, write_codebook, write_run
+from .coding import code_rows, lexicon_coder
+from .comparison import compare_directories
 
 # ---------------------------------------------------------------- fixtures
 
@@ -160,15 +164,19 @@ def quote_truncate(spark, sf_dir):
 
 @query("SELECT d.doc_id, b.item_id, (instr(d.text, b.text) - 1)::VARCHAR || ':' || (instr(d.text, b.text) - 1 + length(b.text))::VARCHAR AS quote_index FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_index_exact(spark, sf_dir):
-    """Where benchmark passages stand in documents; candidates share the passage's second to fourth words."""
+    """Where benchmark passages stand in documents.
+
+    Candidates share the passage's second to fourth words, or those of them that it has, since they are whole
+    words of any text that holds it.  Passages of fewer than three words have none, and are left out.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    # These are whole words of any text that holds the passage.
-    words = F.split("text", r"[ \n]")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
-    keyed = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(grams).alias("k"))
-    part = F.split("quote", r"[ \n]")
-    wanted = items.select("item_id", "quote", F.xxhash64(F.get(part, 1), F.get(part, 2), F.get(part, 3)).alias("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.split("text", r"[ \n]").alias("w"))
+    items = items.withColumn("n", F.least(F.lit(3), F.size("w") - 2)).where("n > 0")
+    sizes = [r.n for r in items.select("n").distinct().collect()]  # of 1, 2 and 3
+    key = lambda i, n: F.xxhash64(*[F.get("w", i + k) for k in range(n)])
+    grams = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: key(i, n)) for n in sizes]  # noqa: B023
+    keyed = docs.select("doc_id", F.split("text", r"[ \n]").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *grams))).alias("k"))
+    wanted = items.select("item_id", "quote", F.coalesce(*[F.when(F.col("n") == n, key(F.lit(1), n)) for n in sizes], F.lit(None).cast("bigint")).alias("k"))
     pairs = keyed.join(wanted, "k").select("doc_id", "item_id", "quote").distinct()
     found = pairs.join(docs, "doc_id").withColumn("quote_index", find_quote(F.col("text"), F.col("quote")))
     return found.where("quote_index IS NOT NULL").select("doc_id", "item_id", "quote_index")
@@ -194,6 +202,13 @@ def duplicate_doc_ids(spark, sf_dir):
     return suffix_duplicates(rows, "document", "doc_id")
 
 
+@query("SELECT (row_number() OVER (ORDER BY doc_id DESC) - 1)::VARCHAR AS doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos, text FROM documents")
+def rows_without_ids(spark, sf_dir):
+    """Documents from the last to the first, which have no ids but their places."""
+    rows = table(spark, sf_dir, "documents").select("text", (-F.col("doc_id")).alias("turned"))
+    return rows_as_documents(rows, "text", order="turned")
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, trim(c) AS construct, 'q' || n_chars AS quote, (n_chars % 90)::VARCHAR || ':' || (n_chars % 97)::VARCHAR AS quote_index FROM (SELECT *, unnest(string_split(source || ', ' || lang || ',, x ', ',')) AS c FROM documents WHERE n_chars % 5 <> 0) WHERE trim(c) <> ''")
 def human_codes_explode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -242,7 +257,7 @@ def filter_constructs(spark, sf_dir):
 
 #: Responses by ``doc_id``: two good items, no JSON, no list, items that are dropped, coerced confidences, defaults.
 _RESPONSE = """CASE doc_id % 6
- WHEN 0 THEN concat('{"instances":[{"construct":"a","speaker_id":null,"quote":"', substr(source, 1, 2), '","confidence":2},{"construct":"b","quote":"","confidence":0}]}')
+ WHEN 0 THEN concat('{"instances":[{"construct":"a","speaker_id":null,"quote":"', regexp_replace(substr(text, 9, 12), '[^a-zA-Z ]', ''), '","confidence":2},{"construct":"b","quote":"","confidence":0}]}')
  WHEN 1 THEN '{"instances": [' WHEN 2 THEN '{"other": 1}'
  WHEN 3 THEN '{"instances":[3,{"construct":null,"quote":"x"},{"construct":"a","quote":"x","confidence":5},{"construct":"a","quote":"x","confidence":null},{"construct":"a","speaker_id":7,"quote":"x"},{"construct":"ok","speaker_id":"s","quote":"x","confidence":1}]}'
  WHEN 4 THEN '{"instances":[{"construct":"a","quote":"x","confidence":"2"},{"construct":"b","quote":"x","confidence":2.7},{"construct":"c","quote":"x","confidence":true},{"construct":"d","quote":"x","confidence":"2.5"}]}'
@@ -250,12 +265,12 @@ _RESPONSE = """CASE doc_id % 6
 
 
 @query("""WITH e AS (SELECT doc_id % 6 AS k, * FROM documents), x AS (
- SELECT doc_id, 'a' AS construct, 0 AS ord, NULL AS speaker_id, substr(source, 1, 2) AS quote, 2 AS confidence, source FROM e WHERE k = 0 UNION ALL SELECT doc_id, 'b', 1, NULL, '', 0, source FROM e WHERE k = 0
- UNION ALL SELECT doc_id, 'ok', 5, 's', 'x', 1, source FROM e WHERE k = 3 UNION ALL SELECT doc_id, unnest(['a', 'b', 'c']), unnest([0, 1, 2]), NULL, 'x', unnest([2, 2, 1]), source FROM e WHERE k = 4
- UNION ALL SELECT doc_id, 'Unknown', 0, 's', '', 1, source FROM e WHERE k = 5)
- SELECT doc_id::VARCHAR AS doc_id, construct, ord, speaker_id, quote, CASE WHEN quote <> '' AND contains(source, quote) THEN (instr(source, quote) - 1)::VARCHAR || ':' || (instr(source, quote) - 1 + length(quote))::VARCHAR END AS quote_index, confidence FROM x""")
+ SELECT doc_id, 'a' AS construct, 0 AS ord, NULL AS speaker_id, regexp_replace(substr(text, 9, 12), '[^a-zA-Z ]', '', 'g') AS quote, 2 AS confidence, text FROM e WHERE k = 0 UNION ALL SELECT doc_id, 'b', 1, NULL, '', 0, text FROM e WHERE k = 0
+ UNION ALL SELECT doc_id, 'ok', 5, 's', 'x', 1, text FROM e WHERE k = 3 UNION ALL SELECT doc_id, unnest(['a', 'b', 'c']), unnest([0, 1, 2]), NULL, 'x', unnest([2, 2, 1]), text FROM e WHERE k = 4
+ UNION ALL SELECT doc_id, 'Unknown', 0, 's', '', 1, text FROM e WHERE k = 5)
+ SELECT doc_id::VARCHAR AS doc_id, construct, ord, speaker_id, quote, CASE WHEN quote <> '' AND contains(text, quote) THEN (instr(text, quote) - 1)::VARCHAR || ':' || (instr(text, quote) - 1 + length(quote))::VARCHAR END AS quote_index, confidence FROM x""")
 def response_parse(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("text"), F.expr(_RESPONSE).alias("response_text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.expr(_RESPONSE).alias("response_text"))
     return extract_instances(validate_responses(rows))
 
 
@@ -291,6 +306,42 @@ def compare_exact(spark, sf_dir):
     return exact(spark, sf_dir)
 
 
+def _saved(spark, instances):
+    """A run with the instances' results, as a coding run writes them."""
+    name = f"run-{uuid.uuid4().hex}"
+    write_run(nested_results(instances, instances.select("doc_id")), folder(spark), "encodings", name)
+    return f"{folder(spark)}/{name}"
+
+
+@query(f"WITH {S} SELECT doc_id, construct, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, NULL::VARCHAR AS speaker_id, quote, quote_index, confidence FROM m")
+def saved_results(spark, sf_dir):
+    """Results that were written as a run and read again."""
+    return read_results(spark, _saved(spark, codings(spark, sf_dir)[1]))[0]
+
+
+@query(f"WITH {X} SELECT * FROM c")
+def compare_saved_runs(spark, sf_dir):
+    """Two runs that were written, compared by their folders."""
+    human, llm = codings(spark, sf_dir)
+    return compare_directories(spark, _saved(spark, human), _saved(spark, llm))
+
+
+#: Phrases of a codebook for the lexicon coder; some stand in many documents, one in none.
+_PHRASES = {"small words": ["is the", "of a", "de la", "und die"], "none": ["no such words here"]}
+
+
+@query("""WITH p AS (SELECT unnest(['is the', 'of a', 'de la', 'und die']) AS quote, unnest([0, 1, 2, 3]) AS k)
+ SELECT doc_id::VARCHAR AS doc_id, 'small words' AS construct, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, NULL::VARCHAR AS speaker_id, quote,
+  (instr(text, quote) - 1)::VARCHAR || ':' || (instr(text, quote) - 1 + length(quote))::VARCHAR AS quote_index, 2 AS confidence FROM documents JOIN p ON contains(text, quote)""")
+def coded_run(spark, sf_dir):
+    """Documents coded from a codebook file by a coder that finds its example phrases, the run written and read again."""
+    root = folder(spark)
+    rows = [(c, i, None, phrases, None, None) for i, (c, phrases) in enumerate(_PHRASES.items())]
+    path = write_codebook(spark.createDataFrame(rows, CODEBOOK), cb.Meta("small"), f"{root}/book-{uuid.uuid4().hex}.json")
+    _, name = code_rows(table(spark, sf_dir, "documents"), "text", path, lexicon_coder(list(_PHRASES.items())), root, "doc_id", name=f"coded-{uuid.uuid4().hex}")
+    return read_results(spark, f"{root}/{name}")[0]
+
+
 @query(f"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM h), mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM m)
  SELECT coalesce(hn.doc_id, mn.doc_id) AS doc_id, coalesce(hn.construct, mn.construct) AS construct, hn.quote AS human_quote, mn.quote AS llm_quote,
   CASE WHEN mn.x IS NULL THEN 'human_only' WHEN hn.x IS NULL THEN 'llm_only' ELSE 'matched' END AS status FROM hn FULL JOIN mn ON hn.doc_id = mn.doc_id AND hn.construct = mn.construct AND hn.x = mn.x""")
@@ -337,24 +388,24 @@ def numbered_quotes(spark, sf_dir):
 
 @query(f"WITH {PER_DOC} SELECT doc_id, construct, tp, fp, fn, \"union\", {_ROUNDED}, pr_auc FROM d")
 def per_doc_metrics(spark, sf_dir):
-    return metrics.summary_tables(metric_rows(spark, sf_dir))[0]
+    return metrics.rounded(metrics.per_document(metric_rows(spark, sf_dir)))
 
 
 @query(f"WITH {POOLED} SELECT * FROM p")
 def pooled_metrics(spark, sf_dir):
-    return metrics.summary_tables(metric_rows(spark, sf_dir))[1]
+    return metrics.pooled_summary(metric_rows(spark, sf_dir))
 
 
 @query(f"WITH {POOLED.replace(R, X + ', r AS (SELECT * FROM c)')} SELECT * FROM p")
 def agreement(spark, sf_dir):
     """Sentences to pooled agreement, end to end."""
     needed = ["doc_id", "construct", "status", "llm_confidence", "tp", "fp", "fn"]
-    return metrics.summary_tables(materialise(exact(spark, sf_dir).select(*needed), "comparison"))[1]
+    return metrics.pooled_summary(materialise(exact(spark, sf_dir).select(*needed), "comparison"))
 
 
 @query(f"WITH {PER_DOC} SELECT * FROM st")
 def doc_stats(spark, sf_dir):
-    return metrics.document_stats(metrics.per_document(metric_rows(spark, sf_dir)))
+    return metrics.document_stats(metrics.document_counts(metric_rows(spark, sf_dir)))
 
 
 @query(f"WITH {R} {_auc_sql('construct')}")
@@ -364,7 +415,7 @@ def pr_auc(spark, sf_dir):
 
 @query(f"WITH {WEIGHTED} SELECT * FROM wt")
 def weighted_summary(spark, sf_dir):
-    return metrics.summary_tables(metric_rows(spark, sf_dir))[2]
+    return metrics.weighted_summary(metrics.per_document(metric_rows(spark, sf_dir)))
 
 
 def _two(c: str) -> str:
@@ -400,8 +451,9 @@ def _shown(b: DataFrame) -> DataFrame:
 
 
 def _partial(spark, sf_dir):
-    rows = exact(spark, sf_dir)
-    return cb.refine(rows, metrics.summary_tables(rows)[1], book(spark))
+    needed = ["doc_id", "construct", "status", "human_quote", "llm_quote", "llm_confidence", "tp", "fp", "fn"]
+    rows = materialise(exact(spark, sf_dir).select(*needed), "comparison")
+    return cb.refine(rows, materialise(metrics.pooled_summary(rows), "pooled"), book(spark))
 
 
 @query(f"WITH {_REFINED} SELECT {_BOOK_OUT} FROM part")
@@ -456,15 +508,22 @@ _text_query("readability", ["flesch_reading_ease", "flesch_kincaid_grade", "gunn
 
 
 def _summary_sql() -> str:
-    rows = [("N (documents)", None)] + [(label, c) for label, c, _ in corpus.ROWS + corpus.READABILITY]
-    part = lambda i, label, c: f"SELECT {i} AS position, '{label}' AS metric, " + (f"count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM t2" if c else "count(*) AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS max FROM t2")
-    return f"WITH {_T} " + " UNION ALL ".join(part(i, label, c) for i, (label, c) in enumerate(rows))
+    def part(i: int, label: str, c: str | None, form: str) -> str:
+        if not c:
+            return f"SELECT {i} AS position, '{label}' AS metric, count(*) AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS max, count(*)::VARCHAR AS value FROM t2"
+        k, unit = ("100 * ", "%") if form == "percent" else ("", "")
+        number = lambda f: f"coalesce(format('{{:.2f}}', {k}{f}({c})), 'nan')"
+        value = f"{number('avg')} || '{unit} (' || {number('stddev_samp')} || '{unit}) [' || {number('min')} || '{unit}–' || {number('max')} || '{unit}]'"
+        return f"SELECT {i} AS position, '{label}' AS metric, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS min, round(max({c}), 6) AS max, CASE WHEN count({c}) = 0 THEN 'N/A' ELSE {value} END AS value FROM t2"
+
+    rows = [("N (documents)", None, "count"), *corpus.ROWS, *corpus.READABILITY]
+    return f"WITH {_T} " + " UNION ALL ".join(part(i, *row) for i, row in enumerate(rows))
 
 
 @query(_summary_sql())
 def corpus_summary(spark, sf_dir):
     out = corpus.summarize(_text_metrics(spark, sf_dir), readability=True)
-    return out.select("position", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max")])
+    return out.select("position", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max")], "value")
 
 
 @query("""WITH e AS (SELECT label, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)

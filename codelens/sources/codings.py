@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import find_quote, parse_range, strip  # noqa: F401
+from ..operators.codebook import Meta
 from ..schemas import ERRORS
 
 RESULT = "document_id string, instances array<struct<construct:string,speaker_id:string,quote:string,quote_index:string,confidence:int>>"
@@ -41,17 +44,28 @@ def read_human_coding(spark: SparkSession, path: str, options: dict[str, str] |
     return human_codings(rows, **columns)
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Saved results of a run, or its ``encodings`` folder, as ``(instances, documents)``; an invalid file fails."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path, "encodings")
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = spark.read.schema(RESULT).json(where.toString() if fs.exists(where) else path, multiLine=True, mode="FAILFAST", pathGlobFilter="*.json")
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    rows = rows.select(F.regexp_replace(name, r"\.json$", "").alias("doc_id"), "instances")
+def _flat(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = rows.select("doc_id", F.posexplode("instances").alias("ord", "i"))
     return flat.select("doc_id", "i.construct", "ord", "i.speaker_id", "i.quote", "i.quote_index", "i.confidence"), rows.select("doc_id")
 
 
+def read_results(spark: SparkSession, path: str, named: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Saved results of a run, its ``encodings`` folder or one file, as ``(instances, documents)``; an invalid file fails.
+
+    A run is a Parquet table; other results are a JSON file a document, which then bears the name of its file,
+    or the id that the file gives, if it is not ``named``.
+    """
+    below = spark._jvm.org.apache.hadoop.fs.Path(path, "encodings")
+    fs = below.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where = below.toString() if fs.exists(below) else path
+    if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "*.parquet")):
+        return _flat(spark.read.schema(RESULT).parquet(where).withColumnRenamed("document_id", "doc_id"))
+    rows = spark.read.schema(RESULT).json(where, multiLine=True, mode="FAILFAST", pathGlobFilter="*.json")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    rows = rows.select((F.regexp_replace(name, r"\.json$", "") if named else F.col("document_id")).alias("doc_id"), "instances")
+    return _flat(rows)
+
+
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """Error records of a run; none if there is no such folder."""
     try:
@@ -66,24 +80,40 @@ ENTRY = "struct<definition:string,examples:array<string>,counter_examples:array<
 
 
 def parse_codebook(texts: DataFrame) -> DataFrame:
-    """JSON in ``value`` (an envelope or the flat form) to codebook rows, in the order of its keys."""
+    """JSON in ``value`` (an envelope or the flat form) to codebook rows, in the order of its keys.
+
+    Fields that the library does not know are kept in ``extra``, as JSON.
+    """
     known = F.coalesce(
         F.from_json(F.get_json_object("value", "$.codebook"), f"map<string,{ENTRY}>"),
         F.when(F.get_json_object("value", "$.codebook").isNull(), F.from_json("value", f"map<string,{ENTRY}>")),
     )
     raw = F.coalesce(F.get_json_object("value", "$.codebook"), F.col("value"))
-    extra = F.from_json(raw, "map<string,map<string,string>>")
+    extra = F.from_json(raw, "map<string,map<string,variant>>")
     rows = texts.select(F.posexplode(known).alias("ord", "construct", "e"), extra.alias("x"))
     fields = ["definition", "examples", "counter_examples"]
-    rest = F.map_filter(F.col("x")[F.col("construct")], lambda k, _: ~k.isin(fields))
+    rest = F.transform_values(F.map_filter(F.col("x")[F.col("construct")], lambda k, _: ~k.isin(fields)), lambda _, v: F.to_json(v))
     return rows.where("construct <> 'metadata' OR e IS NOT NULL").select("construct", "ord", "e.definition", "e.examples", "e.counter_examples", rest.alias("extra"))
 
 
-def read_codebook(spark: SparkSession, path: str) -> DataFrame:
-    """A codebook file; it must be JSON."""
+def _codebook_text(spark: SparkSession, path: str) -> DataFrame:
     if not path.lower().endswith(".json"):
         raise ValueError(f"Codebook must be a .json file: {path}")
     texts = spark.read.text(path, wholetext=True)
     if texts.where(F.try_parse_json("value").isNull()).limit(1).count():
         raise ValueError(f"Invalid JSON in codebook: {path}")
-    return parse_codebook(texts)
+    return texts
+
+
+def read_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """A codebook file; it must be JSON."""
+    return parse_codebook(_codebook_text(spark, path))
+
+
+def read_codebook_meta(spark: SparkSession, path: str) -> Meta:
+    """Name, version, citation and lineage of a codebook file; those of a new codebook for the flat form."""
+    found = json.loads(_codebook_text(spark, path).first().value).get("metadata")
+    if not isinstance(found, dict):
+        return Meta()
+    built = tuple((b.get("name", ""), b.get("version")) for b in found.get("built_from") or [])
+    return Meta(found.get("name", ""), found.get("version"), found.get("citation", ""), built, bool(found.get("partial")))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import strip
+from ..scratch import materialise
 
 #: Column names that hold text, that hold speakers, and words that mark other columns.
 TEXT_NAMES = ["text", "content", "transcript", "response", "answer"]
@@ -51,8 +53,8 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("doc_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"), "path")
 
 
-def read_transcript(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """One document a ``.csv`` file of turns, a line a row in the file's order.
+def read_transcript(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """One document a ``.csv`` file of turns, a line a row in the file's order; the files have the same columns.
 
     Rows carry their place by the id Spark gives them, which follows a file that is read in one split; a
     multi-line CSV file always is.
@@ -65,6 +67,17 @@ def read_transcript(spark: SparkSession, path: str, **options: str) -> DataFrame
     return join_turns(lined, ["path"], "_o").select(F.regexp_replace("path", r"\.[^.]*$", "").alias("doc_id"), "text", "path")
 
 
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files with the same first line together; a folder of transcripts usually has one."""
+    first = F.substring_index(F.regexp_replace("value", r"\r\n?", "\n"), "\n", 1)
+    rows = spark.read.text(paths, wholetext=True).select(_file_name().alias("name"), first.alias("header")).collect()
+    names = {p.rsplit("/", 1)[-1]: p for p in paths}
+    groups: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r.name):
+        groups.setdefault(r.header, []).append(names[r.name])
+    return list(groups.values())
+
+
 def list_documents(spark: SparkSession, folder: str) -> list[str]:
     """Supported files of a folder, not below it, by name; an error if there are none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -86,14 +99,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     if re.search(r"\.\w+$", path):
         raise ValueError(f"Unsupported file type: {path}")
     names = list_documents(spark, path)
-    out = None
-    for n in [n for n in names if n.lower().endswith(".csv")]:  # columns differ from file to file
-        one = read_transcript(spark, n)
-        out = one if out is None else out.unionByName(one)
-    if any(n.lower().endswith(".txt") for n in names):
-        texts = read_text(spark, path)
-        out = texts if out is None else out.unionByName(texts)
-    return out
+    tables = [n for n in names if n.lower().endswith(".csv")]
+    parts = [read_transcript(spark, group) for group in (_by_header(spark, tables) if tables else [])]
+    if len(tables) < len(names):
+        parts.append(read_text(spark, path))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def suffix_duplicates(rows: DataFrame, id_col: str = "doc_id", order: str = "pos") -> DataFrame:
@@ -118,17 +128,29 @@ def check_unique(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written once, with their places 0 to N - 1 in the order of partitions and their rows."""
+    marked = materialise(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a partition
+    offsets = F.broadcast(counts.select(F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("_before")))
+    place = F.col("_before") + F.col(name).bitwiseAND((1 << 33) - 1)
+    return marked.join(offsets, part == F.col("_part")).withColumn(name, place).drop("_part", "_before")
+
+
 def rows_as_documents(rows: DataFrame, text_column: str, id_column: str | None = None, order: str | None = None) -> DataFrame:
     """Each row of a table as a document: ``doc_id, text, pos``; rows without a text are left out.
 
-    ``order`` names the column that rows are counted by; without it, the order in which Spark reads them.
+    ``pos`` is a row's place, from 0, by the column ``order``, or without it in the order in which Spark
+    reads the rows.  It is the id where no column holds one.
     """
-    missing = [c for c in (text_column, id_column) if c and c not in rows.columns]
+    missing = [c for c in (text_column, id_column, order) if c and c not in rows.columns]
     if missing:
         raise ValueError(f"Missing columns: {', '.join(missing)}")
-    pos = F.col(order).cast("long") if order else F.monotonically_increasing_id()
     given = strip(F.col(id_column).cast("string")) if id_column else F.lit(None).cast("string")
-    out = rows.select(given.alias("doc_id"), F.col(text_column).cast("string").alias("text"), pos.alias("pos"))
+    out = (rows.orderBy(order) if order else rows).select(given.alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    out = numbered(out, "pos")
     if id_column is None:
-        out = out.withColumn("doc_id", F.col("pos").cast("string"))
-    return suffix_duplicates(out.where("text IS NOT NULL"))
+        return out.withColumn("doc_id", F.col("pos").cast("string")).where("text IS NOT NULL")
+    return suffix_duplicates(out).where("text IS NOT NULL")

@@ -8,6 +8,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.codebook import Meta
+
 
 def run_id(name: str, at: datetime | None = None) -> str:
     return f"{name}_{(at or datetime.now(UTC)).strftime('%Y-%m-%d_%H%M%S')}"
@@ -42,10 +44,31 @@ def failed_ids(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("error_message IS NOT NULL").select("doc_id")
 
 
-def codebook_json(codebook: DataFrame, name: str, version: int, built_from: list[dict] | None = None, partial: bool = False) -> DataFrame:
-    """The envelope of a codebook as one JSON text; a codebook is a small table."""
-    entry = F.struct("definition", "examples", "counter_examples")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "construct", entry.alias("e"))))
-    book = F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["construct"], x["e"])))
-    meta = F.struct(F.lit(name).alias("name"), F.lit(version).alias("version"), F.from_json(F.lit(json.dumps(built_from or [])), "array<struct<name:string,version:int>>").alias("built_from"), F.lit(partial).alias("partial"))
-    return codebook.agg(F.to_json(F.struct(meta.alias("metadata"), book.alias("codebook")), {"pretty": "true"}).alias("value"))
+def codebook_json(codebook: DataFrame, meta: Meta) -> DataFrame:
+    """The envelope of a codebook as one indented JSON text, its further fields included; a codebook is a small table."""
+    known = F.from_json(F.to_json(F.struct("definition", "examples", "counter_examples")), "map<string,variant>")  # without nulls
+    rest = F.transform_values(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda _, v: F.parse_json(v))
+    entry = F.map_concat(known, rest)
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "construct", F.to_json(entry).alias("e"))))
+    book = F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["construct"], F.parse_json(x["e"]))))
+    about = {"name": meta.name, "version": meta.version, "citation": meta.citation, "built_from": [{"name": n, "version": v} for n, v in meta.built_from]}
+    about |= {"partial": True} if meta.partial else {}
+    return codebook.agg(F.to_json(F.struct(F.parse_json(F.lit(json.dumps(about))).alias("metadata"), book.alias("codebook")), {"pretty": "true"}).alias("value"))
+
+
+def pass_name(base: str, version: int, at: datetime | None = None) -> str:
+    """Name of the file of an optimisation pass."""
+    return f"{run_id(f'{base}_optimized_codebook_v{version:03d}', at)}.json"
+
+
+def write_codebook(codebook: DataFrame, meta: Meta, path: str) -> str:
+    """Write a codebook as one JSON file, which ``read_codebook`` reads."""
+    spark = codebook.sparkSession
+    text = codebook_json(codebook, meta).first().value
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    return path

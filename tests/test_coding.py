@@ -12,9 +12,10 @@ from codelens.operators import codebook as cb
 from codelens.operators import matching, metrics
 from codelens.operators.corpus import sentence_complexity
 from codelens.operators.display import truncate
-from codelens.plans.coding import call_matcher, code_table, lexicon_coder, match_prompts, retry_failed
+from codelens.plans.coding import Response, call_matcher, code_directory, code_rows, code_table, lexicon_coder, match_prompts, retry_failed
+from codelens.plans.comparison import compare_directories, compare_documents
 from codelens.plans.optimise import optimise
-from codelens.schemas import COMPARISON, COMPARISON_COLUMNS, INSTANCES
+from codelens.schemas import CODEBOOK, COMPARISON, COMPARISON_COLUMNS, INSTANCES
 from codelens.sources import codings, documents, sinks
 
 
@@ -32,17 +33,19 @@ def test_spans(spark):
     assert o("3:3", "4:4") == 1.0 and o("3:3", "0:9") == 0.0 and o("9:3", "0:9") is None
     assert one(spark, find_quote(F.lit("a😀bc"), F.lit("bc"))) == "2:4"
     assert one(spark, find_quote(F.lit("abc"), F.lit(""))) is None
-    assert best_window("I don't know what to do anymore.", "I dont know what to do anymore.", 0.8) == "0:31"
-    assert best_window("abc", "xyz", 0.8) is None
-    assert one(spark, truncate(F.lit("This quote is longer than needed"), 13)) == "This quote..."
+    assert best_window("She can't sleep at night; she said so.", "She cant sleep at night", 0.8) == "0:23"
+    assert best_window("abc", "xyz", 0.8) is None and best_window("abc", "abcd", 0.1) is None
+    assert one(spark, truncate(F.lit("words beyond the limit go"), 10)) == "words b..."
 
 
 def test_documents(spark, tmp_path):
     (tmp_path / "b c.txt").write_bytes(b"plain\r\ntext")
-    (tmp_path / "a.csv").write_text("speaker,text,id\nAlice,hello there,1\nBob,goodbye,2\n,,3\n")
+    (tmp_path / "a.csv").write_text("speaker,text,id\nNurse,how is the knee,1\nMr Ito,better now,2\n,,3\n")
+    (tmp_path / "c.csv").write_text("speaker,text,id\nNurse,next,1\n")
+    (tmp_path / "d.CSV").write_text("content,when\nonly this,2020\n")
     (tmp_path / "note.md").write_text("no")
     got = {r.doc_id: r.text for r in documents.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"b c": "plain\ntext", "a": "Alice: hello there\nBob: goodbye"}
+    assert got == {"b c": "plain\ntext", "a": "Nurse: how is the knee\nMr Ito: better now", "c": "Nurse: next", "d": "only this"}
     with pytest.raises(ValueError, match="Unsupported file type"):
         documents.read_documents(spark, str(tmp_path / "x.docx"))
     with pytest.raises(FileNotFoundError):
@@ -70,12 +73,18 @@ def test_human_codings(spark, tmp_path):
 
 
 def test_codebook_forms(spark, tmp_path):
-    entry = {"definition": "d", "examples": ["e"], "note": "n"}
-    for name, body in (("flat", {"z": entry, "a": entry}), ("env", {"metadata": {"name": "m"}, "codebook": {"z": entry, "a": entry}})):
+    entry = {"definition": "d", "examples": ["e"], "note": "n", "refs": ["r", {"k": 1}]}
+    for name, body in (("flat", {"z": entry, "a": entry}), ("env", {"metadata": {"name": "m", "version": 3, "citation": "c"}, "codebook": {"z": entry, "a": entry}})):
         p = tmp_path / f"{name}.json"
         p.write_text(json.dumps(body))
         rows = codings.read_codebook(spark, str(p)).orderBy("ord").collect()
-        assert [(r.construct, r.definition, r.examples, r.extra) for r in rows] == [("z", "d", ["e"], {"note": "n"}), ("a", "d", ["e"], {"note": "n"})]
+        assert [(r.construct, r.definition, r.examples, r.extra) for r in rows] == [("z", "d", ["e"], {"note": '"n"', "refs": '["r",{"k":1}]'}), ("a", "d", ["e"], {"note": '"n"', "refs": '["r",{"k":1}]'})]
+        meta = codings.read_codebook_meta(spark, str(p))
+        assert (meta.name, meta.version, meta.citation) == (("m", 3, "c") if name == "env" else ("", 1, ""))
+        again = sinks.write_codebook(codings.read_codebook(spark, str(p)), meta, f"{tmp_path}/again-{name}.json")
+        saved = json.loads((tmp_path / f"again-{name}.json").read_text())
+        assert list(saved["codebook"]) == ["z", "a"] and saved["codebook"]["a"] == entry and "\n" in (tmp_path / f"again-{name}.json").read_text()
+        assert codings.read_codebook(spark, again).orderBy("ord").collect() == rows and codings.read_codebook_meta(spark, again) == meta
     (tmp_path / "bad.json").write_text("{not valid json")
     with pytest.raises(ValueError):
         codings.read_codebook(spark, str(tmp_path / "bad.json"))
@@ -144,10 +153,11 @@ def rows_of(spark, data):
 
 
 def test_metrics(spark):
-    rows = rows_of(spark, [("doc_1", "c", "matched", 2), ("doc_1", "c", "llm_only", 1), ("doc_2", "c", "human_only", None)])
+    rows = rows_of(spark, [("a", "c", "matched", 2), ("a", "c", "matched", 0), ("a", "c", "llm_only", 1), ("b", "c", "human_only", None), ("b", "c", "human_only", None)])
     per_doc, pooled, weighted = metrics.summary_tables(rows)
     o = pooled.where("is_overall").first()
-    assert (o.tp, o.fp, o.fn, o.sensitivity, o.precision, o.f1, o.pabak, o.pr_auc) == (1, 1, 1, 0.5, 0.5, 0.5, -0.3333, 1.0)
+    assert (o.tp, o.fp, o.fn, o.sensitivity, o.precision, o.f1, o.pabak, o.pr_auc) == (2, 1, 2, 0.5, 0.6667, 0.5714, -0.2, 0.8333)
+    assert (o.n_docs, o.p5, o.p95) == (2, 2.05, 2.95)
     assert per_doc.count() == 2 and weighted.count() == 2
     assert metrics.pr_auc(rows_of(spark, [("d", "c", "matched", 0), ("d", "c", "llm_only", 2)]), []).first().pr_auc == 0.5
     assert metrics.pr_auc(rows_of(spark, [("d", "c", "matched", 0)]), []).count() == 0
@@ -179,7 +189,75 @@ def test_coding_run(spark, tmp_path):
     back, ids = codings.read_results(spark, path)
     assert ids.count() > 0 and back.where("quote = 'feel sad'").count() == 1
     assert codings.read_errors(spark, str(tmp_path / "errors")).count() == 0
-    assert json.loads(sinks.codebook_json(book, "n", 2).first().value)["codebook"]["mood"]["examples"] == ["feel sad"]
+    saved = json.loads(sinks.codebook_json(book, cb.Meta("n", 2).refined()).first().value)
+    assert saved["codebook"]["mood"]["examples"] == ["feel sad"]
+    assert saved["metadata"] == {"name": "n", "version": None, "citation": "", "built_from": [{"name": "n", "version": 2}], "partial": True}
+
+
+def test_ids_are_places(spark):
+    """Without an id column, rows are numbered from 0 over all partitions; without a text they have a number, but go."""
+    rows = spark.createDataFrame([(f"t{i}" if i != 4 else None, -i) for i in range(11)], "text string, turned int").repartition(5, "turned").cache()
+    got = documents.rows_as_documents(rows, "text").collect()
+    assert len({r.doc_id for r in got} & {str(i) for i in range(11)}) == 10 and all(r.doc_id == str(r.pos) for r in got)
+    by = {r.text: (r.doc_id, r.pos) for r in documents.rows_as_documents(rows, "text", order="turned").collect()}
+    assert by == {f"t{i}": (str(10 - i), 10 - i) for i in range(11) if i != 4}
+
+
+def test_response_metadata(spark):
+    """What a coder reports is kept; a failed document has the error and the coder's model."""
+
+    def make():
+        def code(prompt):
+            if "slow" in prompt:
+                return Response("no json", usage={"total_tokens": 3})
+            return Response('{"instances": []}', "served", {"prompt_tokens": 5, "total_tokens": 7}, 1_700_000_000, "id-1", {"choices": [1]})
+
+        return code
+
+    docs = spark.createDataFrame([("a", "quick one", "x/a.txt"), ("b", "slow one", "x/b.txt")], "doc_id string, text string, path string")
+    run = code_table(docs, spark.createDataFrame([], CODEBOOK), make, retries=2, model="asked")
+    a, b = run.meta.orderBy("doc_id").collect()
+    assert (a.model, a.usage, a.created, a.response_id, json.loads(a.raw_response), a.num_retries, a.error_type) == ("served", {"prompt_tokens": 5, "total_tokens": 7}, 1_700_000_000, "id-1", {"choices": [1]}, 0, None)
+    assert a.latency_ms >= 0 and (b.model, b.num_retries, b.error_type, b.error_output, b.usage) == ("asked", 2, "JSONDecodeError", "no json", {"total_tokens": 3})
+    assert [(r.doc_id, r.document_path, r.model_used) for r in run.errors.collect()] == [("b", "x/b.txt", "asked")]
+    assert run.responses.count() == 4
+
+
+def test_runs_that_write(spark, tmp_path):
+    """A folder and a table coded to sinks, and compared from there."""
+    source, book = tmp_path / "in", tmp_path / "book.json"
+    source.mkdir()
+    (source / "one.txt").write_text("the sea was calm, the sea was grey")
+    (source / "two.csv").write_text("speaker,text\nA,calm again\n")
+    book.write_text(json.dumps({"calm": {"definition": "d", "examples": ["calm"]}}))
+    coder = lexicon_coder([("calm", ["calm"])])
+    run, name = code_directory(spark, str(source), str(book), coder, str(tmp_path / "out"), "folder", "m")
+    assert {p.name for p in (tmp_path / "out" / name).iterdir()} == {"encodings", "metadata", "errors", "summary"}
+    assert sorted((r.doc_id, r.quote_index) for r in codings.read_results(spark, str(tmp_path / "out" / name))[0].collect()) == [("one", "12:16"), ("two", "3:7")]
+    s = spark.read.parquet(str(tmp_path / "out" / name / "summary")).first()
+    assert (s.total, s.successful, s.failed, s.model) == (2, 2, 0, "m")
+    rows = spark.createDataFrame([("so calm", "u"), ("calm, calm", "u"), ("wild", "v")], "body string, author string")
+    table, other = code_rows(rows, "body", str(book), coder, str(tmp_path / "out"), "author", name="rows")
+    assert sorted(r.doc_id for r in table.instances.collect()) == ["u", "u_2"]
+    both = compare_directories(spark, str(tmp_path / "out" / name), str(tmp_path / "out" / other), root=str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.status) for r in both.collect()) == [("one", "human_only"), ("two", "human_only"), ("u", "llm_only"), ("u_2", "llm_only")]
+    assert len(list((tmp_path / "out").glob("comparison_*/comparison/*.csv"))) == 1
+
+
+def test_saved_files_compared(spark, tmp_path):
+    """Result files of two coders; a document may be in one folder alone, and one file names its document itself."""
+    item = lambda q: {"construct": "c", "speaker_id": None, "quote": q, "quote_index": None, "confidence": 1}
+    for side, docs in (("h", {"x": ["p", "q"], "y": ["r"]}), ("m", {"x": ["p"], "z": []})):
+        (tmp_path / side / "encodings").mkdir(parents=True)
+        for d, quotes in docs.items():
+            (tmp_path / side / "encodings" / f"{d}.json").write_text(json.dumps({"document_id": f"id-{side}", "instances": [item(q) for q in quotes]}, indent=1))
+    rows = compare_directories(spark, str(tmp_path / "h"), str(tmp_path / "m" / "encodings")).collect()
+    assert sorted((r.doc_id, r.human_quote, r.llm_quote) for r in rows) == [("x", "p", "p"), ("x", "q", None), ("y", "r", None)]
+    one = compare_documents(spark, str(tmp_path / "h" / "encodings" / "x.json"), str(tmp_path / "m" / "encodings" / "x.json")).collect()
+    assert sorted((r.doc_id, r.status) for r in one) == [("id-h", "human_only"), ("id-h", "matched")]
+    (tmp_path / "m" / "encodings" / "z.json").write_text("{broken")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILED_READ_FILE"):
+        compare_directories(spark, str(tmp_path / "h"), str(tmp_path / "m")).collect()
 
 
 def test_matcher(spark):
@@ -202,7 +280,7 @@ def test_response_rules(spark):
     assert [(r.ord, r.quote_index, r.confidence) for r in extract_instances(v).collect()] == [(2, "0:1", 1)]
 
 
-def test_codebook_changes(spark):
+def test_codebook_changes(spark, tmp_path):
     schema = "construct string, ord int, definition string, examples array<string>, counter_examples array<string>, extra map<string,string>"
     base = spark.createDataFrame([("c", 0, "d", ["known"], [], {}), ("e", 1, "d", [], [], {})], schema)
     full = [{"doc_id": "1", "construct": "c", "status": "human_only", "human_quote": q, "tp": 0, "fp": 0, "fn": 1} for q in ("known", "new", "new ", "other")]
@@ -219,6 +297,14 @@ def test_codebook_changes(spark):
     human = instances(spark, [("1", "c", 0, "new", None, None)])
     partials = optimise(rows, base, human, lambda book: human.withColumn("confidence", F.lit(2)), matching.compare_exact)
     assert len(partials) == 1
+    assert cb.not_in_codebook(pooled, base.where("construct = 'e'")).first().construct == "c"
+    out = optimise(rows, base, human, lambda book: human.withColumn("confidence", F.lit(2)), matching.compare_exact, meta=cb.Meta("b", 4), root=str(tmp_path), name="b")
+    (saved,) = tmp_path.glob("b_optimized_codebook_v001_*.json")
+    meta = codings.read_codebook_meta(spark, str(saved))
+    assert len(out) == 1 and meta == cb.Meta("b", None, "", (("b", 4),), True)
+    assert cb.Meta("b", 4).merged(meta) == cb.Meta("b", 5, "", (("b", 4),)) and cb.Meta("b", 4).merged(meta, 9).version == 9
+    with pytest.warns(UserWarning, match="partial"):
+        cb.Meta("b", None).merged(cb.Meta("p"))
 
 
 def test_tree_depth(spark):
@@ -231,10 +317,27 @@ def scanned(text, quote, threshold):
     """The plain sliding scan."""
     from difflib import SequenceMatcher
 
-    low, n = text.lower(), len(quote)
-    ratios = [SequenceMatcher(None, low[i : i + n], quote.lower(), autojunk=False).ratio() for i in range(max(1, len(low) - n + 1))]
-    best = max(ratios)
-    return f"{ratios.index(best)}:{min(len(text), ratios.index(best) + n)}" if best >= threshold else None
+    n = len(quote)
+    ratios = [SequenceMatcher(None, quote.lower(), text[i : i + n].lower()).ratio() for i in range(len(text) - n + 1)]
+    best = max(ratios, default=-1.0)
+    return f"{ratios.index(best)}:{ratios.index(best) + n}" if best >= threshold else None
+
+
+def test_fuzzy_quotes_as_scanned():
+    """Any text and threshold; long quotes, where difflib leaves out frequent letters; letters whose lower case is odd."""
+    r = random.Random(3)
+    letters = "aabbcde  ,.ΣİßÉ"
+    for k in range(120):
+        text = "".join(r.choice(letters) for _ in range(r.randrange(1, 120)))
+        at = r.randrange(len(text))
+        quote = list(text[at : at + r.randrange(1, 40)])
+        for _ in range(r.randrange(0, 5)):
+            quote[r.randrange(len(quote))] = r.choice(letters)
+        quote = "".join(quote)
+        for t in (0.3, 0.6, 0.85, 1.0):
+            assert best_window(text, quote, t) == scanned(text, quote, t), (text, quote, t)
+    long = " ".join(r.choice(["sea", "tide", "wave", "of", "the"]) for _ in range(120))
+    assert best_window(long, long[31:260].replace("wave", "wavy"), 0.8) == scanned(long, long[31:260].replace("wave", "wavy"), 0.8)
 
 
 def test_fuzzy_quotes_in_whole_documents(spark, tmp_path):
@@ -249,4 +352,3 @@ def test_fuzzy_quotes_in_whole_documents(spark, tmp_path):
     for i, _, quote, index in got:
         at = texts[i].find(quote)
         assert index == (f"{at}:{at + len(quote)}" if at >= 0 else scanned(texts[i], quote, 0.85)), quote
-    assert best_window("abc", "abcd", 0.8) == scanned("abc", "abcd", 0.8) == "0:3"
