@@ -512,7 +512,7 @@ def _summary_sql() -> str:
         if not c:
             return f"SELECT {i} AS position, '{label}' AS metric, count(*) AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS max, count(*)::VARCHAR AS value FROM t2"
         k, unit = ("100 * ", "%") if form == "percent" else ("", "")
-        number = lambda f: f"coalesce(format('{{:.2f}}', {k}{f}({c})), 'nan')"
+        number = lambda f: f"coalesce(format('{{:.2f}}', ({k}{f}({c}))::DOUBLE), 'nan')"
         value = f"{number('avg')} || '{unit} (' || {number('stddev_samp')} || '{unit}) [' || {number('min')} || '{unit}–' || {number('max')} || '{unit}]'"
         return f"SELECT {i} AS position, '{label}' AS metric, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS min, round(max({c}), 6) AS max, CASE WHEN count({c}) = 0 THEN 'N/A' ELSE {value} END AS value FROM t2"
 
