@@ -75,7 +75,7 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_line_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
+    return out.select("doc_id", "text", "n_lines", "n_kept", "n_removed")
 
 
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

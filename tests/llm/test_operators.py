@@ -420,14 +420,15 @@ def dedup_by_hand(docs):
     import hashlib
 
     def chunks(text):
-        w = re.split("[ \t-\r]", text)
-        spaced = re.findall("^[^ \t-\r]+|[ \t-\r][^ \t-\r]*", "x" + text)
+        w = text.replace("\n", " ").split(" ")
+        spaced = re.findall("^[^ \n]+|[ \n][^ \n]*", "x" + text)
         spaced[0] = spaced[0][1:]
         h = [hashlib.md5(((w[i - 1] if i else "") + x).encode()).hexdigest() for i, x in enumerate(w)]
-        low = [i for i, x in enumerate(h) if x < "4"]
+        low = [i for i, x in enumerate(h) if x < "8" and (len(w[i]) + (len(w[i - 1]) if i else 0)) % 2 == 0]
         at = [i for k, i in enumerate(low) if not any(abs(i - j) <= 8 and h[j] < h[i] for j in low[max(0, k - 1) : k] + low[k + 1 : k + 2])]
         at = sorted({0, *(b for a, b in zip([0, *at], at, strict=False) if b - a >= 4)})
-        return [(" ".join(w[a:b]).strip(" "), spaced[a:b]) for a, b in zip(at, [*at[1:], len(w)], strict=True)]
+        at = [x for a, b in zip(at, [*at[1:], len(w)], strict=True) for x in range(a, b, 2047)]
+        return [(" ".join(w[a:b]).strip(" \t\x0b\f\r"), spaced[a:b]) for a, b in zip(at, [*at[1:], len(w)], strict=True)]
 
     seen, out = set(), {}
     for i, text in sorted(docs):
@@ -447,7 +448,7 @@ def dedup_by_hand(docs):
 def test_line_dedup(spark, sample):
     docs = [(r.doc_id, r.text) for r in sample.collect()]
     shared = "\n".join(f"a passage line {i}" for i in range(12))
-    docs += [(50_000 + i, f"own {i}\n{'more ' * i}\n{shared}\nend {i}") for i in range(9)] + [(60_000, "\n"), (60_001, ""), (60_002, shared + "\n" + shared)]
+    docs += [(50_000 + i, f"own {i}\n{'more ' * i}\n{shared}\nend {i}") for i in range(9)] + [(60_000, "\n"), (60_001, ""), (60_002, shared + "\n" + shared), (60_003, "odd odds " * 5000), (60_004, "odd odds " * 5000 + "end")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == dedup_by_hand(docs)
     assert sum("a passage line 6" in t for t in got.values()) == 1
