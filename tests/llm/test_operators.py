@@ -544,6 +544,19 @@ def test_mixed_documents(spark, sample):
     assert out == Counter({i: n for i, n in plan.items() if n})
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    """Texts that share an id, or have none, are documents of their own, each cut at its own words."""
+    rows = [(1, " ".join(f"a{i}x{k}" for k in range(5 + i)), "s") for i in range(30)] + [(None, " ".join(f"n{i}y{k}" for k in range(4 + i % 3)), "s") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"taken": F.lit("mine"), "hash": F.lit("h"), "row": F.lit(1)})
+    total = sum(len(t.split()) for _, t, _ in rows)
+    got = mixing.mixed_documents(table, weights=(1,), share=0.6).collect()
+    texts = {t for _, t, _ in rows}
+    whole = [r.text for r in got if r.text in texts]
+    assert len(got) - len(whole) <= 1 and len(set(whole)) == len(whole) and all(any(t.startswith(r.text) for t in texts) for r in got)
+    assert sum(len(r.text.split()) for r in got) == round(0.6 * total) and {r.taken + r.hash for r in got} == {"mineh"}
+    assert {r.doc_id for r in got} == {1, None}
+
+
 # ------------------------------------------------------------------ 9
 
 
