@@ -133,16 +133,16 @@ class Encoder:
         start[plain], start[~plain] = _starts(of_word), len(ids) + _starts(odd_length)
         return np.concatenate([ids, odd]), start, n
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, each followed by the end's, and how many each text has."""
         texts = texts.fill_null("")
         if self.pattern is None:
-            end = np.array([END], self.kind).tobytes()
-            return self._joined([self.whole(t) + end for t in texts.to_pylist()])
+            last = np.array([end], self.kind).tobytes()
+            return self._joined([self.whole(t) + last for t in texts.to_pylist()])
         split = pc.ascii_split_whitespace(texts)
         places = split.flatten().dictionary_encode()
         flat, start, n = self.words(places.dictionary)
-        flat, start, n = np.r_[flat, np.array([END], self.kind)], np.r_[start, len(flat)], np.r_[n, 1]
+        flat, start, n = np.r_[flat, np.array([end], self.kind)], np.r_[start, len(flat)], np.r_[n, 1]
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         which = np.insert(places.indices.to_numpy(), np.cumsum(counts), len(n) - 1)
         upto = np.r_[0, np.cumsum(n[which])][np.r_[0, np.cumsum(counts + 1)]]
@@ -159,7 +159,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``SLICE`` bytes of text, or a row."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     a = 0
@@ -169,7 +169,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _binary(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+def binary_column(flat: np.ndarray, n: np.ndarray) -> pa.Array:
     offsets = (np.r_[0, np.cumsum(n)] * flat.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
@@ -309,12 +309,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         e = encoder(tokenizer)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
+            for a, b in slices(batch.column(1)):
                 flat, n = e.encode(batch.column(1).slice(a, b - a))
                 # Rows in an order that tells nothing, so that copies spread.
                 salt = np.arange(row, row + b - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 row += b - a
-                yield pa.record_batch([batch.column(0).slice(a, b - a), _binary(flat, n), pa.array(n), pa.array(salt.view(np.int64))], ["doc_id", "ids", "n", "salt"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), binary_column(flat, n), pa.array(n), pa.array(salt.view(np.int64))], ["doc_id", "ids", "n", "salt"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n long, salt long")
