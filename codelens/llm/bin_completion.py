@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from ..sources.documents import numbered
 from .packing import encoder, slices
 
@@ -261,7 +262,9 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: in
     of their own; a null id is kept; an empty table gives no piece.  Other columns take no part.
     """
     order = [F.desc("length"), F.asc("row")]
-    placed = numbered(cut_documents(docs, tokenizer, window, end, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order), "place")
+    # Written first, since dealing by ranges looks at its rows twice.
+    cut = materialise(cut_documents(docs, tokenizer, window, end, id_col, text_col), "pieces")
+    placed = numbered(cut.repartitionByRange(*order).sortWithinPartitions(*order), "place")
     counts = np.zeros(window + 1, np.int64)
     for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r.length] = r.n
