@@ -31,12 +31,13 @@ def _text_or(name: str, default: str) -> str:
     return f"CASE WHEN {v} IS NULL THEN {default} WHEN schema_of_variant({v}) = 'STRING' THEN {_field(name, 'string')} END"
 
 
-def extract_instances(valid: DataFrame) -> DataFrame:
+def extract_instances(valid: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row an item of the list: ``doc_id, construct, ord, speaker_id, quote, quote_index, confidence``.
 
     ``valid`` has ``doc_id``, ``text`` and ``parsed``.  A missing construct is ``Unknown``, a missing quote is
     empty, a missing confidence 1; confidences are cut to whole numbers.  Items that are no objects, or have
-    a wrong type or a confidence outside 0 to 2, are dropped.
+    a wrong type or a confidence outside 0 to 2, are dropped.  ``keep_text`` gives the text in place of
+    ``quote_index``, for quotes that are located afterwards.
     """
     conf = _field("confidence", "variant")
     rows = valid.sparkSession.sql(f"""
@@ -49,7 +50,7 @@ def extract_instances(valid: DataFrame) -> DataFrame:
         FROM {{valid}}, LATERAL variant_explode(variant_get(parsed, '$.instances', 'variant'))
         WHERE parsed IS NOT NULL AND schema_of_variant(value) LIKE 'OBJECT%'""", valid=valid)
     rows = rows.where("construct IS NOT NULL AND quote IS NOT NULL AND speaker_ok AND confidence BETWEEN 0 AND 2")
-    return rows.select("doc_id", "construct", F.col("ord").cast("int").alias("ord"), "speaker_id", "quote", find_quote(F.col("text"), F.col("quote")).alias("quote_index"), "confidence")
+    return rows.select("doc_id", "construct", F.col("ord").cast("int").alias("ord"), "speaker_id", "quote", F.col("text") if keep_text else find_quote(F.col("text"), F.col("quote")).alias("quote_index"), "confidence")
 
 
 def extract_matches(valid: DataFrame) -> DataFrame:

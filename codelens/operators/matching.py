@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import parse_span, span_overlap
 from ..schemas import COMPARISON_COLUMNS
+from ..scratch import materialise
 
 KEYS = ["doc_id", "construct"]
+#: Quotes are numbered, and proposals walked, in blocks of so many places, as powers of two.
+BLOCK_BITS, WALK_BITS = 12, 16
 _QUOTE = ["quote", "quote_index", "confidence"]
 
 
@@ -51,40 +57,93 @@ def align(human: DataFrame, llm: DataFrame) -> DataFrame:
     return both.withColumns({"hs": F.coalesce("hs", none), "ms": F.coalesce("ms", none)})
 
 
-def _assign(proposals: Column, n: Column, m: Column) -> Column:
-    """Proposals that a walk in their order accepts: both indices in range and unused."""
-    kind = "array<struct<ord:int,human_index:int,llm_index:int,paraphrase:boolean,match_confidence:double>>"
+def numbered_quotes(instances: DataFrame) -> DataFrame:
+    """The quotes of each document and construct with their place ``i`` among them, from 0.
 
-    def step(taken: Column, p: Column) -> Column:
-        used = F.exists(taken, lambda t: (t["human_index"] == p["human_index"]) | (t["llm_index"] == p["llm_index"]))
-        fits = (p["human_index"] >= 0) & (p["human_index"] < n) & (p["llm_index"] >= 0) & (p["llm_index"] < m) & ~used
-        return F.when(fits, F.concat(taken, F.array(p))).otherwise(taken)
+    Quotes are ordered within blocks of ``ord``, and blocks numbered by the sizes of those before, so no task
+    gets all quotes of a group.
+    """
+    block = F.shiftright(F.coalesce("ord", F.lit(0)), BLOCK_BITS)
+    rows = instances.select(*KEYS, "ord", *_QUOTE, block.alias("_b"))
+    before = F.sum("_n").over(Window.partitionBy(*KEYS).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy(*KEYS, "_b").agg(F.count("*").alias("_n")).select(*KEYS, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*KEYS, "_b").orderBy("ord", *_QUOTE)) - 1
+    return rows.withColumn("_i", nth).join(blocks, [*KEYS, "_b"]).select(*KEYS, (F.col("_i") + F.col("_before")).cast("int").alias("i"), "ord", *_QUOTE)
 
-    return F.aggregate(proposals, F.array().cast(kind), step)
+
+def _walk(proposals: DataFrame) -> DataFrame:
+    """Proposals that a walk in their order accepts, for each document and construct on its own.
+
+    Rows come sorted, and a task remembers only which quotes of the group at hand are taken.
+    """
+    rows = proposals.repartition(*KEYS).sortWithinPartitions(*KEYS, "ord", "human_index", "llm_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, humans, models = None, set(), set()
+        for batch in batches:
+            kept = []
+            for k, (*key, h, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*KEYS, "human_index", "llm_index")), strict=True)):
+                if key != group:
+                    group, humans, models = key, set(), set()
+                if h not in humans and m not in models:
+                    humans.add(h)
+                    models.add(m)
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def accepted(proposals: DataFrame) -> DataFrame:
+    """Proposals that a walk in order of ``ord`` accepts, each quote once: pairs of quotes that both exist are given.
+
+    A walk is done in rounds over what is left.  In a round each group's first block of ``ord`` is walked, and
+    of the other proposals those are taken that come first for both their quotes, as nothing before them can
+    take either.  Then all proposals for taken quotes drop out.  Most groups are one block, done in one round; one
+    of any size is never in one row or task.  Proposals of equal ``ord`` are taken by their indices.
+    """
+    order = F.struct("ord", "human_index", "llm_index")
+    left, taken = materialise(proposals, "proposals"), None
+    while True:
+        blocks = left.withColumn("_b", F.shiftright("ord", WALK_BITS))
+        first = blocks.groupBy(*KEYS).agg(F.min("_b").alias("_first"), F.max("_b").alias("_last"))
+        marked = blocks.join(first, KEYS)
+        now = _walk(marked.where("_b = _first").select(*left.columns))
+        more = not first.where("_last > _first").isEmpty()
+        if more:
+            least = lambda side: left.groupBy(*KEYS, side).agg(F.min(order).alias(f"_{side}"))  # noqa: B023, E731
+            later = marked.where("_b > _first").withColumn("_o", order).join(least("human_index"), [*KEYS, "human_index"]).join(least("llm_index"), [*KEYS, "llm_index"])
+            now = now.unionByName(later.where("_o = _human_index AND _o = _llm_index").select(*left.columns))
+        now = materialise(now, "accepted")
+        taken = now if taken is None else taken.unionByName(now)
+        if not more:
+            return taken
+        rest = marked.where("_b > _first").select(*left.columns)
+        for side in ("human_index", "llm_index"):
+            rest = rest.join(now.select(*KEYS, side), [*KEYS, side], "left_anti")
+        left = materialise(rest.select(*left.columns), "proposals")
 
 
 def compare(human: DataFrame, llm: DataFrame, proposals: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs by ``proposals``; what stays unpaired is on one side only.
 
-    Proposals are ``doc_id, construct, ord, human_index, llm_index, paraphrase, match_confidence``.
+    Proposals are ``doc_id, construct, ord, human_index, llm_index, paraphrase, match_confidence``; those for
+    quotes that do not exist are passed over.  Quotes meet by document, construct and place, so a group of any size spreads.
     """
-    item = F.struct("ord", "human_index", "llm_index", "paraphrase", "match_confidence")
-    given = proposals.groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("ps"))
-    none = F.array().cast(given.schema["ps"].dataType)
-    g = align(human, llm).join(given, KEYS, "left").withColumn("ps", _assign(F.coalesce("ps", none), F.size("hs"), F.size("ms")))
-    quote = lambda side, i: F.get(F.col(side), i)
-    pair = F.transform("ps", lambda p: F.struct(quote("hs", p["human_index"]).alias("h"), quote("ms", p["llm_index"]).alias("m"), p["paraphrase"].alias("paraphrase"), p["match_confidence"].alias("match_confidence")))
-    empty = F.lit(None).cast("struct<ord:int,quote:string,quote_index:string,confidence:int>")
-    nothing = [F.lit(None).cast("boolean").alias("paraphrase"), F.lit(None).cast("double").alias("match_confidence")]
-    free = lambda side, index: F.filter(side, lambda x, i: ~F.exists("ps", lambda p: p[index] == i))
-    left = F.transform(free("hs", "human_index"), lambda x: F.struct(x.alias("h"), empty.alias("m"), *nothing))
-    right = F.transform(free("ms", "llm_index"), lambda x: F.struct(empty.alias("h"), x.alias("m"), *nothing))
-    return _rows(g.select(*KEYS, F.inline(F.concat(pair, left, right))))
+    hs, ms = (materialise(numbered_quotes(side), "quotes") for side in (human, llm))
+    real = proposals.select(*KEYS, "ord", "human_index", "llm_index", "paraphrase", "match_confidence")
+    for side, name in ((hs, "human_index"), (ms, "llm_index")):
+        real = real.join(side.select(*KEYS, F.col("i").alias(name)), [*KEYS, name], "left_semi")
+    pairs = accepted(real).select(*KEYS, F.col("human_index").alias("i"), "llm_index", "paraphrase", "match_confidence")
+    item = F.struct("ord", *_QUOTE)
+    # A quote without a partner gets a key of its own that no quote on the other side has.
+    left = hs.join(pairs, [*KEYS, "i"], "left").select(*KEYS, F.coalesce("llm_index", -1 - F.col("i")).alias("_at"), item.alias("h"), "paraphrase", "match_confidence")
+    right = ms.select(*KEYS, F.col("i").alias("_at"), item.alias("m"))
+    return _rows(left.join(right, [*KEYS, "_at"], "full_outer"))
 
 
 def indexed_quotes(instances: DataFrame, name: str) -> DataFrame:
-    i = (F.row_number().over(Window.partitionBy(*KEYS).orderBy("ord", *_QUOTE)) - 1).alias(f"{name}_index")
-    return instances.select(*KEYS, i, F.col("quote").alias(f"{name}_quote"), F.col("quote_index").alias(f"{name}_span"))
+    return numbered_quotes(instances).select(*KEYS, F.col("i").alias(f"{name}_index"), F.col("quote").alias(f"{name}_quote"), F.col("quote_index").alias(f"{name}_span"))
 
 
 def _level(n: Column) -> Column:

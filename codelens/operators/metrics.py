@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS, OVERALL
+from ..scratch import materialise
 
+#: Values that a key's window holds, and ranges into which more are cut.
+MOST, CUTS = 1 << 16, 64
 ALL = [*METRICS, "pr_auc"]
 COUNTS = ["tp", "fp", "fn"]
 
@@ -89,12 +92,33 @@ def pooled(comparison: DataFrame, per_doc: DataFrame) -> DataFrame:
     return _rounded(out, METRICS).orderBy(*keys)
 
 
-def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Smallest value whose weight, with those of smaller ones, reaches half of all; equal values are summed first."""
-    by = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    part = Window.partitionBy(*keys)
-    cum = by.withColumns({"_c": F.sum("_w").over(part.orderBy(value)), "_t": F.sum("_w").over(part)})
-    return cum.groupBy(*keys).agg(F.min(F.when(2 * F.col("_c") >= F.col("_t"), F.col(value))).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str, most: int = MOST) -> DataFrame:
+    """Smallest value whose weight, with those of smaller ones, reaches half of all; equal values are summed first.
+
+    Only a key with up to ``most`` values is summed up in a window.  Where there are more, a key's values
+    are cut at some of their quantiles, sums of the ranges tell in which one half is reached, and only that
+    range goes on.  Cuts that do not divide a key's values, as for one value alone, do not occur, since values are distinct.
+    """
+    by = materialise(rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), "weights")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    ends = by.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.sum("_w").alias("_t"))
+    left = by.withColumn("_before", F.lit(0).cast("long"))
+    totals = materialise(ends, "totals")
+    while not left.groupBy(*keys).count().where(F.col("count") > most).isEmpty():
+        cuts = left.groupBy(*keys).agg(F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 100 * CUTS).alias("_cuts"), F.count("*").alias("_n"))
+        of = F.when(F.col("_n") > most, F.size(F.filter("_cuts", lambda c: c < F.col(f"l.{value}")))).otherwise(0)
+        ranged = materialise(left.alias("l").join(cuts.alias("c"), same("l", "c")).select("l.*", of.alias("_range")), "ranges")
+        sums = ranged.groupBy(*keys, "_range").agg(F.sum("_w").alias("_s"), F.max("_before").alias("_before"))
+        up = Window.partitionBy(*keys).orderBy("_range")  # a row a range
+        upto = sums.withColumn("_upto", F.col("_before") + F.sum("_s").over(up))
+        reached = upto.alias("u").join(totals.alias("t"), same("u", "t")).where("2 * u._upto >= t._t")
+        here = reached.groupBy(*[F.col(f"u.{k}") for k in keys]).agg(F.min("_range").alias("_range"), F.min_by(F.col("_upto") - F.col("_s"), "_range").alias("_before"))
+        one = ranged.alias("l").join(here.alias("h"), [*same("l", "h"), F.col("l._range") == F.col("h._range")])
+        left = materialise(one.select(*[F.col(f"l.{c}") for c in (*keys, value, "_w")], "h._before"), "weights")
+    cum = left.withColumn("_c", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy(value)))
+    half = cum.alias("c").join(totals.alias("t"), same("c", "t")).where("2 * c._c >= t._t")
+    found = half.groupBy(*[F.col(f"c.{k}") for k in keys]).agg(F.min(value).alias("median"))
+    return totals.alias("t").join(found.alias("f"), same("t", "f"), "left").select(*[F.col(f"t.{k}") for k in keys], "median", "min", "max")
 
 
 def weighted_summary(per_doc: DataFrame) -> DataFrame:

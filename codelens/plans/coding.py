@@ -3,37 +3,22 @@
 from __future__ import annotations
 
 import json
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import extract_instances, first_success, validate_responses
-from ..schemas import RESPONSES
+from ..functions.parsing import extract_instances, extract_matches, first_success, validate_responses
+from ..operators.location import locate_quotes
+from ..operators.matching import KEYS, align, compare, format_quotes
 from ..scratch import materialise
-from ..sources.codings import read_codebook
+from ..sources.codings import read_codebook, read_errors
 from ..sources.documents import check_unique, read_documents, rows_as_documents
 from ..sources.sinks import nested_results, run_id, run_summary, write_run
+from .responses import Coder, Response, call_coder  # noqa: F401
 
 
-@dataclass
-class Response:
-    """A coder's answer with what its service reports of it; a coder may also return the text alone."""
-
-    text: str
-    model: str | None = None
-    usage: dict[str, int] | None = None
-    created: int | None = None
-    response_id: str | None = None
-    raw: dict | None = None
-
-
-#: A coder takes a prompt and returns a response; one is made for each partition.
-Coder = Callable[[str], "str | Response"]
-
 TEMPLATE = """Code the text below with the codebook's constructs.
 
 Codebook:
@@ -82,46 +67,6 @@ def codebook_text(codebook: DataFrame) -> str:
     return json.dumps({r.construct: entry(r) for r in rows}, indent=2, ensure_ascii=False)
 
 
-def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, model: str = "coder") -> DataFrame:
-    """Responses of a coder to a prompt a row, a row an attempt, written before anything reads them.
-
-    An attempt that raises is recorded and tried again, up to ``retries`` times; so is one whose response is
-    no JSON.  ``docs`` keeps its order of columns; ``doc_id`` is the key.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = make()
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for attempt in range(retries + 1):
-                    if attempt and pause:
-                        time.sleep(pause)
-                    began, row = time.time(), {"doc_id": doc, "attempt": attempt, "model": model}
-                    try:
-                        got = coder(text)
-                        if isinstance(got, Response):
-                            row |= {"model": got.model or model, "usage": list((got.usage or {}).items()), "created": got.created, "response_id": got.response_id, "raw_response": json.dumps(got.raw) if got.raw is not None else None}
-                            got = got.text
-                        row["response_text"] = got
-                        json.loads(got)
-                        good = True
-                    except Exception as e:  # whatever the caller's coder raises is that document's error
-                        row |= {"error_message": str(e), "error_type": type(e).__name__, "error_output": row.get("response_text") or str(e)}
-                        good = False
-                    row["latency_ms"] = (time.time() - began) * 1000
-                    out.append(row)
-                    if good:
-                        break
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "map<string,bigint>": pa.map_(pa.string(), pa.int64())}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESPONSES.split(", ")])
-    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), prompt.alias("prompt"))
-    return materialise(asked.mapInArrow(run, RESPONSES), "responses")
-
-
 @dataclass
 class Coded:
     """Results of a run: instances, one outcome and metadata row a document, errors, and responses by attempt."""
@@ -145,26 +90,40 @@ def response_metadata(responses: DataFrame, outcomes: DataFrame) -> DataFrame:
     return both.select("doc_id", *said, "num_retries", "error_message", kind, output)
 
 
-def parse_run(docs: DataFrame, responses: DataFrame) -> Coded:
-    """Responses to results; documents may have a ``path``, which their errors then name."""
+def parse_run(docs: DataFrame, responses: DataFrame, model: str = "coder", fuzzy: float | None = None) -> Coded:
+    """Responses to results; documents may have a ``path``, which their errors then name.
+
+    A document without a text was never asked about; it has an error that says so.  With ``fuzzy``, quotes
+    that do not stand in their text as they are get the place that is most like them, if by that share at least.
+    """
     valid = validate_responses(responses)
     valid = valid.withColumn("invalid", F.when(F.col("error_message").isNotNull(), F.col("error_message")).otherwise(F.col("invalid")))
     best = first_success(valid.select("doc_id", "attempt", "response_text", "parsed", "invalid"))
-    outcomes = best.select("doc_id", "num_retries", "error_message")
     path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", path.alias("document_path"))
+    silent = texts.where("text IS NULL").select("doc_id", F.lit(0).alias("num_retries"), F.lit("No text").alias("error_message"))
+    asked = best.select("doc_id", "num_retries", "error_message")
+    outcomes = asked.unionByName(silent)
     good = best.where("error_message IS NULL").join(texts, "doc_id").select("doc_id", "text", "parsed")
-    meta = response_metadata(responses, outcomes)
+    instances = extract_instances(good) if fuzzy is None else locate_quotes(extract_instances(good, keep_text=True), fuzzy, texts)
+    answered = response_metadata(responses, asked)
+    said = {f.name: F.lit(None).cast(f.dataType) for f in answered.schema} | {"model": F.lit(model), "error_type": F.lit("ValueError"), "error_output": F.lit("No text")}
+    none = silent.select(*[F.col(c) if c in silent.columns else v.alias(c) for c, v in said.items()])
+    meta = answered.unionByName(none)
     failed = meta.where("error_message IS NOT NULL").select("doc_id", "error_message", F.col("model").alias("model_used"))
     errors = failed.join(texts.select("doc_id", "document_path"), "doc_id").select("doc_id", "document_path", "error_message", "model_used", F.current_timestamp().alias("ts"))
-    return Coded(extract_instances(good), outcomes, meta, errors, responses)
+    return Coded(instances.select("doc_id", "construct", "ord", "speaker_id", "quote", "quote_index", "confidence"), outcomes, meta, errors, responses)
+
 
+def code_table(docs: DataFrame, codebook: DataFrame, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, template: str = TEMPLATE, tasks: int | None = None, model: str = "coder", fuzzy: float | None = None, store: str | None = None, slice_rows: int | None = None) -> Coded:
+    """Code every document of a table (``doc_id, text``); ``tasks`` bounds how many coders work at a time.
 
-def code_table(docs: DataFrame, codebook: DataFrame, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, template: str = TEMPLATE, tasks: int | None = None, model: str = "coder") -> Coded:
-    """Code every document of a table (``doc_id, text``); ``tasks`` bounds how many coders work at a time."""
-    rows = docs.repartition(tasks) if tasks else docs
+    ``fuzzy`` is the share from which altered quotes are located.  ``store`` is a folder of responses: what it
+    holds is not asked again, so a run that broke off goes on where it stopped.
+    """
     prompt = fill(template, text=F.col("text"), codebook=F.lit(codebook_text(codebook)))
-    return parse_run(docs, call_coder(rows.where("text IS NOT NULL"), prompt, make, retries, pause, model))
+    sizes = {"slice_rows": slice_rows} if slice_rows else {}
+    return parse_run(docs, call_coder(docs.where("text IS NOT NULL"), prompt, make, retries, pause, model, store=store, tasks=tasks, **sizes), model, fuzzy)
 
 
 def write_coded(run: Coded, docs: DataFrame, root: str, name: str, model: str, codebook: str, source: str, form: str = "parquet") -> str:
@@ -194,12 +153,28 @@ def code_rows(rows: DataFrame, text_column: str, codebook: str, make: Callable[[
 
 def retry_failed(docs: DataFrame, errors: DataFrame, codebook: DataFrame, make: Callable[[], Coder], **options) -> tuple[Coded, DataFrame]:
     """Code the failed documents again; returns that run and the errors that remain."""
-    again = docs.join(errors.select("doc_id").distinct(), "doc_id", "left_semi")
+    again = docs.join(errors.select("doc_id").distinct(), docs["doc_id"].cast("string") == errors["doc_id"], "left_semi")
     run = code_table(again, codebook, make, **options)
     done = run.outcomes.where("error_message IS NULL").select("doc_id")
     return run, errors.join(done, "doc_id", "left_anti")
 
 
+def retry_run(docs: DataFrame, root: str, name: str, codebook: str, make: Callable[[], Coder], **options) -> tuple[Coded, DataFrame]:
+    """Code a saved run's failed documents again, and add what is recovered to the run.
+
+    ``docs`` are the documents that the run was given.  Results, metadata and errors of the new attempts are
+    added to the run's tables; a document is failed as long as it has no result, which is how ``read_errors``
+    reads the run.  Returns the new attempts and the errors that remain; without failures both are empty.
+    """
+    spark = docs.sparkSession
+    errors = read_errors(spark, root, name)
+    run, _ = retry_failed(docs, errors, read_codebook(spark, codebook), make, **options)
+    recovered = run.outcomes.where("error_message IS NULL").select("doc_id")
+    for table, kind in ((run.meta, "metadata"), (run.errors, "errors"), (nested_results(run.instances, recovered), "encodings")):
+        write_run(table, root, kind, name, add=True)
+    return run, read_errors(spark, root, name)
+
+
 def lexicon_coder(codebook: list[tuple[str, list[str]]]) -> Callable[[], Coder]:
     """A coder for tests without a model: every example phrase found in the text part of the prompt."""
 
@@ -220,10 +195,31 @@ def match_prompts(aligned: DataFrame, quotes: Callable[[Column], Column], templa
     return two.select("doc_id", "construct", fill(template, construct=F.col("construct"), human_quotes=quotes(F.col("hs")), llm_quotes=quotes(F.col("ms"))).alias("prompt"))
 
 
-def call_matcher(prompts: DataFrame, make: Callable[[], Coder], retries: int = 0) -> DataFrame:
-    """``(doc_id, construct, response_text)`` of a matcher, written before anything reads them."""
+def call_matcher(prompts: DataFrame, make: Callable[[], Coder], retries: int = 0, store: str | None = None) -> DataFrame:
+    """``(doc_id, construct, response_text, parsed, error_message)`` of a matcher, written before anything reads them."""
     key = prompts.select(F.to_json(F.array("doc_id", "construct")).alias("doc_id"), "prompt")
-    got = call_coder(key, F.col("prompt"), make, retries)
-    best = first_success(validate_responses(got, "matches").select("doc_id", "attempt", "response_text", "parsed", "invalid"))
+    got = call_coder(key, F.col("prompt"), make, retries, model="matcher", items="matches", store=store)
+    valid = validate_responses(got, "matches").withColumn("invalid", F.coalesce("error_message", "invalid"))
+    best = first_success(valid.select("doc_id", "attempt", "response_text", "parsed", "invalid"))
     names = F.from_json("doc_id", "array<string>")
     return best.select(names[0].alias("doc_id"), names[1].alias("construct"), "response_text", "parsed", "error_message")
+
+
+class MatcherError(RuntimeError):
+    """A matcher gave no usable answer for some groups, after all attempts."""
+
+
+def compare_by_matcher(human: DataFrame, llm: DataFrame, make: Callable[[], Coder], retries: int = 0, template: str = MATCH_TEMPLATE, store: str | None = None, leave_out: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both codings' quotes aligned, groups of both sides put to a matcher, and paired as it says.
+
+    Returns comparison rows and the groups, with their errors, for which the matcher failed.  Such groups
+    raise; with ``leave_out``, their quotes are on neither side of the comparison, since they are neither agreed nor missed.
+    """
+    prompts = match_prompts(align(human, llm), format_quotes, template)
+    said = materialise(call_matcher(prompts, make, retries, store).withColumn("parsed", F.to_json("parsed")), "matches")
+    failed = said.where("error_message IS NOT NULL").select(*KEYS, "error_message")
+    if not leave_out and (first := failed.orderBy(*KEYS).first()):
+        raise MatcherError(f"matcher failed for {failed.count()} groups, first {first.doc_id}, {first.construct}: {first.error_message}")
+    proposals = extract_matches(said.where("error_message IS NULL").withColumn("parsed", F.parse_json("parsed")))
+    sides = [side.join(failed.select(*KEYS), KEYS, "left_anti") for side in (human, llm)]
+    return compare(*sides, proposals), failed

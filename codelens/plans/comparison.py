@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import compare_exact, ordered
+from ..scratch import materialise
 from ..sources.codings import read_results
-from ..sources.sinks import run_id, write_run
+from ..sources.sinks import run_id, write_ordered
 
 #: Takes the human's and the model's instances, returns comparison rows.
 Compare = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def _saved(rows: DataFrame, root: str | None, name: str) -> DataFrame:
-    if root:
-        write_run(ordered(rows).coalesce(1), root, "comparison", run_id(name), "csv")
-    return rows
+    """The rows, also written in order as CSV if there is a ``root``; they are then made once and read back for that."""
+    if not root:
+        return rows
+    out = materialise(rows, "comparison")
+    write_ordered(ordered(out), root, "comparison", run_id(name))
+    return out
 
 
 def compare_documents(spark: SparkSession, human: str, llm: str, compare: Compare = compare_exact, root: str | None = None, name: str = "comparison") -> DataFrame:

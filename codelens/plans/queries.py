@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import extract_instances, extract_matches, first_success, validate_responses
-from ..functions.spans import find_quote, locate_quotes, parse_range, parse_span, span_overlap
+from ..functions.spans import find_quote, parse_range, parse_span, span_overlap
 from ..functions.text import BLANKS, FIRST_PERSON, STOP_WORDS, document_metrics, sentences, tokens
 from ..operators import codebook as cb
 from ..operators import corpus, display, matching, metrics
+from ..operators.location import locate_quotes
 from ..schemas import CODEBOOK, METRICS
 from ..scratch import folder, materialise
 from ..sources.codings import human_codings, read_results
 from ..sources.documents import join_turns, rows_as_documents, suffix_duplicates, transcript_line
-from ..sources.sinks import nested_results, run_summary, write_codebook, write_run
+from ..sources.sinks import nested_results, run_path, run_summary, write_codebook, write_run
 from .coding import code_rows, lexicon_coder
 from .comparison import compare_directories
 
@@ -187,7 +188,7 @@ def quote_index_fuzzy(spark, sf_dir):
     """Every sentence without its fifth letter, located in its whole document."""
     rows = sentence_rows(spark, sf_dir)
     wrong = F.concat(F.substring("quote", 1, 4), F.substring("quote", 6, 1 << 30))
-    return locate_quotes(rows.select("doc_id", "pos", "text", wrong.alias("quote")), 0.85).select("doc_id", "pos", "quote", "quote_index")
+    return locate_quotes(rows.select("doc_id", "pos", "text", wrong.alias("quote")), 0.85, table(spark, sf_dir, "documents")).select("doc_id", "pos", "quote", "quote_index")
 
 
 @query("SELECT conv_id, string_agg(coalesce(nullif(trim(role), '') || ': ', '') || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -310,7 +311,7 @@ def _saved(spark, instances):
     """A run with the instances' results, as a coding run writes them."""
     name = f"run-{uuid.uuid4().hex}"
     write_run(nested_results(instances, instances.select("doc_id")), folder(spark), "encodings", name)
-    return f"{folder(spark)}/{name}"
+    return run_path(folder(spark), "encodings", name)
 
 
 @query(f"WITH {S} SELECT doc_id, construct, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, NULL::VARCHAR AS speaker_id, quote, quote_index, confidence FROM m")
@@ -339,7 +340,7 @@ def coded_run(spark, sf_dir):
     rows = [(c, i, None, phrases, None, None) for i, (c, phrases) in enumerate(_PHRASES.items())]
     path = write_codebook(spark.createDataFrame(rows, CODEBOOK), cb.Meta("small"), f"{root}/book-{uuid.uuid4().hex}.json")
     _, name = code_rows(table(spark, sf_dir, "documents"), "text", path, lexicon_coder(list(_PHRASES.items())), root, "doc_id", name=f"coded-{uuid.uuid4().hex}")
-    return read_results(spark, f"{root}/{name}")[0]
+    return read_results(spark, run_path(root, "encodings", name))[0]
 
 
 @query(f"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM h), mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM m)
@@ -348,12 +349,12 @@ def coded_run(spark, sf_dir):
 def compare_greedy(spark, sf_dir):
     """Pairs by proposals that name the k-th quotes of both sides, after one that is out of range and with repeats."""
     human, llm = codings(spark, sf_dir)
-    both = matching.align(human, llm)
-    n = F.least(F.size("hs"), F.size("ms"))
-    good = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((2 * i).alias("ord"), (i - 1).alias("human_index"), (i - 1).alias("llm_index")))
-    again = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((2 * i + 1).alias("ord"), (i - 1).alias("human_index"), i.alias("llm_index")))
-    wild = F.array(F.struct(F.lit(0).alias("ord"), F.lit(-1).alias("human_index"), F.lit(0).alias("llm_index")), F.struct(F.lit(1).alias("ord"), F.size("hs").alias("human_index"), F.lit(0).alias("llm_index")))
-    rows = both.where(n > 0).select("doc_id", "construct", F.inline(F.concat(wild, good, again)))
+    sizes = lambda side, name: side.groupBy("doc_id", "construct").agg(F.count("*").cast("int").alias(name))
+    both = sizes(human, "h").join(sizes(llm, "m"), ["doc_id", "construct"])
+    good = F.transform(F.sequence(F.lit(1), F.least("h", "m")), lambda i: F.struct((2 * i).alias("ord"), (i - 1).alias("human_index"), (i - 1).alias("llm_index")))
+    again = F.transform(F.sequence(F.lit(1), F.least("h", "m")), lambda i: F.struct((2 * i + 1).alias("ord"), (i - 1).alias("human_index"), i.alias("llm_index")))
+    wild = F.array(F.struct(F.lit(0).alias("ord"), F.lit(-1).alias("human_index"), F.lit(0).alias("llm_index")), F.struct(F.lit(1).alias("ord"), F.col("h").alias("human_index"), F.lit(0).alias("llm_index")))
+    rows = both.select("doc_id", "construct", F.inline(F.concat(wild, good, again)))
     out = matching.compare(human, llm, rows.withColumns({"paraphrase": F.lit(False), "match_confidence": F.lit(0.9)}))
     return out.select("doc_id", "construct", "human_quote", "llm_quote", "status")
 

@@ -50,9 +50,9 @@ def _flat(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_results(spark: SparkSession, path: str, named: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Saved results of a run, its ``encodings`` folder or one file, as ``(instances, documents)``; an invalid file fails.
+    """Saved results as ``(instances, documents)``: a run's part of ``encodings``, or result files or their folder; an invalid file fails.
 
-    A run is a Parquet table; other results are a JSON file a document, which then bears the name of its file,
+    A run is Parquet; other results are a JSON file a document, which then bears the name of its file,
     or the id that the file gives, if it is not ``named``.
     """
     below = spark._jvm.org.apache.hadoop.fs.Path(path, "encodings")
@@ -66,14 +66,39 @@ def read_results(spark: SparkSession, path: str, named: bool = True) -> tuple[Da
     return _flat(rows)
 
 
-def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    """Error records of a run; none if there is no such folder."""
+def read_runs(spark: SparkSession, root: str, kind: str, schema: str, runs: list[str] | None = None) -> DataFrame:
+    """One table of many runs with their ``run_id``; ``runs`` selects partitions, and other runs are not read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root, kind)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{schema}, run_id string")
+    rows = spark.read.schema(f"{schema}, run_id string").parquet(where.toString())
+    return rows if runs is None else rows.where(F.col("run_id").isin(runs))
+
+
+def read_run_results(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
+    """``run_id`` and the instances of many runs."""
+    rows = read_runs(spark, root, "encodings", RESULT, runs)
+    flat = rows.select("run_id", F.col("document_id").alias("doc_id"), F.posexplode("instances").alias("ord", "i"))
+    return flat.select("run_id", "doc_id", "i.construct", "ord", "i.speaker_id", "i.quote", "i.quote_index", "i.confidence")
+
+
+def read_errors(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """Error records of a run's documents that have no result, the last of each; none if there are no errors."""
+    rows = read_runs(spark, root, "errors", ERRORS, [run])
+    done = read_runs(spark, root, "encodings", RESULT, [run]).select(F.col("document_id").alias("doc_id"))
+    last = rows.join(done, "doc_id", "left_anti").groupBy("doc_id").agg(F.max_by(F.struct("document_path", "error_message", "model_used", "ts"), "ts").alias("e"))
+    return last.select("doc_id", "e.*")
+
+
+def read_error_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Error records that are a JSON file each, named ``..._error.json``; a malformed one fails, and a missing folder has none."""
     try:
-        return spark.read.schema(ERRORS).json(path)
+        rows = spark.read.schema(ERRORS.replace("ts timestamp", "timestamp timestamp").replace("doc_id", "document_id")).json(folder, multiLine=True, mode="FAILFAST", pathGlobFilter="*_error.json")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], ERRORS)
+    return rows.withColumnsRenamed({"document_id": "doc_id", "timestamp": "ts"})
 
 
 ENTRY = "struct<definition:string,examples:array<string>,counter_examples:array<string>>"

@@ -140,7 +140,7 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def rows_as_documents(rows: DataFrame, text_column: str, id_column: str | None = None, order: str | None = None) -> DataFrame:
-    """Each row of a table as a document: ``doc_id, text, pos``; rows without a text are left out.
+    """Each row of a table as a document: ``doc_id, text, pos``; a row without a text keeps its place.
 
     ``pos`` is a row's place, from 0, by the column ``order``, or without it in the order in which Spark
     reads the rows.  It is the id where no column holds one.
@@ -152,5 +152,5 @@ def rows_as_documents(rows: DataFrame, text_column: str, id_column: str | None =
     out = (rows.orderBy(order) if order else rows).select(given.alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     out = numbered(out, "pos")
     if id_column is None:
-        return out.withColumn("doc_id", F.col("pos").cast("string")).where("text IS NOT NULL")
-    return suffix_duplicates(out).where("text IS NOT NULL")
+        return out.withColumn("doc_id", F.col("pos").cast("string"))
+    return suffix_duplicates(out)

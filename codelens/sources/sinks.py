@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.codebook import Meta
@@ -15,11 +15,33 @@ def run_id(name: str, at: datetime | None = None) -> str:
     return f"{name}_{(at or datetime.now(UTC)).strftime('%Y-%m-%d_%H%M%S')}"
 
 
-def write_run(table: DataFrame, root: str, kind: str, run: str, form: str = "parquet") -> str:
-    """Write one table of a run, ``encodings``, ``metadata``, ``errors`` or ``comparison``; never over another."""
-    path = f"{root}/{run}/{kind}"
-    writer = table.write.mode("errorifexists")
-    writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
+def run_path(root: str, kind: str, run: str) -> str:
+    """Where a run has its part of a table; the name of the run is a partition value."""
+    return f"{root}/{kind}/run_id={run}"
+
+
+def write_run(table: DataFrame, root: str, kind: str, run: str, form: str = "parquet", add: bool = False) -> str:
+    """Write a run's part of a table, ``encodings``, ``metadata``, ``errors``, ``summary`` or ``comparison``.
+
+    Runs are partitions of one table, so that a query can read any number of them and prunes the others.
+    A run's part is never written over; ``add`` appends to it.
+    """
+    path = run_path(root, kind, run)
+    writer = table.write.mode("append" if add else "errorifexists")
+    writer.options(header=True, escape='"').csv(path) if form == "csv" else writer.format(form).save(path)
+    return path
+
+
+def write_ordered(table: DataFrame, root: str, kind: str, run: str) -> str:
+    """Write a sorted table as CSV parts that follow one another, each with a header, and a list of them.
+
+    Rows are dealt to parts by ranges of their order, so no task has them all.  ``manifest`` beside the parts
+    has a row a part: its place, name and number of rows.
+    """
+    path = write_run(table, root, kind, run, "csv")
+    parts = table.sparkSession.read.csv(path, header=True, schema=table.schema, multiLine=True, escape='"').groupBy(F.col("_metadata.file_name").alias("part")).agg(F.count("*").alias("rows"))
+    place = F.row_number().over(Window.orderBy("part")) - 1  # a row a part
+    write_run(parts.select(place.alias("place"), "part", "rows"), root, f"{kind}_manifest", run)
     return path
 
 

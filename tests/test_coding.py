@@ -1,5 +1,6 @@
 """Sources, parsing and coding runs on small invented cases."""
 
+import csv
 import json
 import random
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelens.functions.parsing import extract_instances, validate_responses
-from codelens.functions.spans import best_window, find_quote, parse_range, parse_span, span_overlap
+from codelens.functions.fuzzy import best_window
+from codelens.functions.spans import find_quote, parse_range, parse_span, span_overlap
 from codelens.operators import codebook as cb
 from codelens.operators import matching, metrics
 from codelens.operators.corpus import sentence_complexity
@@ -169,7 +171,8 @@ def test_coding_run(spark, tmp_path):
     book = spark.createDataFrame([("mood", 0, "m", ["feel sad"], [], {})], "construct string, ord int, definition string, examples array<string>, counter_examples array<string>, extra map<string,string>")
     run = code_table(docs, book, lexicon_coder([("mood", ["feel sad"])]))
     assert [(r.doc_id, r.quote, r.quote_index) for r in run.instances.collect()] == [("a", "feel sad", "2:10")]
-    assert run.outcomes.count() == 2 and run.errors.count() == 0
+    assert run.outcomes.where("error_message IS NULL").count() == 2
+    assert [(r.doc_id, r.error_message) for r in run.errors.collect()] == [("c", "No text")]
 
     def failing():
         def code(prompt):
@@ -180,27 +183,27 @@ def test_coding_run(spark, tmp_path):
         return code
 
     bad = code_table(docs, book, failing, retries=1)
-    assert [(r.doc_id, r.error_message) for r in bad.errors.collect()] == [("b", "Failed after 2 attempts: down")]
+    assert [(r.doc_id, r.error_message) for r in bad.errors.orderBy("doc_id").collect()] == [("b", "Failed after 2 attempts: down"), ("c", "No text")]
     again, left = retry_failed(docs, bad.errors, book, lexicon_coder([("mood", ["feel sad"])]))
-    assert again.outcomes.count() == 1 and left.count() == 0
+    assert again.outcomes.count() == 2 and [r.doc_id for r in left.collect()] == ["c"]
     s = sinks.run_summary(bad.outcomes, "r", "m", "b", "i").first()
-    assert (s.total, s.successful, s.failed) == (2, 1, 1)
+    assert (s.total, s.successful, s.failed) == (3, 1, 2)
     path = sinks.write_run(sinks.nested_results(run.instances, docs), str(tmp_path), "encodings", sinks.run_id("x"), "json")
     back, ids = codings.read_results(spark, path)
     assert ids.count() > 0 and back.where("quote = 'feel sad'").count() == 1
-    assert codings.read_errors(spark, str(tmp_path / "errors")).count() == 0
+    assert codings.read_errors(spark, str(tmp_path / "nothing"), "x").count() == 0 and codings.read_error_files(spark, str(tmp_path / "nothing")).count() == 0
     saved = json.loads(sinks.codebook_json(book, cb.Meta("n", 2).refined()).first().value)
     assert saved["codebook"]["mood"]["examples"] == ["feel sad"]
     assert saved["metadata"] == {"name": "n", "version": None, "citation": "", "built_from": [{"name": "n", "version": 2}], "partial": True}
 
 
 def test_ids_are_places(spark):
-    """Without an id column, rows are numbered from 0 over all partitions; without a text they have a number, but go."""
+    """Without an id column, rows are numbered from 0 over all partitions, those without a text too."""
     rows = spark.createDataFrame([(f"t{i}" if i != 4 else None, -i) for i in range(11)], "text string, turned int").repartition(5, "turned").cache()
     got = documents.rows_as_documents(rows, "text").collect()
-    assert len({r.doc_id for r in got} & {str(i) for i in range(11)}) == 10 and all(r.doc_id == str(r.pos) for r in got)
+    assert {r.doc_id for r in got} == {str(i) for i in range(11)} and len(got) == 11 and all(r.doc_id == str(r.pos) for r in got)
     by = {r.text: (r.doc_id, r.pos) for r in documents.rows_as_documents(rows, "text", order="turned").collect()}
-    assert by == {f"t{i}": (str(10 - i), 10 - i) for i in range(11) if i != 4}
+    assert by == {f"t{i}" if i != 4 else None: (str(10 - i), 10 - i) for i in range(11)}
 
 
 def test_response_metadata(spark):
@@ -232,16 +235,27 @@ def test_runs_that_write(spark, tmp_path):
     book.write_text(json.dumps({"calm": {"definition": "d", "examples": ["calm"]}}))
     coder = lexicon_coder([("calm", ["calm"])])
     run, name = code_directory(spark, str(source), str(book), coder, str(tmp_path / "out"), "folder", "m")
-    assert {p.name for p in (tmp_path / "out" / name).iterdir()} == {"encodings", "metadata", "errors", "summary"}
-    assert sorted((r.doc_id, r.quote_index) for r in codings.read_results(spark, str(tmp_path / "out" / name))[0].collect()) == [("one", "12:16"), ("two", "3:7")]
-    s = spark.read.parquet(str(tmp_path / "out" / name / "summary")).first()
+    out = str(tmp_path / "out")
+    encoded = lambda n: sinks.run_path(out, "encodings", n)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"encodings", "metadata", "errors", "summary"}
+    assert sorted((r.doc_id, r.quote_index) for r in codings.read_results(spark, encoded(name))[0].collect()) == [("one", "12:16"), ("two", "3:7")]
+    s = spark.read.parquet(sinks.run_path(out, "summary", name)).first()
     assert (s.total, s.successful, s.failed, s.model) == (2, 2, 0, "m")
     rows = spark.createDataFrame([("so calm", "u"), ("calm, calm", "u"), ("wild", "v")], "body string, author string")
     table, other = code_rows(rows, "body", str(book), coder, str(tmp_path / "out"), "author", name="rows")
     assert sorted(r.doc_id for r in table.instances.collect()) == ["u", "u_2"]
-    both = compare_directories(spark, str(tmp_path / "out" / name), str(tmp_path / "out" / other), root=str(tmp_path / "out"))
+    both = compare_directories(spark, encoded(name), encoded(other), root=out)
     assert sorted((r.doc_id, r.status) for r in both.collect()) == [("one", "human_only"), ("two", "human_only"), ("u", "llm_only"), ("u_2", "llm_only")]
-    assert len(list((tmp_path / "out").glob("comparison_*/comparison/*.csv"))) == 1
+    (kept,) = (tmp_path / "out" / "comparison").glob("run_id=comparison_*")
+    lines = [row for part in sorted(kept.glob("*.csv")) for row in list(csv.DictReader(part.open()))]
+    assert [r["doc_id"] for r in lines] == ["one", "two", "u", "u_2"]
+    manifest = spark.read.parquet(f"{out}/comparison_manifest").orderBy("place").collect()
+    assert [r.part for r in manifest] == sorted(p.name for p in kept.glob("*.csv")) and sum(r.rows for r in manifest) == 4
+    runs = codings.read_run_results(spark, out, [name])
+    assert runs.select("run_id").distinct().first().run_id == name and runs.count() == 2
+    assert codings.read_run_results(spark, out).select("run_id").distinct().count() == 2
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan
 
 
 def test_saved_files_compared(spark, tmp_path):
