@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(kind, start, end)`` in code points, by kind, then start."""
     out = [(0, a, b) for a, b in emails(text)]
     if _digit.search(text):
-        out += [(1, *m.span()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _ip.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
         for m in _card.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
