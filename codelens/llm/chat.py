@@ -34,6 +34,8 @@ def unescape(text: str) -> str:
 class Flattener:
     """Visitor over the parts of one turn: text is escaped, other parts become placeholders in order.
 
+    Texts side by side are escaped as one, since a mark may begin in one part and end in the next.
+
     ``attachments`` records each part's type, reference and place in the flat text (code points), ``tokens``
     what the placeholders expand to.  A part of unknown or null type is visited as text; null measures count
     as one patch, frame or page.
@@ -41,6 +43,7 @@ class Flattener:
 
     def __init__(self) -> None:
         self.flat: list[str] = []
+        self.open: list[str] = []
         self.length = 0
         self.attachments: list[dict] = []
         self.tokens = 0
@@ -49,7 +52,7 @@ class Flattener:
         getattr(self, f"visit_{part.get('type')}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        self._add(escape(part.get("text") or ""))
+        self.open.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         across, down = (-(-max(1, part.get(side) or 1) // PATCH) for side in ("width", "height"))
@@ -61,7 +64,13 @@ class Flattener:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, part.get("pages") or 1) * PAGE_TOKENS)
 
+    def close(self) -> None:
+        """Write the texts since the last placeholder."""
+        self._add(escape("".join(self.open)))
+        self.open.clear()
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.close()
         self.attachments.append({"type": kind, "uri": part.get("uri"), "at": self.length, "tokens": tokens})
         self.tokens += tokens
         self._add(PLACES[kind])
@@ -79,6 +88,7 @@ def render(turns: list[tuple[str, list[dict]]], learn: str = "assistant") -> tup
         visitor = Flattener()
         for part in parts:
             visitor.visit(part)
+        visitor.close()
         head = f"{TURN}{escape(role)}{BODY}"
         start = at + len(head)
         if role == learn:
