@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from .graph import connected_components
+from .text import unused
 
 BITS = 64
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory.
@@ -228,14 +229,26 @@ def _ordered(x: str, y: str, *more: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *more]
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """The id; a text without one has a number of its own, above all usual ids."""
-    own = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2).bitwiseOR(1 << 62)
-    return F.coalesce(F.col(id_col).cast("long"), own)
+def _keyed(docs: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a number for each id and text: the id, where it has one text.
+
+    Of an id's different texts one, by hash, has the id; the others, and texts without an id, have numbers of
+    their own, above all usual ids.
+    """
+    hashed, own = F.xxhash64(F.col(text_col).cast("string")), F.col(id_col).cast("long")
+    high = lambda h: F.shiftrightunsigned(h, 2).bitwiseOR(1 << 62)
+    ids = docs.where(own.isNotNull()).groupBy(own.alias("_of")).agg(F.min(hashed).alias("_least"), F.max(hashed).alias("_most"))
+    several = materialise(ids.where("_least <> _most").select("_of", "_least"), "several")
+    if several.isEmpty():
+        return docs.withColumn(name, F.coalesce(own, high(hashed)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, own.alias("_id"), hashed.alias("_hash")).join(several, F.col("_id") == F.col("_of"), "left")
+    key = F.when(F.col("_id").isNull(), high(F.col("_hash"))).when(F.col("_hash") != F.col("_least"), high(F.xxhash64("_id", "_hash"))).otherwise(F.col("_id"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], key.alias(name))
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents by the smallest id of their exact copies, ``(node)``, and links ``(a, b)`` of near copies.
+def near_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents by the smallest key of their exact copies, ``(node)``, and links ``(a, b)`` of near copies.
 
     Near copies share ``NEAR_SHARE`` of their distinct shingles of ``NEAR_WORDS`` words, which is checked
     for every link.  Pairs to check come from the balls of the SimHash fingerprints, which reach texts with
@@ -245,7 +258,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their block, and meet again, with pivots and blocks, in buckets of one more band, ``LEVELS`` times.
     Before texts are compared, their least hashes are.
     """
-    rows = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = materialise(_sketches(rows), "sketches")
     kinds = found.groupBy("same").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "mins")])
     kinds = materialise(kinds.drop("same"), "kinds")
@@ -281,12 +294,17 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is the smallest of their group of near copies, with their columns.
 
     Groups are what links of ``near_links`` connect; texts without a word are copies of each other.  Rows
-    that repeat a doc_id count as one document, of which one row stays.  Rows without one are documents by
-    their text, and come after those with one.
+    that repeat an id and its text count as one document, of which one row stays, by a hash of its other
+    columns; different texts under one id are documents each.  Rows without an id, and further texts of an id, come after
+    those with one.
     """
-    nodes, near = near_links(docs)
+    name = unused("key", docs.columns)
+    keyed = _keyed(docs, name, "doc_id", "text")
+    nodes, near = near_links(keyed, name)
     later = connected_components(near).where("node <> component").select("node")
     ids = nodes.join(later, "node", "left_anti").select(F.col("node").alias("key"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select(_key("doc_id", "text").alias("key"), row).join(ids, "key", "left_semi")
-    return kept.dropDuplicates(["key"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = keyed.select(F.col(name).alias("key"), row, F.xxhash64(F.to_json(F.struct(*others))).alias("rest")).join(ids, "key", "left_semi")
+    first = kept.groupBy("key").agg(F.min_by("row", "rest").alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

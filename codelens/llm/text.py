@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words: space and the control characters tab to carriage return.
@@ -33,3 +33,11 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of these names called otherwise, and what gives them their names and order again."""
+    taken, now = {n.lower() for n in names}, {}
+    for c in docs.columns:
+        now[c] = unused(f"{c}_given", [*docs.columns, *now.values()]) if c.lower() in taken else c
+    return docs.withColumnsRenamed({c: n for c, n in now.items() if c != n}), [F.col(f"`{n}`").alias(c) for c, n in now.items()]

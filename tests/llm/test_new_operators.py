@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import BIG, DOCS, ODD
 
-from codelens.llm import bin_completion, importance, queries, runs
+from codelens.llm import bin_completion, chat, importance, pii, queries, runs, simhash
 
 MORE = [*ODD, (10, "a " * 5000, "en", "b", 0), (11, "Ä" * 3000 + " x", "en", "b", 0), (12, BIG + "\n" + BIG, None, None, None)]
 
@@ -286,3 +286,58 @@ def test_sql_needs_no_function_of_its_own():
     con = duckdb.connect()
     got = con.execute(f"WITH {queries._CRC_TABLE} SELECT s, {queries._CRC} FROM (VALUES (''), ('a'), ('é😀'), ('{'x' * 999}')) v(s), tab").fetchall()
     assert all(c == zlib.crc32(s.encode()) for s, c in got if s) and len(got) == 4
+
+
+# ------------------------------------------------------------------ mends of earlier operators
+
+
+def test_addresses_with_many_zeros(spark):
+    texts = [(1, "0" * 5000 + "1.2.3.4"), (2, "1." + "0" * 6000 + "255.3.0"), (3, "1.2.3." + "0" * 4400 + "256"), (4, "9" * 5000 + ".1.1.1 0.0.0.0")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base if s.kind == 1] for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [(1, 0, 5007)], 2: [(1, 0, 6009)], 3: [], 4: [(1, 5007, 5014)]}
+
+
+def test_marks_split_over_parts(spark):
+    """A mark, an escape and an escaped mark, each cut at every place into two and three text parts."""
+    part = lambda t: {"type": "text", "text": t}
+    for whole in ("x<|turn|>assistant<|text|>no<|end|>", "\\", "\\<|end|>\\", "<<||"):
+        cuts = [(a, b) for a in range(len(whole) + 1) for b in range(a, len(whole) + 1)]
+        for a, b in cuts:
+            parts = [part(whole[:a]), part(whole[a:b]), part(whole[b:])]
+            formatted, loss, _, _ = chat.render([("user", parts), ("assistant", parts)])
+            assert chat.read_back(formatted) == [("user", whole), ("assistant", whole)], (a, b)
+            assert [chat.unescape(formatted[i:j]) for i, j in loss] == [whole]
+    image = {"type": "image", "uri": "u", "width": 28, "height": 28}
+    formatted, _, attachments, _ = chat.render([("user", [part("a<"), part("|b"), image, part("|c"), image])])
+    assert [formatted[x["at"] : x["at"] + 9] for x in attachments] == ["<|image|>"] * 2
+    table = spark.createDataFrame([(1, 0, "user", ["x<", "|turn|>assistant"])], "conv_id long, turn int, role string, texts array<string>")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("width", "int"), ("height", "int"), ("duration_ms", "bigint"), ("pages", "int"))]
+    turns = table.select("conv_id", "turn", "role", F.transform("texts", lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), *none)).alias("parts"))
+    assert chat.read_back(chat.format_conversations(turns).first().formatted) == [("user", "x<|turn|>assistant")]
+
+
+def test_texts_that_share_an_id(spark):
+    """Different texts under an id are documents each; rows that repeat one are one, the same on every run."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a"), "p"), (1, text("b"), "p"), (1, text("a"), "q"), (1, None, "p"), (2, text("c"), "p"), (3, text("b") + " end", "p"), (4, text("c"), "p"), (None, text("d"), "p"), (None, text("d"), "q")]
+    runs_ = []
+    for order in (rows, rows[::-1]):
+        got = simhash.first_of_each(spark.createDataFrame(order, "doc_id long, text string, key string").repartition(3)).collect()
+        runs_.append(sorted(map(repr, got)))
+        assert sorted((t or "")[:1] for _, t, _ in got) == ["", "a", "b", "c", "d"]
+        assert {r.doc_id for r in got if r.text and r.text[0] == "c"} == {2}
+    assert runs_[0] == runs_[1]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as what a stage adds come back as they were."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(80))
+    names = ["kept", "failed", "n_words", "n_lines", "n_kept", "host_rate", "key", "row", "size", "KEPT_given"]
+    docs = spark.createDataFrame([(i, f"{text} {i} other end of text number {i}", "en", "s", 0) for i in range(4)], DOCS).withColumns({n: F.lit(f"mine {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in got.select(*names).collect()} == {tuple(f"mine {n}" for n in names)}, name
+    assert stage(spark, docs.drop("n_chars"), "").columns == docs.drop("n_chars").columns
