@@ -39,3 +39,17 @@ def compare_directories(spark: SparkSession, human: str, llm: str, compare: Comp
     With ``root``, the rows are also written as a CSV table under a name with its time.
     """
     return _saved(compare(read_results(spark, human)[0], read_results(spark, llm)[0]), root, name)
+
+
+def compare_runs(human: DataFrame, results: DataFrame, runs: list[str], compare: Compare = compare_exact) -> DataFrame:
+    """Comparison rows of many saved runs with their ``run_id``, each against all of the human coding.
+
+    ``results`` has the runs' instances (``read_run_results``).  A document counts once a run, so the rows of all
+    runs are compared in one go.
+    """
+    one = lambda run, doc: F.to_json(F.array(run, doc))
+    mine = human.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
+    sides = [side.withColumn("doc_id", one("run_id", "doc_id")).drop("run_id") for side in (mine, results)]
+    names = F.from_json("doc_id", "array<string>")
+    rows = compare(*sides)
+    return rows.select(names[0].alias("run_id"), *[(names[1] if c == "doc_id" else F.col(c)).alias(c) for c in rows.columns])

@@ -6,6 +6,8 @@ one coded by the human and every third by the model; ``lineitem`` gives comparis
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +21,12 @@ from ..operators import corpus, display, matching, metrics
 from ..operators.location import locate_quotes
 from ..schemas import CODEBOOK, METRICS
 from ..scratch import folder, materialise
-from ..sources.codings import human_codings, read_results
+from ..sources.codings import human_codings, read_errors, read_results, read_run_results
 from ..sources.documents import join_turns, rows_as_documents, suffix_duplicates, transcript_line
 from ..sources.sinks import nested_results, run_path, run_summary, write_codebook, write_run
-from .coding import code_rows, lexicon_coder
-from .comparison import compare_directories
+from .coding import code_rows, lexicon_coder, retry_run
+from .coding import compare_by_matcher as match_groups
+from .comparison import compare_directories, compare_runs
 
 # ---------------------------------------------------------------- fixtures
 
@@ -343,9 +346,83 @@ def coded_run(spark, sf_dir):
     return read_results(spark, run_path(root, "encodings", name))[0]
 
 
-@query(f"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM h), mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM m)
+#: A coder that fails by what a text holds: it raises, answers without a list, or answers no JSON.
+_FAULTS = {"is the": "down", "of a": "No list of instances", "de la": "Not an object"}
+
+
+def _faulty(faults: list[str]):
+    def make():
+        good = lexicon_coder(list(_PHRASES.items()))()
+
+        def code(prompt: str) -> str:
+            text = prompt.partition("\nText:\n")[2]
+            kind = next((k for k in faults if k in text), None)
+            if kind == "is the":
+                raise RuntimeError("down")
+            return {"of a": '{"other": 1}', "de la": "[]"}[kind] if kind else good(prompt)
+
+        return code
+
+    return make
+
+
+def _faulty_run(spark, sf_dir) -> tuple[str, str, str]:
+    """Root, name and codebook of a written run of the faulty coder."""
+    root = f"{folder(spark)}/faulty-{uuid.uuid4().hex}"
+    rows = [(c, i, None, phrases, None, None) for i, (c, phrases) in enumerate(_PHRASES.items())]
+    path = write_codebook(spark.createDataFrame(rows, CODEBOOK), cb.Meta("small"), f"{root}/book.json")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")))
+    _, name = code_rows(docs, "text", path, _faulty(list(_FAULTS)), root, "doc_id", name="run", model="lexicon", retries=1)
+    return root, name, path
+
+
+_FAULT = "CASE WHEN doc_id % 7 = 0 THEN 'No text' " + " ".join(f"WHEN contains(text, '{k}') THEN 'Failed after 2 attempts: {e}'" for k, e in _FAULTS.items()) + " END"
+
+
+@query(f"SELECT * FROM (SELECT doc_id::VARCHAR AS doc_id, {_FAULT} AS error_message, 'lexicon' AS model_used FROM documents) WHERE error_message IS NOT NULL")
+def run_errors(spark, sf_dir):
+    """The errors that a run wrote, after its attempts, as they are read again."""
+    root, name, _ = _faulty_run(spark, sf_dir)
+    return read_errors(spark, root, name).select("doc_id", "error_message", "model_used")
+
+
+@query(f"""WITH f AS (SELECT doc_id::VARCHAR AS doc_id, text, {_FAULT} AS first FROM documents),
+ s AS (SELECT *, CASE WHEN first = 'No text' OR contains(text, 'is the') THEN replace(first, '2 attempts', '1 attempts') END AS error_message FROM f)
+ SELECT doc_id, error_message, CASE WHEN error_message IS NULL THEN (SELECT count(*) FROM (VALUES ('of a'), ('de la'), ('und die')) p(q) WHERE contains(s.text, q)) ELSE 0 END AS n FROM s""")
+def retried_run(spark, sf_dir):
+    """A saved run whose failures were coded again by a coder with one fault left: each document's error, or instances."""
+    root, name, path = _faulty_run(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    _, left = retry_run(docs, root, name, path, _faulty(["is the"]))
+    found = read_run_results(spark, root, [name]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id").join(left.select("doc_id", "error_message"), "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "error_message", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {S}, hk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct, quote ORDER BY ord) AS k FROM h),
+ r AS (SELECT *, unnest(CASE WHEN ord % 3 = 0 AND ord % 5 = 0 THEN ['third', 'fifth'] WHEN ord % 3 = 0 THEN ['third'] WHEN ord % 5 = 0 THEN ['fifth'] ELSE [] END) AS run_id FROM i),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, doc_id, construct, quote ORDER BY ord) AS k FROM r),
+ n AS (SELECT run_id, construct, count(*) AS tp FROM rk JOIN hk USING (doc_id, construct, quote, k) GROUP BY ALL),
+ a AS (SELECT run_id, construct, count(*) AS m FROM rk GROUP BY ALL), b AS (SELECT construct, count(*) AS h FROM hk GROUP BY ALL),
+ g AS (SELECT run_id, construct FROM (VALUES ('third'), ('fifth')) v(run_id), (SELECT construct FROM a UNION SELECT construct FROM b))
+ SELECT run_id, construct, coalesce(tp, 0)::BIGINT AS tp, (coalesce(m, 0) - coalesce(tp, 0))::BIGINT AS fp, (coalesce(h, 0) - coalesce(tp, 0))::BIGINT AS fn FROM g LEFT JOIN n USING (run_id, construct) LEFT JOIN a USING (run_id, construct) LEFT JOIN b USING (construct)""")
+def runs_compared(spark, sf_dir):
+    """Two of three saved runs, read as partitions of one table, each against the human coding."""
+    rows, root = sentence_rows(spark, sf_dir), f"{folder(spark)}/runs-{uuid.uuid4().hex}"
+    n = F.length("quote")
+    built = rows.select("doc_id", F.concat(F.lit("c"), n % 4).alias("construct"), F.col("pos").alias("ord"), F.lit(None).cast("string").alias("speaker_id"), "quote", F.lit(None).cast("string").alias("quote_index"), (n % 3).alias("confidence"))
+    for name, step in (("third", 3), ("fifth", 5), ("other", 2)):
+        some = built.where(F.col("ord") % step == 0)
+        write_run(nested_results(some, some.select("doc_id")), root, "encodings", name)
+    out = compare_runs(codings(spark, sf_dir)[0], read_run_results(spark, root, ["third", "fifth"]), ["third", "fifth"])
+    return out.groupBy("run_id", "construct").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+
+
+_BY_PLACE = f"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM h), mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x FROM m)
  SELECT coalesce(hn.doc_id, mn.doc_id) AS doc_id, coalesce(hn.construct, mn.construct) AS construct, hn.quote AS human_quote, mn.quote AS llm_quote,
-  CASE WHEN mn.x IS NULL THEN 'human_only' WHEN hn.x IS NULL THEN 'llm_only' ELSE 'matched' END AS status FROM hn FULL JOIN mn ON hn.doc_id = mn.doc_id AND hn.construct = mn.construct AND hn.x = mn.x""")
+  CASE WHEN mn.x IS NULL THEN 'human_only' WHEN hn.x IS NULL THEN 'llm_only' ELSE 'matched' END AS status FROM hn FULL JOIN mn ON hn.doc_id = mn.doc_id AND hn.construct = mn.construct AND hn.x = mn.x"""
+
+
+@query(_BY_PLACE)
 def compare_greedy(spark, sf_dir):
     """Pairs by proposals that name the k-th quotes of both sides, after one that is out of range and with repeats."""
     human, llm = codings(spark, sf_dir)
@@ -359,6 +436,24 @@ def compare_greedy(spark, sf_dir):
     return out.select("doc_id", "construct", "human_quote", "llm_quote", "status")
 
 
+def _by_place():
+    """A matcher that pairs quotes of the same number."""
+
+    def match(prompt: str) -> str:
+        human, _, llm = prompt.partition("Model quotes, numbered from 0:")
+        n = min(len(re.findall(r'^[0-9]+\. "', part, re.M)) for part in (human, llm))
+        return json.dumps({"matches": [{"human_index": i, "llm_index": i} for i in range(n)]})
+
+    return match
+
+
+@query(_BY_PLACE)
+def compare_by_matcher(spark, sf_dir):
+    """Both codings put to a matcher, in one call from alignment to pairs."""
+    rows, _ = match_groups(*codings(spark, sf_dir), _by_place)
+    return rows.select("doc_id", "construct", "human_quote", "llm_quote", "status")
+
+
 @query()
 def compare_similar(spark, sf_dir):
     """Pairs by overlapping spans or shared words."""
