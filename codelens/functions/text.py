@@ -29,8 +29,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 def document_metrics(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row a document with its counts, shares and readability scores; a map over ``docs``."""
-    words = lambda xs: F.array(*[F.lit(x) for x in xs])
-    held = lambda xs: F.size(F.filter("_t", lambda t: F.array_contains(words(xs), t)))
+    held = lambda xs: F.size(F.filter("_t", lambda t: t.isin(*xs)))
     base = docs.select(*keep, "text", tokens(F.col("text")).alias("_t"), sentences(F.col("text")).alias("_s"))
     out = base.select(
         *keep,
@@ -40,10 +39,10 @@ def document_metrics(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, ke
         F.size("_s").alias("n_sentences"),
         held(stop_words).alias("n_stop_words"),
         held(FIRST_PERSON).alias("n_first_person"),
-        F.size(F.filter("_t", lambda t: t.rlike(r"^\p{L}+$"))).alias("n_alpha"),
+        F.regexp_count(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])")).alias("n_alpha"),
         F.regexp_count("text", F.lit(r"\p{L}")).alias("n_letters"),
         F.regexp_count(F.lower("text"), F.lit("[aeiouy]+")).alias("n_syllables"),
-        F.size(F.filter("_t", lambda t: F.regexp_count(t, F.lit("[aeiouy]+")) >= 3)).alias("n_long_words"),
+        F.size(F.filter("_t", lambda t: t.rlike("[aeiouy][^aeiouy]++[aeiouy]++[^aeiouy]++[aeiouy]"))).alias("n_long_words"),
     )
     c = F.col
     w, s, y, p, l = (c(n).cast("double") for n in ("n_tokens", "n_sentences", "n_syllables", "n_long_words", "n_letters"))

@@ -72,8 +72,9 @@ def pos_proportions(tokens: DataFrame) -> DataFrame:
 def sentence_complexity(tokens: DataFrame, rounds: int = 16) -> DataFrame:
     """Dependency distance and tree depth of each document, over its sentences.
 
-    A root is its own head.  Depths come from pointer doubling inside a sentence: ``rounds`` of it reach
-    trees of a depth of two to that power.  Sentences without a root have no depth.
+    A root is its own head.  Depths come from pointer doubling inside a sentence, in as many rounds as its
+    number of words has binary digits, but at most ``rounds``, which reach trees of a depth of two to that
+    power.  Sentences without a root have no depth.
     """
     by = tokens.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("i", "head"))).alias("a"), F.avg(F.abs(F.col("i") - F.col("head")).cast("double")).alias("distance"))
     at = F.transform("a", lambda x: F.array_position(F.transform("a", lambda y: y["i"]), x["head"]).cast("int") - 1)
@@ -82,7 +83,7 @@ def sentence_complexity(tokens: DataFrame, rounds: int = 16) -> DataFrame:
     by = by.withColumn("h", heads)
     start = F.struct(F.col("h").alias("up"), F.transform("h", lambda x, i: (x != i).cast("int")).alias("d"))
     step = lambda s, _: F.struct(F.transform(s["up"], lambda x: F.get(s["up"], x)).alias("up"), F.transform(s["d"], lambda d, i: d + F.get(s["d"], F.get(s["up"], i))).alias("d"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    done = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(rounds), F.length(F.bin(F.size("h"))))), start, step)
     rooted = F.exists("h", lambda x: x.isNotNull()) & F.exists(F.transform("h", lambda x, i: x == i), lambda x: x)
     by = by.withColumn("depth", F.when(rooted, F.array_max(F.transform(done["d"], lambda x: x))))
     return by.groupBy("doc_id").agg(F.avg("distance").alias("dependency_distance_mean"), F.stddev_samp("distance").alias("dependency_distance_std"), F.avg("depth").alias("mean_tree_depth"))
