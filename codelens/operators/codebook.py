@@ -8,6 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
+#: Parts in which a construct's quotes are ranked before all of them.
+PARTS = 64
+
 
 @dataclass(frozen=True)
 class Meta:
@@ -75,20 +80,50 @@ def sample_size(n: int | str) -> int | None:
     return n
 
 
-def new_quotes(comparison: DataFrame, known: DataFrame, status: str, column: str, n: int | str, seed: int) -> DataFrame:
-    """``(construct, quotes)``: distinct trimmed quotes of a status that ``known(construct, quote)`` lacks.
+def fresh_quotes(comparison: DataFrame, known: DataFrame, status: str, column: str, n: int | str, seed: int) -> DataFrame:
+    """``(construct, digest, quote)``: distinct trimmed quotes of a status that ``known(construct, quote)`` lacks.
 
-    At most ``n`` of a construct, in the order of a digest of quote and seed.
+    At most ``n`` of a construct, the first by a digest of quote and seed.  These are the first of the first of
+    each of ``PARTS`` parts of a construct's quotes, so no task ranks them all.
     """
     quotes = comparison.where(F.col("status") == status).select("construct", F.btrim(column, F.lit(" \t\n\r")).alias("quote")).where("quote <> ''").distinct()
-    fresh = quotes.join(known.distinct(), ["construct", "quote"], "left_anti").withColumn("_d", F.md5(F.concat("quote", F.lit(f":{seed}"))))
+    fresh = quotes.join(known.distinct(), ["construct", "quote"], "left_anti").select("construct", F.md5(F.concat("quote", F.lit(f":{seed}"))).alias("digest"), "quote")
     limit = sample_size(n)
-    if limit is not None:
-        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("construct").orderBy("_d", "quote"))).where(F.col("_n") <= limit)
-    own = fresh.groupBy("construct").agg(F.array_sort(F.collect_list(F.struct("_d", "quote"))).alias("q"))
+    if limit is None:
+        return fresh
+    for part in ([F.pmod(F.xxhash64("quote"), F.lit(PARTS))], []):
+        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("construct", *part).orderBy("digest", "quote"))).where(F.col("_n") <= limit)
+    return fresh.drop("_n")
+
+
+def new_quotes(comparison: DataFrame, known: DataFrame, status: str, column: str, n: int | str, seed: int) -> DataFrame:
+    """``(construct, quotes)``: what ``fresh_quotes`` finds, as an array a construct."""
+    fresh = fresh_quotes(comparison, known, status, column, n, seed)
+    own = fresh.groupBy("construct").agg(F.array_sort(F.collect_list(F.struct("digest", "quote"))).alias("q"))
     return own.select("construct", F.transform("q", lambda x: x["quote"]).alias("quotes"))
 
 
+def refined_entries(comparison: DataFrame, pooled: DataFrame, codebook: DataFrame, threshold: float = 0.8, n_examples: int | str = "all", n_counterexamples: int | str = "all", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The partial codebook of ``refine`` as tables without arrays, for any number of quotes.
+
+    ``(heads, entries)``: ``construct, ord, definition, extra`` of the constructs that gain something, and their
+    ``construct, kind, place, digest, quote``: own entries by their place first, then new ones by their digest.
+    """
+    own = codebook.join(underperforming(pooled, threshold), "construct", "left_semi")
+    rows = comparison.join(own.select("construct"), "construct", "left_semi")
+    sides = (("examples", "human_only", "human_quote", n_examples), ("counter_examples", "llm_only", "llm_quote", n_counterexamples))
+    old, new = [], []
+    for kind, status, column, n in sides:
+        entries = own.select("construct", F.posexplode(kind).alias("place", "quote"))
+        old.append(entries.select("construct", F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), F.lit("").alias("digest"), "quote"))
+        fresh = fresh_quotes(rows, entries.select("construct", "quote"), status, column, n, seed)
+        new.append(fresh.select("construct", F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("place"), "digest", "quote"))
+    gained = materialise(new[0].unionByName(new[1]), "gained")
+    heads = own.join(gained.select("construct").distinct(), "construct", "left_semi").select("construct", "ord", "definition", "extra")
+    kept = old[0].unionByName(old[1]).join(heads.select("construct"), "construct", "left_semi")
+    return heads, kept.unionByName(gained)
+
+
 def refine(comparison: DataFrame, pooled: DataFrame, codebook: DataFrame, threshold: float = 0.8, n_examples: int | str = 50, n_counterexamples: int | str = 50, seed: int = 0) -> DataFrame:
     """Partial codebook: constructs that agree badly, with missed quotes as examples and wrong ones as counter-examples.
 

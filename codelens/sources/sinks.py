@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.codebook import Meta
+from ..scratch import folder
 
 
 def run_id(name: str, at: datetime | None = None) -> str:
@@ -73,9 +75,7 @@ def codebook_json(codebook: DataFrame, meta: Meta) -> DataFrame:
     entry = F.map_concat(known, rest)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "construct", F.to_json(entry).alias("e"))))
     book = F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["construct"], F.parse_json(x["e"]))))
-    about = {"name": meta.name, "version": meta.version, "citation": meta.citation, "built_from": [{"name": n, "version": v} for n, v in meta.built_from]}
-    about |= {"partial": True} if meta.partial else {}
-    return codebook.agg(F.to_json(F.struct(F.parse_json(F.lit(json.dumps(about))).alias("metadata"), book.alias("codebook")), {"pretty": "true"}).alias("value"))
+    return codebook.agg(F.to_json(F.struct(F.parse_json(F.lit(_about(meta))).alias("metadata"), book.alias("codebook")), {"pretty": "true"}).alias("value"))
 
 
 def pass_name(base: str, version: int, at: datetime | None = None) -> str:
@@ -94,3 +94,63 @@ def write_codebook(codebook: DataFrame, meta: Meta, path: str) -> str:
     finally:
         out.close()
     return path
+
+
+def _about(meta: Meta) -> str:
+    about = {"name": meta.name, "version": meta.version, "citation": meta.citation, "built_from": [{"name": n, "version": v} for n, v in meta.built_from]}
+    return json.dumps(about | ({"partial": True} if meta.partial else {}), ensure_ascii=False)
+
+
+def codebook_lines(heads: DataFrame, entries: DataFrame, meta: Meta) -> DataFrame:
+    """The lines of a codebook's JSON, a quote a line, with what orders them: no row or task holds a construct's quotes.
+
+    ``heads`` and ``entries`` are those of ``refined_entries``; a comma stands before all but the first of a list.
+    """
+    kinds = F.create_map(F.lit("examples"), F.lit(1), F.lit("counter_examples"), F.lit(3))
+    at = F.struct(F.col("place").isNull().alias("new"), F.coalesce("place", F.lit(0)).alias("place"), "digest", "quote")
+    rows = entries.join(heads.select("construct", "ord"), "construct").select("construct", "ord", kinds[F.col("kind")].alias("section"), at.alias("at"), "quote")
+    first = rows.groupBy("construct", "section").agg(F.min("at").alias("first"))
+    comma = F.when(F.col("at") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    quotes = rows.join(first, ["construct", "section"]).select("ord", "construct", "section", "at", F.concat(F.lit("   "), comma, F.to_json(F.array("quote")).substr(F.lit(2), F.length(F.to_json(F.array("quote"))) - 2)).alias("value"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    least = heads.agg(F.min(F.struct("ord", "construct"))).first()[0]
+    begin = F.when((F.col("ord") == F.lit(least.ord if least else None)) & (F.col("construct") == F.lit(least.construct if least else None)), F.lit("  ")).otherwise(F.lit("  ,"))
+    rest = F.map_entries(F.coalesce("extra", F.create_map().cast("map<string,string>")))
+    extra = F.array_join(F.transform(rest, lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"], F.lit(", "))), "")
+    definition = F.when(F.col("definition").isNotNull(), F.concat(F.lit('"definition": '), quoted("definition"), F.lit(", "))).otherwise(F.lit(""))
+    frame = {0: F.concat(begin, quoted("construct"), F.lit(": {"), definition, extra, F.lit('"examples": [')), 2: F.lit('   ], "counter_examples": ['), 4: F.lit("   ]}")}
+    none = F.lit(None).cast(quotes.schema["at"].dataType)
+    lines = quotes
+    for section, value in frame.items():
+        lines = lines.unionByName(heads.select("ord", "construct", F.lit(section).alias("section"), none.alias("at"), value.alias("value")))
+    ends = [(-1, "", -1, '{"metadata": ' + _about(meta) + ', "codebook": {'), (2**31 - 1, "", 9, "}}")]
+    outer = heads.sparkSession.createDataFrame(ends, "ord int, construct string, section int, value string")
+    return lines.unionByName(outer.select("ord", "construct", "section", none.alias("at"), "value"))
+
+
+def write_entries(heads: DataFrame, entries: DataFrame, meta: Meta, path: str) -> str:
+    """Write a codebook of any size as one JSON file, which ``read_codebook`` reads.
+
+    Tasks write the lines in parts by ranges of their order, and the parts are copied one after the other, some
+    bytes at a time.
+    """
+    spark = heads.sparkSession
+    order = ["ord", "construct", "section", "at"]
+    lines = codebook_lines(heads, entries, meta)
+    parts = f"{folder(spark)}/codebook-{uuid.uuid4().hex}"
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target, source = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    fs = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, False)
+    try:
+        for name in sorted(f.getPath().getName() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-")):
+            into = fs.open(hadoop.fs.Path(source, name))
+            try:
+                hadoop.io.IOUtils.copyBytes(into, out, conf, False)
+            finally:
+                into.close()
+    finally:
+        out.close()
+    fs.delete(source, True)
+    return path
