@@ -40,10 +40,12 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.posexplode(sentences(F.col("text"))).alias("pos", "quote"))
 
 
-def codings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def codings(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The human's and the model's quotes; ``once`` writes them, for queries that read them more than once."""
     rows = sentence_rows(spark, sf_dir)
     n = F.length("quote")
     built = rows.select("doc_id", F.concat(F.lit("c"), n % 4).alias("construct"), F.col("pos").alias("ord"), F.lit(None).cast("string").alias("speaker_id"), "quote", find_quote(F.col("text"), F.col("quote")).alias("quote_index"), (n % 3).alias("confidence"))
+    built = materialise(built.where("ord % 2 = 0 OR ord % 3 = 0"), "codings") if once else built
     human = built.where("ord % 2 = 0").withColumn("confidence", F.lit(None).cast("int"))
     return human, built.where("ord % 3 = 0")
 
@@ -168,22 +170,31 @@ def quote_truncate(spark, sf_dir):
 
 @query("SELECT d.doc_id, b.item_id, (instr(d.text, b.text) - 1)::VARCHAR || ':' || (instr(d.text, b.text) - 1 + length(b.text))::VARCHAR AS quote_index FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_index_exact(spark, sf_dir):
-    """Where benchmark passages stand in documents.
+    """Where benchmark passages stand in documents."""
+    return locate_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
+
+
+def locate_passages(docs: DataFrame, passages: DataFrame, block: int = 1024) -> DataFrame:
+    """``(doc_id, item_id, quote_index)`` of each of ``passages(item_id, quote)`` in each document that holds it.
 
     Candidates share the passage's second to fourth words, or those of them that it has, since they are whole
-    words of any text that holds it.  Passages of fewer than three words have none, and are left out.
+    words of any text that holds it.  Passages of fewer than three words have none; they are sought in all
+    texts, a block of them at a time.  Null and empty passages are nowhere.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.split("text", r"[ \n]").alias("w"))
-    items = items.withColumn("n", F.least(F.lit(3), F.size("w") - 2)).where("n > 0")
+    docs = docs.select("doc_id", "text")
+    words = passages.where("quote <> ''").withColumn("w", F.split("quote", r"[ \n]")).withColumn("n", F.least(F.lit(3), F.size("w") - 2))
+    items, short = words.where("n > 0"), words.where("n <= 0").select("item_id", "quote")
     sizes = [r.n for r in items.select("n").distinct().collect()]  # of 1, 2 and 3
     key = lambda i, n: F.xxhash64(*[F.get("w", i + k) for k in range(n)])
     grams = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: key(i, n)) for n in sizes]  # noqa: B023
     keyed = docs.select("doc_id", F.split("text", r"[ \n]").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *grams))).alias("k"))
     wanted = items.select("item_id", "quote", F.coalesce(*[F.when(F.col("n") == n, key(F.lit(1), n)) for n in sizes], F.lit(None).cast("bigint")).alias("k"))
     pairs = keyed.join(wanted, "k").select("doc_id", "item_id", "quote").distinct()
-    found = pairs.join(docs, "doc_id").withColumn("quote_index", find_quote(F.col("text"), F.col("quote")))
-    return found.where("quote_index IS NOT NULL").select("doc_id", "item_id", "quote_index")
+    found = pairs.join(docs, "doc_id")
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        found = found.unionByName(docs.join(short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == k), F.contains("text", "quote")).select(*found.columns))
+    return found.withColumn("quote_index", find_quote(F.col("text"), F.col("quote"))).where("quote_index IS NOT NULL").select("doc_id", "item_id", "quote_index")
 
 
 @query()
@@ -425,7 +436,7 @@ _BY_PLACE = f"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_i
 @query(_BY_PLACE)
 def compare_greedy(spark, sf_dir):
     """Pairs by proposals that name the k-th quotes of both sides, after one that is out of range and with repeats."""
-    human, llm = codings(spark, sf_dir)
+    human, llm = codings(spark, sf_dir, once=True)
     sizes = lambda side, name: side.groupBy("doc_id", "construct").agg(F.count("*").cast("int").alias(name))
     both = sizes(human, "h").join(sizes(llm, "m"), ["doc_id", "construct"])
     good = F.transform(F.sequence(F.lit(1), F.least("h", "m")), lambda i: F.struct((2 * i).alias("ord"), (i - 1).alias("human_index"), (i - 1).alias("llm_index")))
@@ -450,14 +461,14 @@ def _by_place():
 @query(_BY_PLACE)
 def compare_by_matcher(spark, sf_dir):
     """Both codings put to a matcher, in one call from alignment to pairs."""
-    rows, _ = match_groups(*codings(spark, sf_dir), _by_place)
+    rows, _ = match_groups(*codings(spark, sf_dir, once=True), _by_place)
     return rows.select("doc_id", "construct", "human_quote", "llm_quote", "status")
 
 
 @query()
 def compare_similar(spark, sf_dir):
     """Pairs by overlapping spans or shared words."""
-    human, llm = codings(spark, sf_dir)
+    human, llm = codings(spark, sf_dir, once=True)
     return matching.compare(human, llm, matching.propose_similar(human, llm, 0.5))
 
 

@@ -98,3 +98,15 @@ def test_medians_by_ranges(spark, most):
     got = {r.k: (r["median"], r["min"], r["max"]) for r in metrics.weighted_median(rows, ["k"], "v", "w", most).collect()}
     assert got == {k: (median(p), min(p)[0], max(p)[0]) for k, p in made.items()}
     assert metrics.weighted_median(rows.limit(0), ["k"], "v", "w", most).count() == 0
+
+
+def test_passages_of_any_length(spark):
+    """Short passages, parts of words and repeated ones included."""
+    from codelens.plans.queries import locate_passages
+
+    docs = [(1, "one two three four five\nsix"), (2, "twofold three"), (3, None), (4, "")]
+    items = ["two three four", "two", "one two", "wo", "ee four five", "five six", "five\nsix", "", None, "zebra"]
+    got = locate_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, quote string"), block=2)
+    want = {(d, i, f"{t.find(q)}:{t.find(q) + len(q)}") for d, t in docs if t for i, q in enumerate(items) if q and q in t}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert locate_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(7, "wo")], "item_id int, quote string")).count() == 2
