@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 
@@ -33,9 +34,10 @@ def speaker_column(columns: list[str]) -> str | None:
     return next((by_name[n] for n in SPEAKER_NAMES if n in by_name), None)
 
 
-def transcript_line(columns: list[str]):
-    """A row as ``speaker: text ...``; null if it holds nothing."""
-    value = lambda c: F.nullif(strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit(""))
+def transcript_line(columns: list[str], within: str | None = None):
+    """A row as ``speaker: text ...``; null if it holds nothing.  The columns may be fields ``within`` one."""
+    field = lambda c: F.col(within).getField(c) if within else F.col(f"`{c}`")
+    value = lambda c: F.nullif(strip(F.coalesce(field(c).cast("string"), F.lit(""))), F.lit(""))
     who = speaker_column(columns)
     parts = ([F.concat(value(who), F.lit(":"))] if who else []) + [value(c) for c in text_columns(columns)]
     return F.nullif(F.concat_ws(" ", *parts), F.lit(""))
@@ -53,29 +55,57 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("doc_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"), "path")
 
 
-def read_transcript(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """One document a ``.csv`` file of turns, a line a row in the file's order; the files have the same columns.
+def csv_records(spark: SparkSession, path: str | list[str], quote: str = '"') -> DataFrame:
+    """``(path, place, record)``: the records of CSV files in their order, from splits of the files.
 
-    Rows carry their place by the id Spark gives them, which follows a file that is read in one split; a
-    multi-line CSV file always is.
+    A large file is read by many tasks.  A line's place is the byte at which its split begins and its number in there.
+    Whether a split begins inside quotes follows from the quotes of those before it, so a
+    record may hold line ends and may lie in several splits.  Quotes inside quotes are doubled.  Blank records are left out.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, pathGlobFilter="*.[cC][sS][vV]", **options)
-    columns = rows.columns
-    if not text_columns(columns):
-        raise ValueError("no text column in the transcript")
-    lined = rows.select(_file_name().alias("path"), F.monotonically_increasing_id().alias("_o"), transcript_line(columns).alias("line"))
-    return join_turns(lined, ["path"], "_o").select(F.regexp_replace("path", r"\.[^.]*$", "").alias("doc_id"), "text", "path")
-
-
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Files with the same first line together; a folder of transcripts usually has one."""
-    first = F.substring_index(F.regexp_replace("value", r"\r\n?", "\n"), "\n", 1)
-    rows = spark.read.text(paths, wholetext=True).select(_file_name().alias("name"), first.alias("header")).collect()
-    names = {p.rsplit("/", 1)[-1]: p for p in paths}
-    groups: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r.name):
-        groups.setdefault(r.header, []).append(names[r.name])
-    return list(groups.values())
+    lines = spark.read.text(path, pathGlobFilter="*.[cC][sS][vV]")
+    marks = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    lines = lines.select(_file_name().alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value", (marks % 2).alias("odd"))
+    # Written, since rows are numbered as they are read.
+    lines = materialise(lines, "lines")
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    inside = Window.partitionBy("path", "split").orderBy("at")
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        """Sums of a column over the splits of a file before each."""
+        sums = rows.groupBy("path", "split").agg(F.sum(name).alias("_s"))
+        return sums.select("path", "split", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+
+    quoted = F.col("_before") + F.sum("odd").over(inside) - F.col("odd")
+    begun = lines.join(prefix(lines, "odd"), ["path", "split"]).withColumn("begins", (quoted % 2 == 0).cast("int")).drop("_before")
+    begun = materialise(begun, "begun")
+    number = F.col("_before") + F.sum("begins").over(inside) - 1
+    part = F.struct("split", "at", "value")
+    records = begun.join(prefix(begun, "begins"), ["path", "split"]).withColumn("place", number).groupBy("path", "place").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    record = F.array_join(F.transform("parts", lambda x: x["value"]), "\n")
+    return records.select("path", "place", F.when(F.col("place") == 0, F.regexp_replace(record, "^\ufeff", "")).otherwise(record).alias("record")).where("record <> ''")
+
+
+def read_transcript(spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"') -> DataFrame:
+    """One document a ``.csv`` file of turns, a line a row in the file's order.
+
+    Files of any columns are read in one pass; what reaches the driver is each distinct first record.
+    """
+    records = materialise(csv_records(spark, path, quote), "records")
+    first = records.groupBy("path").agg(F.min_by("record", "place").alias("header"), F.min("place").alias("first"))
+    rows = records.join(first, "path").where("place > first")
+    parts = []
+    for (header,) in first.select("header").distinct().orderBy("header").collect():
+        columns = next(csv.reader([header], delimiter=sep, quotechar=quote))
+        low = [c.lower() for c in columns]
+        named = [c if c and low.index(c.lower()) == i else f"{c}_{i}" for i, c in enumerate(columns)]
+        if not text_columns(named):
+            raise ValueError("no text column in the transcript")
+        kinds = ", ".join(f"`{c.replace('`', '``')}` string" for c in named)
+        own = rows.where(F.col("header") == header).select("path", "place", F.from_csv("record", kinds, {"sep": sep, "quote": quote, "escape": quote}).alias("r"))
+        parts.append(own.select("path", "place", transcript_line(named, "r").alias("line")))
+    turns = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, place long, line string")
+    texts = join_turns(turns, ["path"], "place")
+    return texts.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("doc_id"), "text", "path")
 
 
 def list_documents(spark: SparkSession, folder: str) -> list[str]:
@@ -100,7 +130,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"Unsupported file type: {path}")
     names = list_documents(spark, path)
     tables = [n for n in names if n.lower().endswith(".csv")]
-    parts = [read_transcript(spark, group) for group in (_by_header(spark, tables) if tables else [])]
+    parts = [read_transcript(spark, tables)] if tables else []
     if len(tables) < len(names):
         parts.append(read_text(spark, path))
     return reduce(DataFrame.unionByName, parts)
