@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import BIG, DOCS, ODD
 
-from codelens.llm import bin_completion, chat, importance, pii, queries, runs, simhash
+from codelens.llm import bin_completion, chat, importance, line_dedup, pii, queries, runs, simhash
 
 MORE = [*ODD, (10, "a " * 5000, "en", "b", 0), (11, "Ä" * 3000 + " x", "en", "b", 0), (12, BIG + "\n" + BIG, None, None, None)]
 
@@ -341,3 +341,17 @@ def test_stages_keep_columns_of_any_name(spark):
         assert got.dtypes == docs.dtypes, name
         assert {tuple(r) for r in got.select(*names).collect()} == {tuple(f"mine {n}" for n in names)}, name
     assert stage(spark, docs.drop("n_chars"), "").columns == docs.drop("n_chars").columns
+
+
+def test_passages_of_odd_tables(spark):
+    """Null ids and texts that share an id are documents each; columns of any name come back as given."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"{passage} x"), (None, f"y {passage}"), (None, f"z {passage} z"), (5, f"{passage} five"), (5, f"six {passage}"), (5, None), (7, f"{passage} five"), (7, f"{passage} five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"mine {n}") for n in ("_owner", "_keep", "_units", "_gone", "units", "keep", "row", "hash", "id")})
+    got = line_dedup.dedup_passages(docs)
+    assert got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert len(rows) == 8 and all(r["_units"] == "mine _units" and r["id"] == "mine id" and r["hash"] == "mine hash" for r in rows)
+    holding = [r for r in rows if r.text and passage in r.text]
+    assert [r.doc_id for r in holding] == [5]
+    assert sum(len((r.text or "").split()) for r in rows) < 61 + 7 * 30
