@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +23,9 @@ class Settings:
     for each list if that is more, so on 131,072 at most; every row is indexed.
     A query reads its ``first`` nearest lists, and then the rest of a ``probe_share`` of all lists, or of
     ``probes`` if those are more, for what is as near as the ``k``-th found so far.  Vectors without any structure need the large share given here
-    for a recall of 0.9, clustered ones a small one.  Lists are read in blocks of about ``block_rows`` vectors
-    and ``block_queries`` queries, of which ``rerank`` candidates are scored exactly for a query.
+    for a recall of 0.9, clustered ones a small one.  Lists are read in blocks of about ``block_rows`` vectors, of
+    which ``rerank`` candidates are scored exactly for a query.  A task holds a block, and its queries pass by; only
+    where they are more than ``block_queries`` is a block sent to more tasks than one.
     """
 
     k: int = 20
@@ -41,7 +41,7 @@ class Settings:
     rounds: int = 6
     rerank: int = 512
     block_rows: int = 4096
-    block_queries: int = 2048
+    block_queries: int = 262_144
     seed: int = 7
 
 
@@ -128,6 +128,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(~bad & F.exists("v", lambda x: x != 0))
 
 
+class Block:
+    """Vectors of some lists, by id, with their lists and codes."""
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(rows)
+        self.ids, self.x = t.column("id").to_numpy(), _stacked(t.column("v"))
+        self.code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.lists, self.slot = np.unique(t.column("list").to_numpy(), return_inverse=True)
+
+
 def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for the rows whose id is divisible by ``every`` the ``k`` of
     largest inner product among the other rows, in order, ties to the smaller id.
@@ -189,49 +199,64 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
     index = index.withColumn("group", F.floor(F.col("list") / together).cast("int"))
     asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, group int, lists array<int>, early boolean"), "probes")
 
-    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        m = model.value
+    def score(block: Block, asking: np.ndarray, y: np.ndarray, lists_read: list, least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The queries' nearest of a block: by quantised scores first, the best of these exactly."""
+        m, x, ids = model.value, block.x, block.ids
         parts, codes, width = m.codebooks.shape
-        v = v.sort_values("vec_id")
-        x, ids = np.stack(v["v"]), v["vec_id"].to_numpy()
-        code = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), parts)
-        there, slot = np.unique(v["list"].to_numpy(), return_inverse=True)
-        some_n = min(s.rerank, len(v))
-        out = []
-        for at in range(0, len(q), 128):
-            part = q.iloc[at : at + 128]
-            y, asking, least = np.stack(part["q"]), part["query_id"].to_numpy(), part["least"].to_numpy()
-            padded = np.pad(y, ((0, 0), (0, parts * width - y.shape[1]))).reshape(len(y), parts, width)
-            tables = np.einsum("pcw,qpw->qpc", m.codebooks, padded).astype(np.float32)  # asymmetric: queries stay whole
-            near = (y @ (m.centroids[there] * m.lengths[there, None]).T).astype(np.float32)
-            for i, read in enumerate(part["lists"]):
-                near[i, ~np.isin(there, read)] = -np.inf
-            near = near[:, slot]
-            for j in range(parts):
-                near += tables[:, j, :][:, code[:, j]]
-            own = np.minimum(np.searchsorted(ids, asking), len(ids) - 1)
-            near[np.flatnonzero(ids[own] == asking), own[ids[own] == asking]] = -np.inf
-            best = np.sort(np.argpartition(-near, some_n - 1, axis=1)[:, :some_n], axis=1)
-            exact = np.einsum("qrd,qd->qr", x[best], y)
-            exact[np.isinf(np.take_along_axis(near, best, axis=1))] = -np.inf
-            top = np.argsort(-exact, axis=1, kind="stable")[:, : s.k]  # places follow ids, so ties do
-            score = np.take_along_axis(exact, top, axis=1)
-            good = np.isfinite(score) & (score >= least[:, None])
-            out.append((np.repeat(asking, good.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)][good], score[good]))
-        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+        some_n = min(s.rerank, len(ids))
+        padded = np.pad(y, ((0, 0), (0, parts * width - y.shape[1]))).reshape(len(y), parts, width)
+        tables = np.einsum("pcw,qpw->qpc", m.codebooks, padded).astype(np.float32)  # asymmetric: queries stay whole
+        near = (y @ (m.centroids[block.lists] * m.lengths[block.lists, None]).T).astype(np.float32)
+        for i, some in enumerate(lists_read):
+            near[i, ~np.isin(block.lists, some)] = -np.inf
+        near = near[:, block.slot]
+        for j in range(parts):
+            near += tables[:, j, :][:, block.code[:, j]]
+        own = np.minimum(np.searchsorted(ids, asking), len(ids) - 1)
+        near[np.flatnonzero(ids[own] == asking), own[ids[own] == asking]] = -np.inf
+        best = np.sort(np.argpartition(-near, some_n - 1, axis=1)[:, :some_n], axis=1)
+        exact = np.einsum("qrd,qd->qr", x[best], y)
+        exact[np.isinf(np.take_along_axis(near, best, axis=1))] = -np.inf
+        top = np.argsort(-exact, axis=1, kind="stable")[:, : s.k]  # places follow ids, so ties do
+        found = np.take_along_axis(exact, top, axis=1)
+        good = np.isfinite(found) & (found >= least[:, None])
+        return np.repeat(asking, good.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)][good], found[good]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows: a block's vectors, which are held, then the queries that read it, which pass by."""
+        key, held, block = None, [], None
+        for b in batches:
+            marks = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)
+            edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, len(marks)]
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(at, end - at)
+                if tuple(marks[at, :3]) != key:
+                    key, held, block = tuple(marks[at, :3]), [], None
+                if not marks[at, 3]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                block = block or Block(held)
+                for i in range(0, len(part), 128):
+                    q = part.slice(i, 128)
+                    out = score(block, q.column("id").to_numpy(), _stacked(q.column("v")), q.column("lists").to_pylist(), q.column("least").to_numpy())
+                    yield pa.record_batch([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
 
     def read(queries: DataFrame) -> DataFrame:
         """Rows near ``queries(query_id, q, group, lists, least)``, of a score of ``least`` or more."""
-        # Long groups of lists, and those that many queries read, are dealt in blocks.
+        # Long groups of lists are dealt in blocks; what reads one is cut only where a task would be long.
         blocks = index.groupBy("group").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("vb"))
         blocks = blocks.join(queries.groupBy("group").agg(F.ceil(F.count("*") / s.block_queries).cast("int").alias("qb")), "group")
         blocks = F.broadcast(blocks)  # at most max_lists rows
+        none = lambda kind: F.lit(None).cast(kind)
         left = index.join(blocks, "group").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("vb")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
         right = queries.join(blocks, "group").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
         keys = ["group", "vb", "qb"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+        stored = left.select(*keys, F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v", "list", "code", none("array<int>").alias("lists"), none("double").alias("least"))
+        asking = right.select(*keys, F.lit(1).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"), none("int").alias("list"), none("binary").alias("code"), "lists", "least")
+        dealt = stored.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "asks", "id")
+        return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= s.k)
