@@ -5,15 +5,16 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_operators import BIG, DOCS, ODD
 
-from codelens.llm import bin_completion, chat, importance, line_dedup, pii, queries, runs, simhash
+from codelens.llm import bin_completion, chat, importance, line_dedup, pii, pitman_yor, queries, runs, simhash
 
 MORE = [*ODD, (10, "a " * 5000, "en", "b", 0), (11, "Ä" * 3000 + " x", "en", "b", 0), (12, BIG + "\n" + BIG, None, None, None)]
 
@@ -355,3 +356,95 @@ def test_passages_of_odd_tables(spark):
     holding = [r for r in rows if r.text and passage in r.text]
     assert [r.doc_id for r in holding] == [5]
     assert sum(len((r.text or "").split()) for r in rows) < 61 + 7 * 30
+
+
+def sampled_scores(docs, contexts, burn_in, samples, seed):
+    """Plain Gibbs sampling of the restaurants, a customer at a time, tables as lists: averaged log10 probabilities of texts."""
+    rng, strength = random.Random(seed), pitman_yor.STRENGTH
+    train = [(u, w) for i, pairs in contexts.items() if not pitman_yor.held_out(i) for u, w in pairs]
+    base = 1 / (len({w for _, w in train}) + 1)
+    leaf, root = defaultdict(list), defaultdict(list)
+    own, tables = Counter(), Counter()
+    total = {"customers": 0, "tables": 0}
+    often = Counter(train)
+    share = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b) if a else 0.1))
+    discount = share(*(sum(n == k for n in often.values()) for k in (1, 2)))
+    top = [0.5]
+
+    def parent(w):
+        t = root[w]
+        return (sum(t) - top[0] * len(t) + (strength + top[0] * total["tables"]) * base) / (strength + total["customers"])
+
+    def sit(t, d, new):
+        at = rng.random() * (sum(t) - d * len(t) + new)
+        for k, n in enumerate(t):
+            at -= n - d
+            if at < 0:
+                t[k] += 1
+                return False
+        t.append(1)
+        return True
+
+    def leave(t):
+        at = rng.random() * sum(t)
+        for k, n in enumerate(t):
+            at -= n
+            if at < 0:
+                break
+        t[k] -= 1
+        if not t[k]:
+            t.pop(k)
+            return True
+        return False
+
+    def add(u, w):
+        own[u] += 1
+        if sit(leaf[u, w], discount, (strength + discount * tables[u]) * parent(w)):
+            tables[u] += 1
+            total["customers"] += 1
+            total["tables"] += sit(root[w], top[0], (strength + top[0] * total["tables"]) * base)
+
+    def remove(u, w):
+        own[u] -= 1
+        if leave(leaf[u, w]):
+            tables[u] -= 1
+            total["customers"] -= 1
+            total["tables"] -= leave(root[w])
+
+    for u, w in train:
+        add(u, w)
+    sums = defaultdict(float)
+    for sweep in range(burn_in + samples):
+        for u, w in train:
+            remove(u, w)
+            add(u, w)
+        seen = Counter(sum(t) for t in root.values())
+        top[0] = share(seen[1], seen[2])
+        if sweep >= burn_in:
+            for u, w in {x for pairs in contexts.values() for x in pairs}:
+                t = leaf[u, w]
+                sums[u, w] += ((sum(t) - discount * len(t)) + (strength + discount * tables[u]) * parent(w)) / (strength + own[u]) / samples
+    return {i: sum(math.log10(sums[x]) for x in pairs) for i, pairs in contexts.items()}
+
+
+def test_language_model_against_plain_sampling(spark):
+    """Scores of each text within what two runs of the plain sampler differ by, and a little for the few sweeps."""
+    rng = np.random.default_rng(8)
+    words_ = [f"word{i}" for i in range(60)] + ["a", "of", "the", "in", "zu"]
+    weight = 1 / np.arange(1, len(words_) + 1) ** 1.1
+    docs = [(i, " ".join(rng.choice(words_, int(rng.integers(5, 120)), p=weight[rng.permutation(len(words_))] / weight.sum()))) for i in range(34)]
+    contexts = {}
+    for i, text in docs:
+        last, pairs = pitman_yor.CONTEXTS - 1, []
+        for w in pitman_yor.tokens_of(text):
+            pairs.append((last, w))
+            if 0 < len(w) <= 3:
+                last = xxhash.xxh32_intdigest(w, 1) % (pitman_yor.CONTEXTS - 1)
+        contexts[i] = pairs
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    plain, again = (sampled_scores(docs, contexts, 10, 20, seed) for seed in (1, 2))
+    off = lambda a, b: max(abs(a[i] - b[i]) / len(contexts[i]) for i in a)
+    assert sum(pitman_yor.held_out(i) for i, _ in docs) >= 2
+    assert off(plain, again) < 0.02 and off(got, plain) < 0.05
+    total = lambda a: sum(a.values()) / sum(map(len, contexts.values()))
+    assert abs(total(got) - total(plain)) < 0.01
