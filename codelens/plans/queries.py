@@ -19,11 +19,11 @@ from ..functions.text import BLANKS, FIRST_PERSON, STOP_WORDS, document_metrics,
 from ..operators import codebook as cb
 from ..operators import corpus, display, matching, metrics
 from ..operators.location import locate_quotes
-from ..schemas import CODEBOOK, METRICS
+from ..schemas import CODEBOOK, COMPARISON, METADATA, METRICS
 from ..scratch import folder, materialise
-from ..sources.codings import human_codings, read_errors, read_results, read_run_results
+from ..sources.codings import human_codings, read_errors, read_human_coding, read_results, read_run_results, read_runs
 from ..sources.documents import join_turns, rows_as_documents, suffix_duplicates, transcript_line
-from ..sources.sinks import nested_results, run_path, run_summary, write_codebook, write_run
+from ..sources.sinks import nested_results, run_path, run_summary, write_codebook, write_ordered, write_run
 from .coding import code_rows, lexicon_coder, retry_run
 from .coding import compare_by_matcher as match_groups
 from .comparison import compare_directories, compare_runs
@@ -224,11 +224,27 @@ def rows_without_ids(spark, sf_dir):
     return rows_as_documents(rows, "text", order="turned")
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, trim(c) AS construct, 'q' || n_chars AS quote, (n_chars % 90)::VARCHAR || ':' || (n_chars % 97)::VARCHAR AS quote_index FROM (SELECT *, unnest(string_split(source || ', ' || lang || ',, x ', ',')) AS c FROM documents WHERE n_chars % 5 <> 0) WHERE trim(c) <> ''")
-def human_codes_explode(spark, sf_dir):
+_EXCERPTS = "SELECT doc_id::VARCHAR AS doc_id, trim(c) AS construct, 'q' || n_chars AS quote, (n_chars % 90)::VARCHAR || ':' || (n_chars % 97)::VARCHAR AS quote_index FROM (SELECT *, unnest(string_split(source || ', ' || lang || ',, x ', ',')) AS c FROM documents WHERE n_chars % 5 <> 0) WHERE trim(c) <> ''"
+
+
+def _excerpts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.when(F.col("n_chars") % 5 != 0, F.concat(F.lit(" q"), "n_chars", F.lit(" "))).alias("excerpt"), F.concat(F.col("n_chars") % 90, F.lit(" - "), F.col("n_chars") % 97).alias("range"), F.concat("source", F.lit(", "), "lang", F.lit(",, x ")).alias("codes"))
-    return human_codings(rows, "doc_id", "excerpt", "codes", "range")[0].select("doc_id", "construct", "quote", "quote_index")
+    return rows
+
+
+@query(_EXCERPTS)
+def human_codes_explode(spark, sf_dir):
+    return human_codings(_excerpts(spark, sf_dir), "doc_id", "excerpt", "codes", "range")[0].select("doc_id", "construct", "quote", "quote_index")
+
+
+@query(_EXCERPTS)
+def human_coding_file(spark, sf_dir):
+    """Coded excerpts that were written as a tab-separated table, and read from there."""
+    path = f"{folder(spark)}/excerpts-{uuid.uuid4().hex}.tsv"
+    _excerpts(spark, sf_dir).write.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found, _ = read_human_coding(spark, path, {"ignoreLeadingWhiteSpace": "false"}, doc_id_col="doc_id", quote_col="excerpt", construct_col="codes", range_col="range")
+    return found.select("doc_id", "construct", "quote", "quote_index")
 
 
 _RANGE = "CASE doc_id % 5 WHEN 0 THEN doc_id || '-' || n_chars WHEN 1 THEN ' ' || doc_id || ' - +' || n_chars WHEN 2 THEN doc_id || '-x' WHEN 3 THEN doc_id || '-1-2' ELSE '' END"
@@ -341,6 +357,15 @@ def compare_saved_runs(spark, sf_dir):
     return compare_directories(spark, _saved(spark, human), _saved(spark, llm))
 
 
+@query(f"WITH {X} SELECT * FROM c")
+def comparison_file(spark, sf_dir):
+    """Comparison rows that were written in order as CSV parts, and read from there."""
+    root = f"{folder(spark)}/compared-{uuid.uuid4().hex}"
+    rows = materialise(exact(spark, sf_dir), "comparison")
+    path = write_ordered(matching.ordered(rows), root, "comparison", "once")
+    return spark.read.schema(COMPARISON).csv(path, header=True, multiLine=True, escape='"')
+
+
 #: Phrases of a codebook for the lexicon coder; some stand in many documents, one in none.
 _PHRASES = {"small words": ["is the", "of a", "de la", "und die"], "none": ["no such words here"]}
 
@@ -397,6 +422,16 @@ def run_errors(spark, sf_dir):
     return read_errors(spark, root, name).select("doc_id", "error_message", "model_used")
 
 
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, 'lexicon' AS model, CASE WHEN e LIKE 'Failed%' THEN 1 ELSE 0 END AS num_retries, e AS error_message,
+  CASE WHEN e LIKE '%: down' THEN 'RuntimeError' WHEN e IS NOT NULL THEN 'ValueError' END AS error_type,
+  CASE WHEN e LIKE '%: down' THEN 'down' WHEN e LIKE '%No list%' THEN '{{"other": 1}}' WHEN e LIKE '%Not an%' THEN '[]' ELSE e END AS error_output FROM (SELECT doc_id, {_FAULT} AS e FROM documents)""")
+def run_metadata(spark, sf_dir):
+    """What a run wrote of each document's last response."""
+    root, name, _ = _faulty_run(spark, sf_dir)
+    rows = read_runs(spark, root, "metadata", METADATA, [name])
+    return rows.select("doc_id", "model", "num_retries", "error_message", "error_type", "error_output")
+
+
 @query(f"""WITH f AS (SELECT doc_id::VARCHAR AS doc_id, text, {_FAULT} AS first FROM documents),
  s AS (SELECT *, CASE WHEN first = 'No text' OR contains(text, 'is the') THEN replace(first, '2 attempts', '1 attempts') END AS error_message FROM f)
  SELECT doc_id, error_message, CASE WHEN error_message IS NULL THEN (SELECT count(*) FROM (VALUES ('of a'), ('de la'), ('und die')) p(q) WHERE contains(s.text, q)) ELSE 0 END AS n FROM s""")
