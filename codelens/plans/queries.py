@@ -507,6 +507,16 @@ def compare_similar(spark, sf_dir):
     return matching.compare(human, llm, matching.propose_similar(human, llm, 0.5))
 
 
+@query(rf"""WITH {S}, hn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x, list_distinct(regexp_split_to_array(lower(quote), '\s+')) AS w, instr(text, quote) - 1 AS a, instr(text, quote) - 1 + length(quote) AS b FROM h JOIN (SELECT DISTINCT doc_id, text FROM s) USING (doc_id)),
+ mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, construct ORDER BY ord) - 1 AS x, list_distinct(regexp_split_to_array(lower(quote), '\s+')) AS w, instr(text, quote) - 1 AS a, instr(text, quote) - 1 + length(quote) AS b FROM m JOIN (SELECT DISTINCT doc_id, text FROM s) USING (doc_id)),
+ p AS (SELECT hn.doc_id, hn.construct, hn.x AS human_index, mn.x AS llm_index, hn.quote <> mn.quote AS paraphrase, len(list_intersect(hn.w, mn.w)) AS k, len(hn.w) + len(mn.w) AS n, greatest(0, least(hn.b, mn.b) - greatest(hn.a, mn.a)) AS o, hn.b - hn.a + mn.b - mn.a AS l FROM hn JOIN mn ON hn.doc_id = mn.doc_id AND hn.construct = mn.construct),
+ q AS (SELECT *, greatest(k / (n - k)::DOUBLE, o / (l - o)::DOUBLE) AS match_confidence FROM p)
+ SELECT doc_id, construct, row_number() OVER (PARTITION BY doc_id, construct ORDER BY match_confidence DESC, human_index, llm_index) - 1 AS ord, human_index, llm_index, paraphrase, match_confidence FROM q WHERE match_confidence >= 0.5""")
+def similar_proposals(spark, sf_dir):
+    """Pairs of quotes that overlap or share words, as they are proposed, best first."""
+    return matching.propose_similar(*codings(spark, sf_dir, once=True), 0.5)
+
+
 _MATCHES = """CASE doc_id % 4
  WHEN 0 THEN concat('{"matches":[{"human_index":', doc_id % 7, ',"llm_index":1,"paraphrase":true,"match_confidence":1.7},{"human_index":0,"llm_index":"x"}]}')
  WHEN 1 THEN '{"matches":[{"human_index":0,"llm_index":0},7,{"human_index":1,"llm_index":2,"match_confidence":-3}]}'
