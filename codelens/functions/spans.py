@@ -12,7 +12,13 @@ def strip(c: Column) -> Column:
 
 
 def _whole(c: Column) -> Column:
-    return strip(c).try_cast("int")
+    """A whole number; most are plain, and only others are stripped."""
+    return F.coalesce(c.try_cast("int"), strip(c).try_cast("int"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
 
 
 def parse_range(c: Column, form: str = "dash") -> Column:
@@ -26,13 +32,16 @@ def parse_range(c: Column, form: str = "dash") -> Column:
 
 def parse_span(c: Column) -> Column:
     """``start:end`` to a struct; null if malformed or ending before its start."""
-    parts = F.split(c, ":")
-    a, b = _whole(F.get(parts, 0)), _whole(F.get(parts, 1))
-    return F.when((F.size(parts) == 2) & (b >= a), F.struct(a.alias("start"), b.alias("end")))
+    ends = _once(F.split(c, ":"), lambda p: F.when(F.size(p) == 2, F.struct(_whole(F.get(p, 0)).alias("start"), _whole(F.get(p, 1)).alias("end"))))
+    return _once(ends, lambda s: F.when(s["end"] >= s["start"], s))
 
 
 def span_overlap(x: Column, y: Column) -> Column:
     """Jaccard overlap of two half-open spans; two empty ones overlap fully, one empty not at all."""
+    return _once(F.struct(x.alias("x"), y.alias("y")), lambda s: _overlap(s["x"], s["y"]))
+
+
+def _overlap(x: Column, y: Column) -> Column:
     n, m = x["end"] - x["start"], y["end"] - y["start"]
     both = F.greatest(F.lit(0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))
     jaccard = both.cast("double") / (n + m - both)
