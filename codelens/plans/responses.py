@@ -3,6 +3,7 @@
 A prompt that has a usable response in the store is not asked again, whether by a later run, by a run that
 starts anew after it broke off, or for another document with the same prompt.  What is left is asked in slices; a slice's
 responses are in the store when it ends, so that a task that fails asks again only for its part of one slice.
+Prompts are dealt to slices once, as partitions of a table, so a slice reads no other slice's prompts.
 Tasks must not be run twice on purpose: leave ``spark.speculation`` off.
 """
 
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RESPONSES
-from ..scratch import folder, materialise
+from ..scratch import discard, folder, materialise
 
-#: Prompts of a slice.
-SLICE = 10_000
+#: Prompts of a slice, and those whose responses are handed on at once.
+SLICE, HANDED = 10_000, 256
 STORE = RESPONSES.replace("doc_id string", "key string, usable boolean, call bigint")
 
 
@@ -72,10 +73,9 @@ def ask(prompts: DataFrame, make: Callable[[], Coder], retries: int, pause: floa
     """A row an attempt for each ``(key, prompt)``: an attempt that raises, or gives no list of ``items``, is followed by another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, schema = make(), _schema()
+        coder, schema, out = make(), _schema(), []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
                 for attempt in range(retries + 1):
                     if attempt and pause:
                         time.sleep(pause)
@@ -93,7 +93,11 @@ def ask(prompts: DataFrame, make: Callable[[], Coder], retries: int, pause: floa
                     out.append(row)
                     if row["usable"]:
                         break
-                yield pa.RecordBatch.from_pylist(out, schema)
+                if len(out) >= HANDED:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return prompts.select("key", "prompt").mapInArrow(run, STORE)
 
@@ -114,6 +118,18 @@ def answered(store: DataFrame) -> DataFrame:
     return store.join(last, ["key", "call"])
 
 
+def dealt(asked: DataFrame, slices: int, workers: int) -> DataFrame:
+    """Each ``key`` of ``asked`` once with its prompt, written as partitions: a file for each worker of a slice."""
+    spark = asked.sparkSession
+    path, h = f"{folder(spark)}/slices-{uuid.uuid4().hex}", F.xxhash64("key")
+    own = [F.pmod(h, F.lit(slices)).cast("int").alias("slice"), F.pmod(F.shiftright(h, 32), F.lit(workers)).cast("int").alias("worker")]
+    rows = asked.select(*own, "key", "prompt").repartition("slice", "worker").groupBy("slice", "worker", "key").agg(F.any_value("prompt").alias("prompt"))
+    rows.write.option("compression", "zstd").partitionBy("slice", "worker").parquet(path)
+    out = spark.read.schema(rows.select("key", "prompt", "slice", "worker").schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
 def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retries: int = 0, pause: float = 0.0, model: str = "coder", items: str = "instances", store: str | None = None, tasks: int | None = None, slice_rows: int = SLICE) -> DataFrame:
     """Responses of a coder to a prompt a row, a row an attempt, written before anything reads them.
 
@@ -125,15 +141,14 @@ def call_coder(docs: DataFrame, prompt: Column, make: Callable[[], Coder], retri
     where = store or f"{folder(spark)}/responses-{uuid.uuid4().hex}"
     digest = F.sha2(F.concat(F.lit(f"{model}\0{items}\0"), "prompt"), 256)
     asked = materialise(docs.select(F.col("doc_id").cast("string").alias("doc_id"), prompt.alias("prompt")).withColumn("key", digest), "prompts")
-    wanted = asked.groupBy("key").agg(F.any_value("prompt").alias("prompt"))
-
-    def left(part: Column) -> DataFrame:
-        return wanted.where(part).join(read_store(spark, where).where("usable").select("key"), "key", "left_anti")
-
-    slices = -(-left(F.lit(True)).count() // slice_rows)
+    done = read_store(spark, where).where("usable").select("key")
+    slices = -(-asked.select("key").distinct().join(done, "key", "left_anti").count() // slice_rows)
     workers = tasks or spark.sparkContext.defaultParallelism
-    for k in range(slices):
-        part = left(F.pmod(F.xxhash64("key"), F.lit(slices)) == k).repartition(workers, "key")
-        ask(part, make, retries, pause, model, items, time.time_ns()).write.mode("append").parquet(where)
+    if slices:
+        todo = dealt(asked.join(done, "key", "left_anti"), slices, workers)
+        for k in range(slices):
+            part = todo.where(F.col("slice") == k).coalesce(workers)
+            ask(part, make, retries, pause, model, items, time.time_ns()).write.mode("append").parquet(where)
+        discard(todo)
     got = answered(read_store(spark, where).join(asked.select("key").distinct(), "key", "left_semi"))
     return materialise(asked.select("doc_id", "key").join(got, "key").drop("key", "usable", "call"), "responses")

@@ -3,6 +3,23 @@
 from pyspark.sql import functions as F
 
 from codelens.functions.spans import parse_span, span_overlap
+from codelens.plans import responses
+
+
+def test_slices_read_their_own_prompts(spark, monkeypatch):
+    read, ask = [], responses.ask
+
+    def seen(prompts, *args):
+        read.append((prompts._jdf.queryExecution().sparkPlan().toString(), prompts.count()))
+        return ask(prompts, *args)
+
+    monkeypatch.setattr(responses, "ask", seen)
+    docs = spark.range(100).select(F.col("id").cast("string").alias("doc_id"))
+    got = responses.call_coder(docs, F.concat(F.lit("p"), F.col("doc_id").cast("int") % 90), lambda: lambda p: '{"instances": []}', slice_rows=20)
+    assert got.count() == 100 and [len(read), sum(n for _, n in read)] == [5, 90]
+    for k, (plan, _) in enumerate(read):
+        assert "(slice#" in plan.split("PartitionFilters: ")[1] and f" = {k})" in plan.split("PartitionFilters: ")[1]
+        assert "Aggregate" not in plan and "Join" not in plan and plan.count("FileScan") == 1
 
 
 def test_spans_are_parsed_once(spark):
