@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +53,23 @@ def find_quote(text: Column, quote: Column) -> Column:
     """``start:end`` of the quote's first place in the text, in code points; null if absent or empty."""
     at = F.instr(text, quote)
     return F.when((F.length(quote) > 0) & (at > 0), F.concat_ws(":", at - 1, at - 1 + F.length(quote)))
+
+
+def _find_all(texts: pa.Array, quotes: pa.Array) -> pa.Array:
+    def places(text: str | None, some: list[str | None] | None) -> list[str | None] | None:
+        if some is None:
+            return None
+        at = [text.find(q) if q and text is not None else -1 for q in some]
+        return [f"{i}:{i + len(q)}" if i >= 0 else None for i, q in zip(at, some, strict=True)]
+
+    rows = zip(texts.to_pylist(), quotes.to_pylist(), strict=True)
+    return pa.array([places(*r) for r in rows], pa.list_(pa.string()))
+
+
+def find_quotes(text: Column, quotes: Column) -> Column:
+    """``find_quote`` of each of an array of quotes, as an array.
+
+    The text goes to a task's Python once for all of its quotes: there a search passes over most letters, while
+    ``instr`` compares at each of them, and a row a quote would copy the text.
+    """
+    return F.arrow_udf(_find_all, "array<string>")(text, quotes)

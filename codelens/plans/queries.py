@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import extract_instances, extract_matches, first_success, validate_responses
-from ..functions.spans import find_quote, parse_range, parse_span, span_overlap
+from ..functions.spans import find_quote, find_quotes, parse_range, parse_span, span_overlap
 from ..functions.text import BLANKS, FIRST_PERSON, STOP_WORDS, document_metrics, sentences, tokens
 from ..operators import codebook as cb
 from ..operators import corpus, display, matching, metrics
@@ -40,11 +40,16 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.posexplode(sentences(F.col("text"))).alias("pos", "quote"))
 
 
-def codings(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The human's and the model's quotes; ``once`` writes them, for queries that read them more than once."""
-    rows = sentence_rows(spark, sf_dir)
+def codings(spark: SparkSession, sf_dir: str, once: bool = False, places: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The human's and the model's quotes; ``once`` writes them, for queries that read them more than once.
+
+    Without ``places``, for queries that show none, quotes have none.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", sentences(F.col("text")).alias("quotes"))
+    found = find_quotes(F.col("text"), F.col("quotes")) if places else F.lit(None).cast("array<string>")
+    rows = docs.select("doc_id", "quotes", found.alias("places")).select("doc_id", F.posexplode("quotes").alias("pos", "quote"), "places")
     n = F.length("quote")
-    built = rows.select("doc_id", F.concat(F.lit("c"), n % 4).alias("construct"), F.col("pos").alias("ord"), F.lit(None).cast("string").alias("speaker_id"), "quote", find_quote(F.col("text"), F.col("quote")).alias("quote_index"), (n % 3).alias("confidence"))
+    built = rows.select("doc_id", F.concat(F.lit("c"), n % 4).alias("construct"), F.col("pos").alias("ord"), F.lit(None).cast("string").alias("speaker_id"), "quote", F.get("places", F.col("pos")).alias("quote_index"), (n % 3).alias("confidence"))
     built = materialise(built.where("ord % 2 = 0 OR ord % 3 = 0"), "codings") if once else built
     human = built.where("ord % 2 = 0").withColumn("confidence", F.lit(None).cast("int"))
     return human, built.where("ord % 3 = 0")
@@ -68,8 +73,8 @@ X = S + """,
   FROM hk h FULL JOIN mk m ON h.doc_id = m.doc_id AND h.construct = m.construct AND h.quote = m.quote AND h.k = m.k)"""
 
 
-def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.compare_exact(*codings(spark, sf_dir))
+def exact(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    return matching.compare_exact(*codings(spark, sf_dir, places=places))
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,22 +273,22 @@ def span_overlaps(spark, sf_dir):
 
 @query(f"WITH {S} SELECT doc_id, ord, coalesce(t.new, h.construct) AS construct FROM h LEFT JOIN {MAPPING} ON t.old = h.construct")
 def construct_mapping(spark, sf_dir):
-    return cb.rename_constructs(codings(spark, sf_dir)[0], _mapping(spark)).select("doc_id", "ord", "construct")
+    return cb.rename_constructs(codings(spark, sf_dir, places=False)[0], _mapping(spark)).select("doc_id", "ord", "construct")
 
 
 @query(f"WITH {S} SELECT DISTINCT old FROM {MAPPING} WHERE old NOT IN (SELECT construct FROM h)")
 def unused_mapping_keys(spark, sf_dir):
-    return cb.unused_mapping(codings(spark, sf_dir)[0], _mapping(spark))
+    return cb.unused_mapping(codings(spark, sf_dir, places=False)[0], _mapping(spark))
 
 
 @query(f"WITH {S}, b AS ({BOOK}) SELECT DISTINCT construct FROM h WHERE construct NOT IN (SELECT construct FROM b)")
 def validate_constructs(spark, sf_dir):
-    return cb.unknown_constructs(codings(spark, sf_dir)[0], book(spark))
+    return cb.unknown_constructs(codings(spark, sf_dir, places=False)[0], book(spark))
 
 
 @query(f"WITH {S}, b AS ({BOOK}) SELECT doc_id, ord, construct, quote FROM h WHERE construct IN (SELECT construct FROM b)")
 def filter_constructs(spark, sf_dir):
-    return cb.only_constructs(codings(spark, sf_dir)[0], book(spark)).select("doc_id", "ord", "construct", "quote")
+    return cb.only_constructs(codings(spark, sf_dir, places=False)[0], book(spark)).select("doc_id", "ord", "construct", "quote")
 
 
 #: Responses by ``doc_id``: two good items, no JSON, no list, items that are dropped, coerced confidences, defaults.
@@ -459,7 +464,7 @@ def runs_compared(spark, sf_dir):
     for name, step in (("third", 3), ("fifth", 5), ("other", 2)):
         some = built.where(F.col("ord") % step == 0)
         write_run(nested_results(some, some.select("doc_id")), root, "encodings", name)
-    out = compare_runs(codings(spark, sf_dir)[0], read_run_results(spark, root, ["third", "fifth"]), ["third", "fifth"])
+    out = compare_runs(codings(spark, sf_dir, places=False)[0], read_run_results(spark, root, ["third", "fifth"]), ["third", "fifth"])
     return out.groupBy("run_id", "construct").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
@@ -552,7 +557,7 @@ def pooled_metrics(spark, sf_dir):
 def agreement(spark, sf_dir):
     """Sentences to pooled agreement, end to end."""
     needed = ["doc_id", "construct", "status", "llm_confidence", "tp", "fp", "fn"]
-    return metrics.pooled_summary(materialise(exact(spark, sf_dir).select(*needed), "comparison"))
+    return metrics.pooled_summary(materialise(exact(spark, sf_dir, places=False).select(*needed), "comparison"))
 
 
 @query(f"WITH {PER_DOC} SELECT * FROM st")
@@ -604,7 +609,7 @@ def _shown(b: DataFrame) -> DataFrame:
 
 def _partial(spark, sf_dir):
     needed = ["doc_id", "construct", "status", "human_quote", "llm_quote", "llm_confidence", "tp", "fp", "fn"]
-    rows = materialise(exact(spark, sf_dir).select(*needed), "comparison")
+    rows = materialise(exact(spark, sf_dir, places=False).select(*needed), "comparison")
     return cb.refine(rows, materialise(metrics.pooled_summary(rows), "pooled"), book(spark))
 
 

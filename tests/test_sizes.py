@@ -1,9 +1,13 @@
 """What grows faster than its input: slices of prompts, places of quotes, spans."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from codelens.functions.spans import parse_span, span_overlap
-from codelens.plans import responses
+from codelens.functions.spans import find_quote, find_quotes, parse_span, span_overlap
+from codelens.plans import queries, responses
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_slices_read_their_own_prompts(spark, monkeypatch):
@@ -22,6 +26,23 @@ def test_slices_read_their_own_prompts(spark, monkeypatch):
         assert "Aggregate" not in plan and "Join" not in plan and plan.count("FileScan") == 1
 
 
+def test_places_of_all_quotes_of_a_text(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aab é😀\n.", k=rng.randrange(40))) for _ in range(60)]
+    rows = [(t, [t[i : i + rng.randrange(9)] for i in range(0, len(t), 3)] + ["ba", "", None]) for t in texts] + [(None, ["a", None]), ("a", None), ("", ["", "a"]), ("a", [])]
+    df = spark.createDataFrame(rows, "text string, quotes array<string>")
+    one = F.transform("quotes", lambda q: find_quote(F.col("text"), q))
+    assert df.where(~find_quotes(F.col("text"), F.col("quotes")).eqNullSafe(one)).count() == 0
+
+
+def test_sentences_without_their_text(spark):
+    """No row a sentence holds the document's text."""
+    plan = queries.codings(spark, SF)[0]._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate " in line]
+    assert generated and all("text#" not in line.split("Generate ")[1] for line in generated)
+    assert "instr(" not in plan
+
+
 def test_spans_are_parsed_once(spark):
     df = spark.createDataFrame([(" 1:5", "3:9 "), ("+1: 5", "1:5"), ("1", "1:2"), ("3:1", "1:2"), ("1:x", "1:2"), ("1:2:3", "1:2"), (None, "1:2"), ("2:2", "2:2"), ("2:2", "2:3"), ("1.0:2", "1:2")], "a string, b string")
     out = df.select(span_overlap(parse_span(F.col("a")), parse_span(F.col("b"))).alias("o"))
