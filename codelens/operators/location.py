@@ -50,12 +50,15 @@ def fuzzy_places(quotes: DataFrame, texts: DataFrame, threshold: float) -> DataF
 def locate_quotes(rows: DataFrame, threshold: float | None = None, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """``rows`` (with ``text`` and ``quote``) with ``quote_index`` in place of ``text``: exact, else fuzzy if a threshold is given.
 
-    ``docs`` has the text of each ``key``, once; without it, texts are gathered from the rows.  Rows are
+    ``docs`` has the text of each ``key``, once; without it, texts are gathered from the rows.  With ``docs``, rows
+    may have a ``quote_index`` of what is found exactly in place of ``text``.  Rows are
     written with what is found exactly, so they are made once, and only quotes that are not found go to the
     fuzzy search.  A null or empty quote, or text, has no place; rows with a null key are found exactly alone.
     """
     other = [c for c in rows.columns if c != "text"]
-    exact = rows.select(*other, find_quote(F.col("text"), F.col("quote")).alias("quote_index"))
+    other = [c for c in other if c != "quote_index"]
+    place = F.col("quote_index") if "quote_index" in rows.columns else find_quote(F.col("text"), F.col("quote"))
+    exact = rows.select(*other, place.alias("quote_index"))
     if threshold is None:
         return exact
     if docs is None:

@@ -205,9 +205,11 @@ def locate_passages(docs: DataFrame, passages: DataFrame, block: int = 1024) ->
 @query()
 def quote_index_fuzzy(spark, sf_dir):
     """Every sentence without its fifth letter, located in its whole document."""
-    rows = sentence_rows(spark, sf_dir)
-    wrong = F.concat(F.substring("quote", 1, 4), F.substring("quote", 6, 1 << 30))
-    return locate_quotes(rows.select("doc_id", "pos", "text", wrong.alias("quote")), 0.85, table(spark, sf_dir, "documents")).select("doc_id", "pos", "quote", "quote_index")
+    docs = table(spark, sf_dir, "documents")
+    wrong = F.transform(sentences(F.col("text")), lambda q: F.concat(F.substring(q, 1, 4), F.substring(q, 6, 1 << 30)))
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", wrong.alias("quotes")).select("doc_id", "quotes", find_quotes(F.col("text"), F.col("quotes")).alias("places"))
+    rows = found.select("doc_id", F.posexplode("quotes").alias("pos", "quote"), "places")
+    return locate_quotes(rows.select("doc_id", "pos", "quote", F.get("places", F.col("pos")).alias("quote_index")), 0.85, docs).select("doc_id", "pos", "quote", "quote_index")
 
 
 @query("SELECT conv_id, string_agg(coalesce(nullif(trim(role), '') || ': ', '') || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

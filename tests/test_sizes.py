@@ -1,9 +1,11 @@
 """What grows faster than its input: slices of prompts, places of quotes, spans."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from codelens.functions import fuzzy
 from codelens.functions.spans import find_quote, find_quotes, parse_span, span_overlap
 from codelens.plans import queries, responses
 
@@ -48,3 +50,32 @@ def test_spans_are_parsed_once(spark):
     out = df.select(span_overlap(parse_span(F.col("a")), parse_span(F.col("b"))).alias("o"))
     assert [r.o for r in out.collect()] == [0.25, 1.0, None, None, None, None, None, 1.0, 0.0, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_matching_letters_as_difflib():
+    rng = random.Random(5)
+    for _ in range(3000):
+        some = rng.choice(["ab", "abc", "abcdefgh "])
+        a, b = ("".join(rng.choices(some, k=rng.randrange(40))) for _ in range(2))
+        if a and rng.random() < 0.5:
+            i = rng.randrange(len(a))
+            b = a[:i] + a[i + 1 :] + rng.choice(some)
+        assert fuzzy.matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_altered_quotes_in_long_texts(monkeypatch):
+    """What is nearly whole is found without a pass over the text's grams, and where a scan of all windows finds it."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 9))) for _ in range(60)]
+    wrong = []
+    for k in range(120):
+        text = " ".join(rng.choices(words, k=100))
+        n = rng.choice([9, 20, 60, 230])
+        i = rng.randrange(len(text) - n)
+        q = text[i : i + 3] + text[i + 4 : i + n] if k % 3 else text[i : i + 4].upper() + "x" + text[i + 5 : i + n]
+        scan = fuzzy._best(text, q.lower(), len(q), 0.85, [(-1.0, j) for j in range(len(text) - len(q) + 1)])
+        wrong += [(text, q, scan)] if fuzzy.best_window(text, q, 0.85) != scan else []
+    assert wrong == []
+    monkeypatch.setattr(fuzzy.Places, "seeded", None)
+    text = " ".join(rng.choices(words, k=20_000))
+    assert fuzzy.best_window(text, text[500:504] + text[505:560], 0.85) == "500:559"
