@@ -15,6 +15,8 @@ from ..scratch import materialise
 KEYS = ["doc_id", "construct"]
 #: Quotes are numbered, and proposals walked, in blocks of so many places, as powers of two.
 BLOCK_BITS, WALK_BITS = 12, 16
+#: Quotes of a group from which it is dealt by words and cells, to a part for each so many.
+GROUP = 4096
 _QUOTE = ["quote", "quote_index", "confidence"]
 
 
@@ -169,28 +171,44 @@ def propose_similar(human: DataFrame, llm: DataFrame, threshold: float = 0.5) ->
     """Proposals for quotes whose spans overlap, or words agree, by a Jaccard share of ``threshold`` or more.
 
     Candidates of a document and construct meet in a word, of the longest of either, or in a cell that both
-    spans touch, of a size near their lengths; every pair that reaches the threshold meets so.
+    spans touch, of a size near their lengths; every pair that reaches the threshold meets so.  A quote is
+    sent to its group once, as numbers of its words and cells; a large group is dealt by these.  Only the
+    pairs that meet, each once, get their quotes back.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-
-    def side(df: DataFrame, name: str, levels) -> DataFrame:
-        rows = indexed_quotes(df, name).withColumn("span", parse_span(F.col(f"{name}_span")))
-        rows = rows.withColumn("words", F.array_distinct(F.split(F.lower(f"{name}_quote"), r"\s+")))
-        n = F.col("span.end") - F.col("span.start")
-        keys = F.array_distinct(F.concat(_bins(F.col("span"), levels(n)), F.coalesce(_rare_first(F.col("words"), threshold), F.array().cast("array<string>"))))
-        return rows.select(*KEYS, F.explode(keys).alias("key"), f"{name}_index", f"{name}_quote", F.struct("words", "span").alias(name))
+    group = F.xxhash64(*KEYS).alias("group")
+    sides = {name: materialise(indexed_quotes(df, name).select(group, "*"), name) for name, df in (("human", human), ("llm", llm))}
+    groups = sides["human"].select("group").unionByName(sides["llm"].select("group")).groupBy("group").agg(F.count("*").alias("n"))
+    large = materialise(groups.where(F.col("n") > GROUP).select("group", F.ceil(F.col("n") / GROUP).alias("parts")), "large")
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+
+    def side(name: str, levels) -> DataFrame:
+        rows = sides[name].withColumn("span", parse_span(F.col(f"{name}_span"))).withColumn("words", words(f"{name}_quote"))
+        # Odd numbers are cells, even ones words.
+        cells = F.transform(_bins(F.col("span"), levels(F.col("span.end") - F.col("span.start"))), lambda k: F.hash(k).bitwiseOR(F.lit(1)))
+        rare = F.coalesce(F.transform(_rare_first(F.col("words"), threshold), lambda k: F.hash(k).bitwiseAND(F.lit(-2))), F.array().cast("array<int>"))
+        rows = rows.select("group", F.lit(name == "human").alias("human"), F.col(f"{name}_index").alias("at"), F.size("words").alias("n"), F.array_distinct(F.concat(cells, rare)).alias("keys"))
+        part = lambda k: F.pmod(F.shiftright(k, 1), F.coalesce("parts", F.lit(1)))
+        dealt = rows.join(large, "group", "left").withColumn("part", F.explode(F.array_distinct(F.transform("keys", part))))
+        return dealt.select("group", "part", "human", "at", "n", F.filter("keys", lambda k: part(k) == F.col("part")).alias("keys"))
 
     def near(n: Column) -> Column:
         least, most = F.greatest(F.lit(1), F.floor(n * threshold)).cast("long"), F.ceil(n / threshold).cast("long")
         return F.when(n > 0, F.sequence(_level(least), _level(most)))
 
-    pairs = side(human, "human", near).join(side(llm, "llm", lambda n: F.array(_level(n))), [*KEYS, "key"])
-    a, b = F.col("human.words"), F.col("llm.words")
-    shared = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
-    overlap = span_overlap(F.col("human.span"), F.col("llm.span"))
-    scored = pairs.withColumn("score", F.greatest(F.coalesce(overlap, F.lit(0.0)), F.coalesce(shared, F.lit(0.0)))).where(F.col("score") >= threshold)
-    found = scored.select(*KEYS, "human_index", "llm_index", (F.col("human_quote") != F.col("llm_quote")).alias("paraphrase"), F.col("score").alias("match_confidence")).distinct()
+    quotes = side("human", near).unionByName(side("llm", lambda n: F.array(_level(n)))).repartition("group", "part")
+    own = F.struct("at", "n")
+    met = quotes.withColumn("key", F.explode("keys")).groupBy("group", "part", "key").agg(F.collect_list(F.when(F.col("human"), own)).alias("hs"), F.collect_list(F.when(~F.col("human"), own)).alias("ms"))
+    pairs = met.where((F.size("hs") > 0) & (F.size("ms") > 0)).withColumn("h", F.explode("hs")).withColumn("m", F.explode("ms"))
+    fits = F.least("h.n", "m.n") >= F.greatest("h.n", "m.n") * (threshold - 1e-9)
+    pairs = pairs.where((F.col("key") % 2 != 0) | fits).select("group", F.col("h.at").alias("human_index"), F.col("m.at").alias("llm_index")).distinct()
+    both = pairs.join(sides["human"], ["group", "human_index"]).join(sides["llm"].withColumnsRenamed({k: f"_{k}" for k in KEYS}), ["group", "llm_index"])
+    both = both.where(" AND ".join(f"{k} = _{k}" for k in KEYS)).withColumns({"a": words("human_quote"), "b": words("llm_quote"), "x": parse_span(F.col("human_span")), "y": parse_span(F.col("llm_span"))})
+    shared = F.size(F.array_intersect("a", "b"))
+    jaccard = F.try_divide(shared.cast("double"), F.size("a") + F.size("b") - shared)
+    scored = both.withColumn("score", F.greatest(F.coalesce(span_overlap(F.col("x"), F.col("y")), F.lit(0.0)), F.coalesce(jaccard, F.lit(0.0)))).where(F.col("score") >= threshold)
+    found = scored.select(*KEYS, "human_index", "llm_index", (F.col("human_quote") != F.col("llm_quote")).alias("paraphrase"), F.col("score").alias("match_confidence"))
     order = Window.partitionBy(*KEYS).orderBy(F.desc("match_confidence"), "human_index", "llm_index")
     return found.select(*KEYS, (F.row_number().over(order) - 1).alias("ord"), "human_index", "llm_index", "paraphrase", "match_confidence")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelens.functions import fuzzy
 from codelens.functions.spans import find_quote, find_quotes, parse_span, span_overlap
+from codelens.operators import matching
 from codelens.plans import queries, responses
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,30 @@ def test_altered_quotes_in_long_texts(monkeypatch):
     monkeypatch.setattr(fuzzy.Places, "seeded", None)
     text = " ".join(rng.choices(words, k=20_000))
     assert fuzzy.best_window(text, text[500:504] + text[505:560], 0.85) == "500:559"
+
+
+def test_large_groups_of_similar_quotes(spark, monkeypatch):
+    """Words and cells are sent without the quotes, and a group that is dealt by them loses no pair."""
+    rng = random.Random(8)
+    words = ["river", "stone", "a", "of", "light", "moving", "tree"]
+    side = lambda n: [("d", "c", i, " ".join(rng.choices(words, k=rng.randrange(1, 7))), f"{a}:{a + rng.randrange(12)}" if (a := rng.randrange(200)) % 4 else None) for i in range(n)]
+    h, m = side(60), side(40)
+    sides = [spark.createDataFrame(x, "doc_id string, construct string, ord int, quote string, quote_index string").withColumn("confidence", F.lit(1)) for x in (h, m)]
+
+    def share(x, y):
+        a, b = set(x[3].split()), set(y[3].split())
+        spans = [[int(v) for v in z[4].split(":")] if z[4] else None for z in (x, y)]
+        score = len(a & b) / len(a | b)
+        if all(spans):
+            (p, q), (r, s) = spans
+            both = max(0, min(q, s) - max(p, r))
+            score = max(score, (1.0 if p == q and r == s else 0.0 if p == q or r == s else both / (q - p + s - r - both)))
+        return score
+
+    wanted = {(x[2], y[2]) for x in h for y in m if share(x, y) >= 0.5}
+    for size in (4096, 8):
+        monkeypatch.setattr(matching, "GROUP", size)
+        out = matching.propose_similar(*sides, 0.5)
+        assert {(r.human_index, r.llm_index) for r in out.collect()} == wanted
+        generated = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in line]
+        assert generated and all("_quote#" not in line for line in generated)
