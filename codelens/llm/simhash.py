@@ -29,6 +29,8 @@ LIKELY = 0.56
 BLOCK = 16
 #: Times that the buckets of members without a link are made finer by a further band.
 LEVELS = 2
+#: Members of a block of what is left of a bucket then, every two blocks of which meet.
+REST = 256
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -225,6 +227,37 @@ def _finer(away: DataFrame, kinds: DataFrame) -> DataFrame:
     return others.where("bucket <> other").select((mixed("bucket") + mixed("other")).alias("bucket"), "node", "n").distinct()
 
 
+def _rest(away: DataFrame, good: DataFrame, kinds: DataFrame, done: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket's members that no links connect, and whose least hashes agree often enough.
+
+    These are all such pairs of the buckets of more members than ``done``; of the others all pairs are known.
+    A bucket is dealt to blocks, and a task holds two of them, so memory does not follow the bucket.  Least hashes are
+    compared there, and only pairs that pass are rows.
+    """
+    roots = connected_components(good)
+    own = away.where(F.col("size") > done).join(roots, "node", "left").select("bucket", "node", "n", "size", F.coalesce("component", "node").alias("root"))
+    several = own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    blocks = F.ceil(F.col("size") / REST)
+    own = own.join(several, "bucket", "left_semi").join(kinds.select("node", "mins"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    with_ = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    met = own.withColumn("both", F.explode(with_)).select("bucket", "both.*", "block", "node", "n", "root", "mins")
+
+    def check(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        block, node, n, root = (table.column(c).to_numpy() for c in ("block", "node", "n", "root"))
+        mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), "<u2").reshape(len(node), -1)
+        found = [np.empty((0, 2), np.int64)]
+        for i in np.flatnonzero(block == x):
+            fits = np.minimum(n, n[i]) >= NEAR_SHARE * np.maximum(n, n[i])
+            at = np.flatnonzero((block == y) & (root != root[i]) & fits & ((x != y) | (node < node[i])))
+            at = at[(mins[at] == mins[i]).mean(axis=1) >= LIKELY]
+            found.append(np.stack([np.maximum(node[at], node[i]), np.minimum(node[at], node[i])], axis=1))
+        a, b = np.concatenate(found).T
+        return pa.table({"a": a, "b": b})
+
+    return met.groupBy("bucket", "x", "y").applyInArrow(check, "a long, b long").distinct()
+
+
 def _ordered(x: str, y: str, *more: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), *more]
 
@@ -255,8 +288,9 @@ def near_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
     few edits, and from bands of least hashes, which reach the rest.  The members of a bucket are checked
     against one of them, the pivot, so that a bucket of any size makes one pair a member.  Those that are
     not near it, as where a bucket holds all texts with a common passage, are checked against the others of
-    their block, and meet again, with pivots and blocks, in buckets of one more band, ``LEVELS`` times.
-    Before texts are compared, their least hashes are.
+    their block, and meet again, with pivots and blocks, in buckets of one more band, ``LEVELS`` times.  Of
+    the pairs of a bucket that are left then, those which links already connect are passed over, and all others
+    are checked.  Before texts are compared, their least hashes are.
     """
     rows = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = materialise(_sketches(rows), "sketches")
@@ -272,7 +306,12 @@ def near_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
     more = apart.unionByName(equal).where(fits).select(*_ordered("x", "y"))
 
     members = kinds.select(F.explode("bands").alias("bucket"), "node", "n")
-    asked = good = None
+
+    def checked(new: DataFrame) -> DataFrame:
+        nodes = new.select(F.col("a").alias("key")).unionByName(new.select(F.col("b").alias("key"))).distinct()
+        return materialise(_alike(new, rows.join(nodes, "key", "left_semi")), "near")
+
+    asked = good = whole = None
     for level in range(LEVELS + 1):
         pivoted = materialise(_pivoted(members), "buckets")
         new = more.unionByName(_fitting(pivoted)).distinct()
@@ -280,14 +319,15 @@ def near_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
             new = new.join(asked, ["a", "b"], "left_anti")
         new = materialise(_likely(new, kinds), "pairs")
         asked = new if asked is None else asked.unionByName(new)
-        nodes = new.select(F.col("a").alias("key")).unionByName(new.select(F.col("b").alias("key"))).distinct()
-        near = materialise(_alike(new, rows.join(nodes, "key", "left_semi")), "near")
+        near = checked(new)
         good = near if good is None else good.unionByName(near)
-        if level < LEVELS:
+        if whole is None or level < LEVELS:
             away = materialise(_away(pivoted, good), "away")
+            whole = away if whole is None else whole
             more = _blocks(away)
             members = _finer(away.where("away"), kinds)
-    return kinds.select("node").distinct(), good
+    rest = materialise(_rest(whole, good, kinds, BLOCK if LEVELS else 1).join(asked, ["a", "b"], "left_anti"), "pairs")
+    return kinds.select("node").distinct(), good.unionByName(checked(rest))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -167,6 +167,25 @@ def test_near_copies_of_five_words(spark):
     assert kept == {d[0] for d in by_hand_near(docs)}
 
 
+def test_near_copies_left_in_a_bucket(spark, monkeypatch):
+    """Pairs of near copies in buckets of many texts with a common passage, where neither is near a pivot."""
+    monkeypatch.setattr(simhash, "LEVELS", 0)
+    monkeypatch.setattr(simhash, "REST", 4, raising=False)
+    rng = np.random.default_rng(5)
+    passage = [f"common{i}" for i in range(400)]
+    docs = []
+    for base in range(120):
+        w = passage + [f"o{base}u{k}" for k in range(120)]
+        docs.append((2 * base, " ".join(w), "a"))
+        if base % 3 == 0:
+            for at in 400 + rng.choice(120, 10, replace=False):
+                w[at] = f"e{base}z{at}"
+            docs.append((2 * base + 1, " ".join(w), "a"))
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in simhash.first_of_each(table).select("doc_id").collect()}
+    assert kept == {d[0] for d in by_hand_near(docs)}
+
+
 def test_near_copies_of_odd_rows(spark):
     long_text = " ".join(f"a{i}" for i in range(50_000))
     rows = [(1, None, 1), (2, "", 2), (3, " \n", 3), (4, "one two", 4), (5, "ONE  two", 5), (6, long_text, 6), (7, long_text + " more", 7), (None, "alone here", 8), (None, "alone here", 9), (None, "one two", 10), (8, "rep", 11), (8, "rep", 12)]
