@@ -80,6 +80,11 @@ def sample_size(n: int | str) -> int | None:
     return n
 
 
+def _of_constructs(comparison: DataFrame, codebook: DataFrame) -> DataFrame:
+    """Rows of the codebook's constructs, left where they are: dealt by construct, all quotes of one would stay in a task."""
+    return comparison.join(F.broadcast(codebook.select("construct")), "construct", "left_semi")
+
+
 def fresh_quotes(comparison: DataFrame, known: DataFrame, status: str, column: str, n: int | str, seed: int) -> DataFrame:
     """``(construct, digest, quote)``: distinct trimmed quotes of a status that ``known(construct, quote)`` lacks.
 
@@ -110,7 +115,7 @@ def refined_entries(comparison: DataFrame, pooled: DataFrame, codebook: DataFram
     ``construct, kind, place, digest, quote``: own entries by their place first, then new ones by their digest.
     """
     own = codebook.join(underperforming(pooled, threshold), "construct", "left_semi")
-    rows = comparison.join(own.select("construct"), "construct", "left_semi")
+    rows = _of_constructs(comparison, own)
     sides = (("examples", "human_only", "human_quote", n_examples), ("counter_examples", "llm_only", "llm_quote", n_counterexamples))
     old, new = [], []
     for kind, status, column, n in sides:
@@ -119,8 +124,8 @@ def refined_entries(comparison: DataFrame, pooled: DataFrame, codebook: DataFram
         fresh = fresh_quotes(rows, entries.select("construct", "quote"), status, column, n, seed)
         new.append(fresh.select("construct", F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("place"), "digest", "quote"))
     gained = materialise(new[0].unionByName(new[1]), "gained")
-    heads = own.join(gained.select("construct").distinct(), "construct", "left_semi").select("construct", "ord", "definition", "extra")
-    kept = old[0].unionByName(old[1]).join(heads.select("construct"), "construct", "left_semi")
+    heads = own.join(F.broadcast(gained.select("construct").distinct()), "construct", "left_semi").select("construct", "ord", "definition", "extra")
+    kept = old[0].unionByName(old[1]).join(F.broadcast(heads.select("construct")), "construct", "left_semi")
     return heads, kept.unionByName(gained)
 
 
@@ -131,7 +136,7 @@ def refine(comparison: DataFrame, pooled: DataFrame, codebook: DataFrame, thresh
     lacks are the rows of ``not_in_codebook``.
     """
     own = codebook.join(underperforming(pooled, threshold), "construct", "left_semi")
-    rows = comparison.join(own.select("construct"), "construct", "left_semi")
+    rows = _of_constructs(comparison, own)
 
     def known(c: str) -> DataFrame:
         return own.select("construct", F.explode(c).alias("quote"))

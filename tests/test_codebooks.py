@@ -7,6 +7,7 @@ import pytest
 from codelens.operators import codebook as cb
 from codelens.operators import metrics
 from codelens.schemas import CODEBOOK, COMPARISON
+from codelens.scratch import materialise
 from codelens.sources import codings, sinks
 
 ODD = ['say "so"', "back\\slash", "two\nlines", "tab\there", "é😀", "[x]", "known"]
@@ -63,3 +64,13 @@ def test_sample_is_the_first_by_digest(spark, given):
     every = sorted((r.digest, r.quote) for r in cb.fresh_quotes(rows, none, "human_only", "human_quote", "all", 1).where("construct = 'c'").collect())
     for n in (1, 40, 5000):
         assert sorted((r.digest, r.quote) for r in cb.fresh_quotes(rows, none, "human_only", "human_quote", n, 1).where("construct = 'c'").collect()) == every[:n]
+
+
+def test_quotes_are_not_dealt_by_construct(spark, given):
+    """Quotes of a construct are told apart in parts: no join lands a construct in one task."""
+    rows, book = given
+    rows, pooled = materialise(rows, "comparison"), materialise(metrics.summary_tables(rows)[1], "pooled")
+    heads, entries = cb.refined_entries(rows, pooled, book, n_examples=25, n_counterexamples=25)
+    for out in (cb.refine(rows, pooled, book), entries):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" not in "".join(line for line in plan.splitlines() if "SortMergeJoin [construct" in line)
