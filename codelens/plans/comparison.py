@@ -47,9 +47,10 @@ def compare_runs(human: DataFrame, results: DataFrame, runs: list[str], compare:
     ``results`` has the runs' instances (``read_run_results``).  A document counts once a run, so the rows of all
     runs are compared in one go.
     """
-    one = lambda run, doc: F.to_json(F.array(run, doc))
+    # The document first, as sorts compare first letters, which all rows of a run would share.
+    one = lambda run, doc: F.to_json(F.array(doc, run))
     mine = human.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     sides = [side.withColumn("doc_id", one("run_id", "doc_id")).drop("run_id") for side in (mine, results)]
     names = F.from_json("doc_id", "array<string>")
     rows = compare(*sides)
-    return rows.select(names[0].alias("run_id"), *[(names[1] if c == "doc_id" else F.col(c)).alias(c) for c in rows.columns])
+    return rows.select(names[1].alias("run_id"), *[(names[0] if c == "doc_id" else F.col(c)).alias(c) for c in rows.columns])

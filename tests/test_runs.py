@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from codelens.plans import queries as core
 from codelens.plans.coding import MatcherError, call_coder, code_rows, code_table, compare_by_matcher, lexicon_coder, retry_run
 from codelens.plans.responses import check, read_store
 from codelens.schemas import CODEBOOK, INSTANCES
@@ -183,3 +184,11 @@ def test_run_locates_altered_quotes(spark):
     at = text.index("Nobody")
     got = places(fuzzy=0.85)
     assert got == {"nobody in the vilage slept": f"{at}:{at + 26}", "rose in the night": "10:27", "nothing like it at all": None, "": None}
+
+
+def test_compared_runs_read_documents_once(spark, monkeypatch):
+    """All runs and the human coding start at one written table of sentences."""
+    seen, read = [], core.table
+    monkeypatch.setattr(core, "table", lambda *a: seen.append(a[2]) or read(*a))
+    assert core.runs_compared(spark, "/root/testdata/sf0.001").count() == 8
+    assert seen == ["documents"]
