@@ -454,6 +454,21 @@ def test_line_dedup(spark, sample):
     assert sum("a passage line 6" in t for t in got.values()) == 1
 
 
+def test_line_dedup_of_white_space(spark):
+    """Chunks are compared without white space at their ends, and words are hashed without a row or struct for each."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["", " ", "\t", "\x0b", "\x01", "!", "\u00a0", "\u00e9t\u00e9", "\ta", "b\f", "\r", "\n", *(f"w{k * 7919 % 1000}" for k in range(60))]
+    passages = [[vocabulary[k] for k in rng.integers(0, len(vocabulary), 60)] for _ in range(20)]
+    gap = lambda: [vocabulary[k] for k in rng.integers(0, len(vocabulary), int(rng.integers(0, 9)))]
+    docs = [(i, " ".join(gap() + passages[i % 20] + gap() + passages[i * 7 % 20])) for i in range(120)]
+    docs += [(200 + i, t) for i, t in enumerate(["", " ", "\t", "\n\n", " " * 40, "\t \x0b" * 30, "!", "a"])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dedup_by_hand(docs)
+    assert sum(map(len, got.values())) < sum(len(t) for _, t in docs) / 2
+    plan = spark.createDataFrame([], "u array<string>").select(line_dedup._starts(F.col("u")))._jdf.queryExecution().analyzed().toString()
+    assert "md5" in plan and "struct" not in plan
+
+
 def test_line_dedup_of_passages(spark):
     """Passages of over 50 words that an earlier text holds lose their middle, wherever lines begin; other texts stay."""
     rng = np.random.default_rng(8)
