@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..scratch import materialise
 
 
+#: Cells of a matrix of vectors by lists that is held at once.
+CELLS = 1 << 22
+
+
 @dataclass
 class Settings:
     """Parameters of an index.
@@ -56,7 +60,7 @@ def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: b
     """Centroids from a few rounds after starting at random rows, so that dense regions get more."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([nearest_lists(b, c) for b in np.array_split(x, max(1, len(x) // 4096))])
+        near = nearest_lists(x, c)
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -81,22 +85,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, lists: int, s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
-    directions = _directions(_unit(sample), lists, s, rng)
-    near = nearest_lists(_unit(sample), directions)
+    unit = _unit(sample)
+    directions = _directions(unit, lists, s, rng)
+    near = nearest_lists(unit, directions)
+    del unit
     n, length = np.bincount(near, minlength=len(directions)), np.linalg.norm(sample, axis=1)
     lengths = np.where(n > 0, np.bincount(near, length, len(directions)) / np.maximum(n, 1), length.mean())
-    rest = sample - directions[near] * lengths[near, None]
     width = -(-sample.shape[1] // s.parts)
-    rest = np.pad(rest, ((0, 0), (0, s.parts * width - rest.shape[1])))
     books = []
     for i in range(s.parts):
-        book = _lloyd(rest[:, i * width : (i + 1) * width], s.codes, s.rounds, rng)
+        own = slice(i * width, (i + 1) * width)
+        rest = sample[:, own] - directions[:, own][near] * lengths[near, None]
+        book = _lloyd(np.pad(rest, ((0, 0), (0, width - rest.shape[1]))), s.codes, s.rounds, rng)
         books.append(np.pad(book, ((0, s.codes - len(book)), (0, 0)), mode="edge"))
     return Model(directions, lengths, np.stack(books))
 
 
+def _some(rows: int, lists: int) -> Iterator[slice]:
+    """Slices of rows, so that rows by lists are at most ``CELLS`` in each."""
+    step = max(1, CELLS // max(1, lists))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin(-2 * (x @ centroids.T) + (centroids * centroids).sum(1), axis=1)
+    out, own = np.empty(len(x), np.int64), (centroids * centroids).sum(1)
+    for rows in _some(len(x), len(centroids)):
+        far = x[rows] @ centroids.T
+        far *= -2
+        far += own
+        out[rows] = far.argmin(axis=1)
+    return out
 
 
 def encode(x: np.ndarray, lists: np.ndarray, m: Model) -> np.ndarray:
@@ -180,10 +198,12 @@ def search(vectors: DataFrame, every: int = 20, settings: Settings | None = None
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block of lists that a query reads at first, and for each that it reads then."""
         m = model.value
-        for b in batches:
-            if b.num_rows:
+        directed = (m.centroids * m.lengths[:, None]).T
+        for whole in batches:
+            for rows in _some(whole.num_rows, lists):
+                b = whole.slice(rows.start, rows.stop - rows.start)
                 x = _stacked(b.column(1))
-                near = np.argsort(-(x @ (m.centroids * m.lengths[:, None]).T), axis=1, kind="stable")
+                near = np.argsort(-(x @ directed), axis=1, kind="stable")
                 for early, best in ((True, near[:, :first]), (False, near[:, first:probes])):
                     if not best.shape[1]:
                         continue

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -86,6 +87,20 @@ def test_ann_recall(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_fits_in_bounded_memory():
+    """A fit holds no matrix of all sampled rows by all lists, and blocks change no list."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(16_384, 8))
+    tracemalloc.start()
+    model = ann.fit(x, 4096, ann.Settings(parts=4, codes=16, rounds=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.centroids) > 4000 and peak < 150e6
+    some = rng.integers(0, len(x), 300)
+    c = model.centroids
+    assert (ann.nearest_lists(x, c)[some] == np.argmin(((x[some, None] - c) ** 2).sum(axis=2), axis=1)).all()
+
+
 # ------------------------------------------------------------------ 2
 
 
