@@ -1,6 +1,7 @@
 """What grows faster than its input: slices of prompts, places of quotes, spans."""
 
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -107,3 +108,43 @@ def test_large_groups_of_similar_quotes(spark, monkeypatch):
         assert {(r.human_index, r.llm_index) for r in out.collect()} == wanted
         generated = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in line]
         assert generated and all("_quote#" not in line for line in generated)
+
+
+def test_fuzzy_windows_of_repeated_words(monkeypatch):
+    """As the plain scan with ``difflib`` has it, where grams repeat and most letters of a window are popular."""
+    monkeypatch.setattr(fuzzy, "HELD", 500)
+    monkeypatch.setattr(fuzzy, "LONG", 200)
+
+    def scan(text, quote, threshold):
+        best, at, n = 0.0, None, len(quote)
+        for i in range(len(text) - n + 1):
+            ratio = SequenceMatcher(None, quote.lower(), text[i : i + n].lower()).ratio()
+            best, at = (ratio, i) if ratio > best else (best, at)
+        return f"{at}:{at + n}" if at is not None and best >= threshold else None
+
+    rng, found = random.Random(6), 0
+    for case in range(60):
+        some = [rng.choice(["La", "Thor", "Ereaon", "bee", "zw", "x", "odd", "Queue"]) for _ in range(3)]
+        runs = [" ".join([w] * rng.randint(10, 60)) for w in some]
+        text = " ".join([rng.choice(["", "one quick jump", "vexing"]), *runs, rng.choice(["", "fjord by night"])])
+        a = rng.randint(0, len(text) // 4)
+        quote = text[a : a + rng.randint(200, max(201, len(text) - a))]
+        for _ in range(rng.choice([1, 2, 9])):
+            k = rng.randrange(len(quote))
+            quote = quote[:k] + rng.choice(["", "q", "La"]) + quote[k + 1 :]
+        for threshold in (0.6, 0.85):
+            want = scan(text, quote, threshold)
+            found += want is not None
+            assert fuzzy.best_window(text, quote, threshold) == want, (text, quote, threshold)
+    assert 10 < found < 110
+
+
+def test_fuzzy_search_holds_little_memory():
+    """Every gram of a long run of one word stands at thousands of places."""
+    text = "a few words before. " + "Erteng " * 700 + "Ereaon " * 2500 + "and some after"
+    quote = "Erteung " * 4 + "Ereaon " * 2400
+    tracemalloc.start()
+    fuzzy.best_window(text, quote, 0.85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
