@@ -513,6 +513,23 @@ def test_line_dedup_of_odd_rows(spark):
     assert {repr(t) for i, t in texts if i in (9, 10)} == {"''", "' \\n '", "None"} and len(texts) == 8
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    """Texts of one id lose what an earlier document holds, also where some bits of their hashes agree."""
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
+    text = lambda k: f"first {k} {passage} last {k}"
+    seen = {}
+    for k in range(100_000):
+        bits = xxhash.xxh64_intdigest(text(k).encode(), 42) & ((1 << 22) - 1)
+        if bits in seen:
+            break
+        seen[bits] = k
+    rows = [(1, passage), (7, text(seen[bits])), (7, text(k)), (7, text(k)), (8, text(0))]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_line_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0][1] == passage
+    assert all(i in (7, 8) and len(t) < 400 and t.startswith("first ") and n > 60 for i, t, n in got[1:])
+    assert {t.split()[-1] for i, t, _ in got if i == 7} == {str(k), str(seen[bits])}
+
+
 def test_long_passages_go(spark):
     """No 51 words on end of what a document keeps stand in an earlier one, wherever lines begin; short repeats stay."""
     rng = np.random.default_rng(5)
