@@ -448,3 +448,36 @@ def test_language_model_against_plain_sampling(spark):
     assert off(plain, again) < 0.02 and off(got, plain) < 0.05
     total = lambda a: sum(a.values()) / sum(map(len, contexts.values()))
     assert abs(total(got) - total(plain)) < 0.01
+
+
+@pytest.mark.parametrize("part", [1 << 24, 1 << 11])
+def test_language_model_of_whole_words_against_plain_sampling(spark, monkeypatch, part):
+    """Each word before another is a context of its own, with one part and with several that sum their contexts."""
+    monkeypatch.setattr(pitman_yor, "WHOLE_PART", part)
+    monkeypatch.setattr(pitman_yor, "TOGETHER", 2)
+    rng = np.random.default_rng(9)
+    words_ = [f"word{i}" for i in range(12)] + ["a", "of"]
+    docs, w = [], 0
+    for i in range(34):
+        some = []
+        for _ in range(int(rng.integers(5, 120))):
+            w = (3 * w + int(rng.choice([0, 1, 2], p=[0.8, 0.15, 0.05]))) % len(words_) if rng.random() < 0.9 else int(rng.integers(len(words_)))
+            some.append(words_[w])
+        docs.append((i, " ".join(some)))
+    contexts = {i: list(zip([None, *pitman_yor.tokens_of(t)], pitman_yor.tokens_of(t), strict=False)) for i, t in docs}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got, short = ({r.doc_id: r.score for r in pitman_yor.score_documents(table, whole=x).collect()} for x in (True, False))
+    plain, again = (sampled_scores(docs, contexts, 10, 20, seed) for seed in (1, 2))
+    off = lambda a, b: max(abs(a[i] - b[i]) / len(contexts[i]) for i in a)
+    total = lambda a: sum(a.values()) / sum(map(len, contexts.values()))
+    assert off(plain, again) < 0.02 and off(got, plain) < 0.05 and abs(total(got) - total(plain)) < 0.01
+    out = [i for i, _ in docs if pitman_yor.held_out(i)]
+    assert len(out) >= 2 and sum(got[i] - short[i] for i in out) > 0
+
+
+def test_language_model_of_whole_words_on_odd_tables(spark):
+    odd = spark.createDataFrame(ODD, DOCS)
+    got = pitman_yor.score_documents(odd, whole=True).collect()
+    assert pitman_yor.score_documents(odd.limit(0), whole=True).count() == 0
+    assert sorted(r.n_tokens for r in got) == sorted(len(pitman_yor.tokens_of(r[1])) for r in ODD) and all(-1e6 < r.score < 0 for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
